@@ -328,13 +328,12 @@ def max_samples(spark, sf_dir):
     return order.first_rows(table, 150, "doc_id")
 
 
-@query("select l_orderkey, l_linenumber from lineitem order by l_orderkey * 10 + l_linenumber limit (select count(*) // 2 from lineitem)")
+@query("select o_orderkey, o_custkey from orders order by o_orderkey limit (select count(*) // 2 from orders)")
 def max_samples_large(spark, sf_dir):
     """Half of a table by position: the n-th position is searched, no row is collected."""
-    table = _table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    last = order.nth_position(table, table.count() // 2, merge_rows=1000)
-    return table.filter(F.col("seq") <= F.lit(last).cast("bigint")).drop("seq")
+    table = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    last = order.nth_position(table, table.count() // 2, "o_orderkey", merge_rows=1000)
+    return table.filter(F.col("o_orderkey") <= F.lit(last).cast("bigint"))
 
 
 # ── build ───────────────────────────────────────────────────────────────────

@@ -227,8 +227,10 @@ def parse_json_lines(rows: DataFrame, text_column: str) -> DataFrame:
         .when(F.col("_kind").isNull(), F.col("_exact.text"))
     )
     bad = F.col("broken_bytes") | F.coalesce(F.col("_kind") == "bad", F.col("_exact.bad"), F.lit(False))
-    return rows.withColumn("text", text).withColumn("bad", bad).drop(
-        "value", "_line", "_v", "_field", "_type", "_kind", "_exact")
+    # Unfolding a one-element array keeps later filters above the parsing; pushed
+    # below, they would parse every line again.
+    kept = [c for c in rows.columns if not c.startswith("_") and c != "value"]
+    return rows.select(*kept, F.inline(F.array(F.struct(text.alias("text"), bad.alias("bad")))))
 
 
 def _item_text(item, text_column: str):
