@@ -25,8 +25,12 @@ def strip(text: Column) -> Column:
 
 
 def collapse_whitespace(text: Column) -> Column:
-    """Replace every run of Unicode whitespace by one space."""
-    return F.regexp_replace(text, F.lit(f"[{WHITESPACE}]+"), F.lit(" "))
+    """Replace every run of Unicode whitespace by one space.
+
+    Java's Unicode ``\\s`` with these four controls is the set above, and several
+    times faster than a class that lists it.
+    """
+    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")
 
 
 def unix_newlines(text: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,15 +63,13 @@ def tokenizer_tokens(
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``_GROUP_CHARS`` characters each."""
-    start = size = 0
-    for i, text in enumerate(batch.column("_text")):
-        size += len(text.as_py() or "")
-        if size >= _GROUP_CHARS:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    """Slices of a batch with about ``_GROUP_CHARS`` bytes of text each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // _GROUP_CHARS
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
+    for start, stop in zip(edges, edges[1:]):
+        if stop > start:
+            yield batch.slice(start, stop - start)
 
 
 def _produced(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:

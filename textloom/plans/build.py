@@ -12,7 +12,7 @@ from .. import __version__
 from ..operators import clean
 from ..operators.clean import count_removed, distinct_texts, length_range, text_keys
 from ..operators.order import preview
-from ..operators.split import check_ratios, label_rows, split_cuts
+from ..operators.split import assign_splits, check_ratios, label_rows, split_cuts
 from ..operators.stats import split_histogram
 from ..sinks.files import check_format, metadata_path, metadata_row, output_path, write_metadata, write_samples
 from ..sources.files import read_files
@@ -59,24 +59,19 @@ def build(
     if not seq_is_stored:
         samples = stage(samples, "samples")
 
-    rows = text_keys(samples, keep=() if splitting else ("split",))
-    rows = stage(rows if dedupe else rows.drop("key"), "keys")
-    if rows.isEmpty():
+    chosen = choose(samples, dedupe, min_chars, max_chars, keep=() if splitting else ("split",))
+    counts, kept = chosen.counts, chosen.kept
+    if not counts["total"]:
         raise ValueError("no samples to write; add texts first")
-    first = stage(distinct_texts(rows), "first") if dedupe else rows
-    counts = count_removed(first, dedupe, min_chars, max_chars).first().asDict()
     removed = {k: counts[k] for k in ("duplicates", "too_short", "too_long") if k in counts}
-    kept = stored_length_range(first, min_chars, max_chars)
 
-    out = length_range(samples, min_chars, max_chars)
-    if removed.get("duplicates"):
-        out = _keep_first(out, rows, first, kept, removed["duplicates"], counts["kept"])
+    out = chosen.apply(samples)
     if splitting:
         cuts = split_cuts(kept.select("seq"), ratios).first()
         out = label_rows(out, cuts)
         histogram = split_histogram(label_rows(kept.select("seq"), cuts))
     elif dedupe:
-        histogram = split_histogram(rows.select("seq", "split").join(kept.select("seq"), "seq", "left_semi"))
+        histogram = split_histogram(chosen.rows.select("seq", "split").join(kept.select("seq"), "seq", "left_semi"))
     else:
         histogram = split_histogram(kept)
 
@@ -97,29 +92,60 @@ def build(
     return BuildResult(path, sidecar, counts["kept"], removed, format, name, dict(splits))
 
 
-def stored_length_range(rows: DataFrame, min_chars: int, max_chars: int) -> DataFrame:
-    """The length filters on the stored lengths."""
+@dataclass(frozen=True)
+class Choice:
+    """Which samples stay, worked out on stored keys; see ``choose``."""
+
+    rows: DataFrame
+    first: DataFrame
+    kept: DataFrame
+    counts: dict[str, int]
+    min_chars: int
+    max_chars: int
+
+    def apply(self, samples: DataFrame) -> DataFrame:
+        """The chosen samples.
+
+        The lengths are a filter. Copies are dropped by the smaller side: both
+        counts are known, so as long as the copies or the survivors fit the
+        broadcast bound no wide row moves; else both sides are shuffled by the
+        unique ``seq``.
+        """
+        out = length_range(samples, self.min_chars, self.max_chars)
+        copies, survivors = self.counts.get("duplicates", 0), self.counts["kept"]
+        if not copies:
+            return out
+        kept = self.kept.select("seq")
+        if survivors <= min(copies, MAX_BROADCAST_ROWS):
+            return out.join(F.broadcast(kept), "seq", "left_semi")
+        if copies <= MAX_BROADCAST_ROWS:
+            dropped = stage(self.rows.select("seq").join(self.first.select("seq"), "seq", "left_anti"), "copies")
+            return out.join(F.broadcast(dropped), "seq", "left_anti")
+        return out.join(kept, "seq", "left_semi")
+
+
+def choose(
+    samples: DataFrame, drop_duplicates: bool = True, min_chars: int = 0, max_chars: int = 0, keep: tuple[str, ...] = (),
+) -> Choice:
+    """Read the texts once, store their keys, and choose the samples that stay."""
+    rows = text_keys(samples, keep=keep)
+    rows = stage(rows if drop_duplicates else rows.drop("key"), "keys")
+    first = stage(distinct_texts(rows), "first") if drop_duplicates else rows
+    counts = count_removed(first, drop_duplicates, min_chars, max_chars).first().asDict()
+    kept = first
     if min_chars > 0:
-        rows = rows.filter(F.col("n") >= min_chars)
+        kept = kept.filter(F.col("n") >= min_chars)
     if max_chars > 0:
-        rows = rows.filter(F.col("n") <= max_chars)
-    return rows
+        kept = kept.filter(F.col("n") <= max_chars)
+    return Choice(rows, first, kept, counts, min_chars, max_chars)
 
 
-def _keep_first(
-    samples: DataFrame, rows: DataFrame, first: DataFrame, kept: DataFrame, duplicates: int, survivors: int,
+def cleaned_splits(
+    samples: DataFrame, ratios=DEFAULT_RATIOS, drop_duplicates: bool = True, min_chars: int = 0, max_chars: int = 0,
 ) -> DataFrame:
-    """Drop later copies by the smaller side: broadcast while it is small, else shuffle.
-
-    Both counts are known here, so no wide row moves as long as either the
-    copies or the survivors fit the broadcast bound.
-    """
-    if survivors <= min(duplicates, MAX_BROADCAST_ROWS):
-        return samples.join(F.broadcast(kept.select("seq")), "seq", "left_semi")
-    if duplicates <= MAX_BROADCAST_ROWS:
-        copies = stage(rows.select("seq").join(first.select("seq"), "seq", "left_anti"), "copies")
-        return samples.join(F.broadcast(copies), "seq", "left_anti")
-    return samples.join(kept.select("seq"), "seq", "left_semi")
+    """Dedupe, filter and split without writing: two readings of the texts."""
+    chosen = choose(samples, drop_duplicates, min_chars, max_chars)
+    return assign_splits(chosen.apply(samples), *ratios, keys=chosen.kept.select("seq"))
 
 
 def build_from_texts(

@@ -291,12 +291,15 @@ def extract_pages_selector(spark, sf_dir):
 
 @query(f"{_SPLIT} select doc_id, split from labelled")
 def assign_splits(spark, sf_dir):
-    return split.assign_splits(_kept(spark, sf_dir)).select(_doc_id(), "split")
+    rows = bld.cleaned_splits(_documents(spark, sf_dir), min_chars=MIN_CHARS, max_chars=MAX_CHARS)
+    return rows.select(_doc_id(), "split")
 
 
 @query(f"{_SPLIT} select split, count(*)::bigint as samples from labelled group by split")
 def split_histogram(spark, sf_dir):
-    return stats.split_histogram(split.assign_splits(_kept(spark, sf_dir)))
+    """Samples per split; the split of a sample follows from its stored key."""
+    chosen = bld.choose(_documents(spark, sf_dir), True, MIN_CHARS, MAX_CHARS)
+    return stats.split_histogram(split.assign_splits(chosen.kept.select("seq")))
 
 
 @query(f"""with {_DOCS} select 'documents' as name, 'text' as text_column, count(*)::bigint as count,

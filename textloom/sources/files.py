@@ -200,7 +200,9 @@ def parse_json_lines(rows: DataFrame, text_column: str) -> DataFrame:
     rows = rows.withColumn("broken_bytes", ~F.is_valid_utf8("_line"))
     framed = F.concat(F.lit("["), line, F.lit(f',"{_END}"]'))
     # An escaped half of a surrogate pair is legal JSON but no legal text.
-    plain = ~F.contains(line, F.lit(_END)) & ~F.contains(F.lower(line), F.lit("\\ud")) & ~F.col("broken_bytes")
+    plain = ~F.contains(line, F.lit(_END)) & ~F.col("broken_bytes")
+    for half in ("\\ud", "\\uD"):
+        plain = plain & ~F.contains(line, F.lit(half))
     rows = rows.withColumn("_v", F.when(plain, F.try_parse_json(framed)))
     rows = rows.withColumn("_v", F.when(F.try_variant_get("_v", "$[1]", "string") == _END, F.col("_v")))
     if any(c in text_column for c in "\"'\\[]"):

@@ -16,6 +16,9 @@ DEFAULT_SELECTOR = "p, article, main"
 class _Page(HTMLParser):
     """Flat list of elements; each spans a range of the page's text pieces.
 
+    Whitespace is collapsed per piece, so text under nested elements is collapsed
+    once.
+
     An end tag closes the nearest open element of its name and all inside it;
     nothing is closed implicitly, so an unclosed <p> goes on to its parent's end.
     """
@@ -29,7 +32,7 @@ class _Page(HTMLParser):
         self.run: list[str] = []
 
     def _flush(self):
-        text = "".join(self.run).strip()
+        text = " ".join("".join(self.run).split())
         self.run.clear()
         if text and not self.silent:
             self.pieces.append(text)

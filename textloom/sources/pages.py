@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_whitespace, is_http_url
+from ..functions.text import is_http_url
 from ..operators.clean import clean
 from .html import DEFAULT_SELECTOR, parse_selector, text_blocks
 from .samples import packed_seq
@@ -24,8 +24,8 @@ def extract_blocks(
     """``seq, url, pos, text``: the text blocks of every http(s) page.
 
     Parsing is the only Python step. It sees pages one by one in the task that
-    scans them, so there is no shuffle; the cleaning of the blocks is back in
-    the JVM.
+    scans them, so there is no shuffle, and hands back only blocks that are long
+    enough.
     """
     chains = parse_selector(selector or DEFAULT_SELECTOR)
     rows = pages.filter(is_http_url(F.col(url)) & F.col(html).isNotNull()).select(
@@ -41,6 +41,8 @@ def extract_blocks(
                 except (AssertionError, ValueError, RecursionError):
                     continue
                 for p, block in enumerate(blocks):
+                    if len(block) < MIN_BLOCK_CHARS:
+                        continue
                     at.append(i)
                     pos.append(p)
                     text.append(block)
@@ -50,9 +52,7 @@ def extract_blocks(
                         at, pos, text, size = [], [], [], 0
             yield _blocks(batch, at, pos, text)
 
-    found = rows.mapInArrow(parse, f"seq {seq_type.simpleString()}, url string, pos int, text string")
-    found = found.withColumn("text", collapse_whitespace(F.col("text")))
-    return found.filter(F.length("text") >= MIN_BLOCK_CHARS)
+    return rows.mapInArrow(parse, f"seq {seq_type.simpleString()}, url string, pos int, text string")
 
 
 def _blocks(batch: pa.RecordBatch, at: list, pos: list, text: list) -> pa.RecordBatch:
