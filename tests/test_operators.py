@@ -113,7 +113,6 @@ def test_nth_position(spark, n):
     assert order.nth_position(rows, 2001) is None
 
 
-def test_first_rows_by_search(spark, monkeypatch):
-    monkeypatch.setattr(order, "MERGE_ROWS", 10)
+def test_first_rows_by_search(spark):
     rows = spark.range(5000).select((F.col("id") * 7).alias("seq"))
-    assert order.first_rows(rows, 1234).agg(F.max("seq"), F.count("seq")).first() == (1233 * 7, 1234)
+    assert order.first_rows(rows, 1234, merge_rows=10).agg(F.max("seq"), F.count("seq")).first() == (1233 * 7, 1234)

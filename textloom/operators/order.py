@@ -17,7 +17,7 @@ def preview(samples: DataFrame, n: int = 5, seq: str = "seq") -> DataFrame:
     return samples.orderBy(seq).limit(n)
 
 
-def first_rows(rows: DataFrame, n: int, seq: str = "seq") -> DataFrame:
+def first_rows(rows: DataFrame, n: int, seq: str = "seq", merge_rows: int = MERGE_ROWS) -> DataFrame:
     """The first n rows by ``seq``; 0 keeps all.
 
     A small n is a top-n merge. For a large n the position of the n-th row is
@@ -26,9 +26,9 @@ def first_rows(rows: DataFrame, n: int, seq: str = "seq") -> DataFrame:
     """
     if n <= 0:
         return rows
-    if n <= MERGE_ROWS:
+    if n <= merge_rows:
         return rows.orderBy(seq).limit(n)
-    last = nth_position(rows, n, seq)
+    last = nth_position(rows, n, seq, merge_rows)
     return rows if last is None else rows.filter(F.col(seq) <= F.lit(last).cast(rows.schema[seq].dataType))
 
 

@@ -78,8 +78,14 @@ def _produced(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return rows.select(*keep, ids, F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"), ids.alias("labels"))
 
 
+def byte_lengths(texts: DataFrame, seq_len: int, text: str = "text", seq: str = "seq") -> DataFrame:
+    """Number of byte tokens per row, without making the tokens."""
+    return texts.select(seq, F.least(F.octet_length(text), F.lit(seq_len)).alias("n"))
+
+
 def padded_batches(
     tokens: DataFrame, batch_size: int, pad_id: int = 0, seq: str = "seq", seed: int = SEED,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffled batches of ``batch_size`` rows, each padded to its longest row.
 
@@ -88,13 +94,19 @@ def padded_batches(
     their rank and brings each batch together. A batch that crosses the end of a
     bucket gets its width from ``_edge_widths``, a table of at most two rows per
     bucket (131,072 in all) however large the data is.
+
+    The narrow steps need ``seq`` and the length ``n`` of every row. They come
+    from ``lengths`` or else from ``tokens``; pass stored tokens or ``lengths``
+    where tokenizing twice would cost much.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     rows = tokens.select(seq, "input_ids")
-    counts = bucket_counts(rows, seq, seed)
+    if lengths is None:
+        lengths = rows.select(seq, F.size("input_ids").alias("n"))
+    counts = bucket_counts(lengths, seq, seed)
     ranked = _ranked(rows, counts, batch_size, seq, seed)
-    edges = _edge_widths(_ranked(rows.select(seq, F.size("input_ids").alias("n")), counts, batch_size, seq, seed))
+    edges = _edge_widths(_ranked(lengths, counts, batch_size, seq, seed))
     inside = F.max(F.size("input_ids")).over(Window.partitionBy("bucket", "batch"))
     wide = ranked.withColumn("inside", inside).join(F.broadcast(edges), "batch", "left")
     missing = F.greatest("inside", F.coalesce("edge_width", "inside")) - F.size("input_ids")

@@ -335,8 +335,7 @@ def max_samples(spark, sf_dir):
 def max_samples_large(spark, sf_dir):
     """Half of a table by position: the n-th position is searched, no row is collected."""
     table = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    last = order.nth_position(table, table.count() // 2, "o_orderkey", merge_rows=1000)
-    return table.filter(F.col("o_orderkey") <= F.lit(last).cast("bigint"))
+    return order.first_rows(table, table.count() // 2, "o_orderkey", merge_rows=1000)
 
 
 # ── build ───────────────────────────────────────────────────────────────────
@@ -564,7 +563,9 @@ batched as (select *, r // {BATCH} as batch, r % {BATCH} as slot, max(n) over (p
 select doc_id, batch::bigint as batch, slot::int as slot, width::int as width, n::int as real_tokens,
 list_sum(ids)::bigint as id_sum, (list_sum(ids) - 100 * (width - n))::bigint as label_sum from batched""")
 def padded_batches(spark, sf_dir):
-    rows = tokens.padded_batches(tokens.byte_tokens(_documents(spark, sf_dir), SEQ_LEN), BATCH)
+    docs = _documents(spark, sf_dir)
+    rows = tokens.padded_batches(
+        tokens.byte_tokens(docs, SEQ_LEN), BATCH, lengths=tokens.byte_lengths(docs, SEQ_LEN))
     return rows.select(
         _doc_id(), "batch", "slot", "width", _total("attention_mask").cast("int").alias("real_tokens"),
         _total("input_ids").alias("id_sum"), _total("labels").alias("label_sum"))

@@ -52,12 +52,14 @@ def take_first(rows: DataFrame, max_samples: int) -> DataFrame:
     files = sorted(rows.inputFiles())
     path, head, n = F.col("_metadata.file_path"), rows, 1
     while n < len(files):
-        names = [re.sub("^file:/+", "file:/", f) for f in files[:n]]
-        head = rows.filter(path.isin(names + files[:n]))
-        if head.limit(max_samples).count() >= max_samples:
+        first = files[:n]
+        some = rows.filter(path.isin(first + [re.sub("^file:/+", "file:/", f) for f in first]))
+        if some.limit(max_samples).count() >= max_samples:
+            head, files = some, first
             break
-        head, n = rows, n * 4
-    placed = with_rank(head.select("*", plain_path(path).alias("path_"), position_in_file().alias("pos_")), ranks(files), "path_")
+        n *= 4
+    head = head.select("*", plain_path(path).alias("path_"), position_in_file().alias("pos_"))
+    placed = with_rank(head, ranks(files), "path_")
     placed = placed.withColumn("pos_", packed_seq(F.col("file_rank"), F.col("pos_"), FILE_DIGITS))
     return first_rows(placed, max_samples, "pos_").select(*rows.columns)
 
