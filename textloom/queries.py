@@ -325,6 +325,15 @@ def preview(spark, sf_dir):
     return order.preview(_documents(spark, sf_dir)).select(_doc_id(), "text", "source")
 
 
+@query(f"""with {_DOCS}, {_FIRST}, kept as (select * from firsts where length(text) >= {MIN_CHARS})
+select doc_id, source, length(text) as n_chars, (select count(*) from kept)::bigint as samples from kept order by doc_id limit 5""")
+def preview_build(spark, sf_dir):
+    """Number of samples after cleaning, beside the first five."""
+    count, head = bld.preview_build(_documents(spark, sf_dir), 5, True, MIN_CHARS)
+    return head.select(
+        _doc_id(), "source", F.length("text").alias("n_chars"), F.lit(count).cast("bigint").alias("samples"))
+
+
 @query("select doc_id, text from documents order by doc_id limit 150")
 def max_samples(spark, sf_dir):
     table = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -575,6 +584,7 @@ _CONFIGS = [
     {"seq_len": 1024, "hidden_size": 768, "layers": 12, "batch_size": 2, "grad_accum": 8, "adapter": "full", "epochs": 3},
     {"seq_len": 2048, "hidden_size": 4096, "layers": 32, "batch_size": 1, "grad_accum": 8, "adapter": "lora"},
     {"seq_len": 1000, "hidden_size": 768, "layers": 12, "batch_size": 4, "grad_accum": 4, "adapter": "qlora"},
+    {"seq_len": 64, "hidden_size": 772, "layers": 12, "batch_size": 2048, "grad_accum": 5000, "adapter": "full"},
 ]
 
 
@@ -591,11 +601,14 @@ select source, config_id, rows::bigint as rows,
 (select sum(least(octet_length(encode(text)), s)) from docs d where d.source = per.source)::bigint as used_tokens,
 case when (s & (s - 1)) <> 0 then 2 when h % 8 <> 0 then 3 else 0 end as code, (s * b * g)::bigint as tokens_per_step,
 (ceil(rows / (b * g)::double) * e)::bigint as steps,
+concat_ws(',', case when b not between 1 and 1024 then 'batch_size' end,
+  case when g not between 1 and 4096 then 'grad_accum' end, case when s not between 128 and 32768 then 'seq_len' end) as out_of_range,
 ((12::hugeint * l * h * h * p + 4::hugeint * s * b * h * l) // 1048576)::bigint as vram_mb from per, cfg""")
 def run_plan(spark, sf_dir):
     rows = plan_runs(_documents(spark, sf_dir), _CONFIGS, by="source")
     return rows.select(
         "source", "config_id", "rows", "used_tokens", "code",
+        F.array_join(F.array_sort("out_of_range"), ",").alias("out_of_range"),
         *[F.col(c).cast("bigint").alias(c) for c in ("tokens_per_step", "steps", "vram_mb")])
 
 

@@ -42,8 +42,11 @@ def position_in_file() -> Column:
     pair orders the rows however Spark packs blocks into tasks. Only the order is
     fixed, so write the rows (``storage.stage``) before joining on the value.
     """
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_MASK))
-    return packed_seq(F.col("_metadata.file_block_start"), row, ROW_DIGITS)
+    return packed_seq(F.col("_metadata.file_block_start"), _row_in_task(), ROW_DIGITS)
+
+
+def _row_in_task() -> Column:
+    return F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_MASK))
 
 
 def existing_files(spark: SparkSession, paths: Iterable[str], suffixes: tuple[str, ...]) -> list[str]:
@@ -146,9 +149,9 @@ def read_files(
 
 def _text_samples(spark: SparkSession, by_name: dict[str, int], split: str) -> DataFrame:
     """One sample per file, or one per paragraph when it is longer than 5000 characters."""
-    body = unix_newlines(valid_text(F.col("value")))
-    rows = _whole_files(spark, by_name).select(
-        "path", "file_rank", F.posexplode(paragraphs(body)).alias("pos", "text"))
+    body = strip(unix_newlines(valid_text(F.col("value"))))
+    rows = _whole_files(spark, by_name).select("path", "file_rank", body.alias("body"))
+    rows = rows.select("path", "file_rank", F.posexplode(paragraphs(F.col("body"))).alias("pos", "text"))
     return _samples(rows, "pos", split)
 
 

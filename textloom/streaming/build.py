@@ -86,16 +86,19 @@ def stream_tokens(samples: DataFrame, seq_len: int) -> DataFrame:
 
 def stream_csv_to_parquet(
     spark: SparkSession, folder: str, output: str, checkpoint: str, schema=None, compression: str = "zstd",
-    multi_line: bool = False, available_now: bool = True,
+    multi_line: bool | None = None, available_now: bool = True,
 ) -> StreamingQuery:
     """Convert the CSV files of a folder as they arrive.
 
-    The types are found once, in the files that are there at the start, and then
-    fixed: a later cell that does not fit stops the query.
+    The types, and whether cells run over line ends, are found once in the files
+    that are there at the start, and then fixed: a later cell that does not fit
+    stops the query.
     """
     codec = check_codec(spark, compression)
+    if multi_line is None:
+        multi_line = csv.has_quoted_newlines(spark, folder)
     if schema is None:
-        schema, rows = csv.infer_types(csv.read_strings(spark, folder))
+        schema, rows = csv.infer_types(csv.read_strings(spark, folder, multi_line))
         if not rows:
             raise ValueError("the CSV holds no rows")
     names = csv.schema_names(schema)
