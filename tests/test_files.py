@@ -29,6 +29,40 @@ def test_text_files_in_list_order(spark, tmp_path):
     assert (first.source, first.split) == (b, "train")
 
 
+def test_large_text_files_are_split_over_tasks(spark, tmp_path, monkeypatch):
+    """The same samples as from whole files, for every kind of blank line and broken byte."""
+    import random
+
+    rng = random.Random(5)
+    bits = [b"word ", "é😀".encode(), b"\n", b"\n\n", b"\r\n\r\n", b"\n\r\n", b"\r\n\n", b"\n\xff\n", b"\n \n", b"\xc3", b"\r\r"]
+    names = [write(tmp_path / f"{i}.txt", b"x" * 6000 + b"".join(rng.choices(bits, k=4000))) for i in range(3)]
+    names.insert(1, write(tmp_path / "small.txt", "one\n\ntwo"))
+    whole = [tuple(r) for r in files.read_files(spark, names).orderBy("seq").select("text", "source").collect()]
+    monkeypatch.setattr(files, "LARGE_FILE_BYTES", 5000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = files.read_files(spark, names)
+        assert [tuple(r) for r in rows.orderBy("seq").select("text", "source").collect()] == whole
+        assert rows.select("seq").distinct().count() == len(whole) > 1000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = []
+    for name in names:
+        text = open(name, encoding="utf-8", errors="ignore").read().strip()
+        want += [p.strip() for p in text.split("\n\n") if p.strip()] if len(text) > 5000 else [text]
+    assert [t for t, _ in whole] == want
+
+
+def test_size_filter_prunes_the_file_list(spark, tmp_path):
+    for i in range(4):
+        write(tmp_path / f"{i}.txt", "x" * 10 ** (i + 1))
+    scan = spark.read.text(str(tmp_path), wholetext=True).filter("_metadata.file_size > 500")
+    assert scan.rdd.getNumPartitions() >= 1 and scan.count() == 2
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "file_size" in plan
+
+
 def test_no_files(spark, tmp_path):
     rows = files.read_files(spark, [str(tmp_path / "none.txt")])
     assert rows.count() == 0 and rows.columns == ["text", "source", "split", "seq"]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import paragraphs, strip, unix_newlines, valid_text
 from ..operators.clean import clean
 from ..storage import MAX_BROADCAST_ROWS, broadcast_if_small, stage
+from .paragraphs import join_lines
 from .samples import SEQ, packed_seq
 
 # The suffixes that are read, in any case.
@@ -23,6 +24,9 @@ TEXT_SUFFIXES = (".txt", ".md", ".markdown")
 JSON_SUFFIXES = (".json",)
 JSONL_SUFFIXES = (".jsonl",)
 
+# Text files above this size are read by line.
+LARGE_FILE_BYTES = 64 << 20
+
 ROW_DIGITS = 11
 BLOCK_DIGITS = 17
 FILE_DIGITS = ROW_DIGITS + BLOCK_DIGITS
@@ -109,8 +113,10 @@ def _source(path: Column) -> Column:
     return F.regexp_replace(F.coalesce(F.try_url_decode(escaped), path), "^file:/+", "/")
 
 
-def _whole_files(spark: SparkSession, by_name: dict[str, int]) -> DataFrame:
+def _whole_files(spark: SparkSession, by_name: dict[str, int], condition: Column | None = None) -> DataFrame:
     scan = spark.read.text(reader_paths(by_name), wholetext=True)
+    if condition is not None:
+        scan = scan.filter(condition)
     return with_rank(scan.select("value", plain_path(F.col("_metadata.file_path")).alias("path")), by_name)
 
 
@@ -148,11 +154,23 @@ def read_files(
 
 
 def _text_samples(spark: SparkSession, by_name: dict[str, int], split: str) -> DataFrame:
-    """One sample per file, or one per paragraph when it is longer than 5000 characters."""
+    """One sample per file, or one per paragraph when it is longer than 5000 characters.
+
+    A large file is never held whole; it counts as longer than 5000 characters
+    whatever it holds (64 MB of blanks around a short text would differ). The
+    filters on the size prune the two file lists.
+    """
+    large = F.col("_metadata.file_size") > LARGE_FILE_BYTES
     body = strip(unix_newlines(valid_text(F.col("value"))))
-    rows = _whole_files(spark, by_name).select("path", "file_rank", body.alias("body"))
+    rows = _whole_files(spark, by_name, ~large).select("path", "file_rank", body.alias("body"))
     rows = rows.select("path", "file_rank", F.posexplode(paragraphs(F.col("body"))).alias("pos", "text"))
-    return _samples(rows, "pos", split)
+
+    lines = spark.read.text(reader_paths(by_name)).filter(large).select(
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        valid_text(F.col("value")).alias("line"))
+    parts = join_lines(lines).select(
+        "path", "text", packed_seq(F.col("block"), F.col("part"), ROW_DIGITS).alias("pos"))
+    return _samples(rows, "pos", split).unionByName(_samples(with_rank(parts, by_name), "pos", split))
 
 
 def _json_samples(spark: SparkSession, by_name: dict[str, int], text_column: str, split: str, on_bad: str) -> DataFrame:
