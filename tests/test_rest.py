@@ -35,6 +35,21 @@ def test_csv_widths(spark, tmp_path):
     assert [t for _, t in csv.read_csv(spark, str(tmp_path / "a.csv")).dtypes] == ["bigint", "double", "string"]
 
 
+@pytest.mark.parametrize("cells, kind, values", [
+    (["+5"], "double", [5.0]), ([" 5", "\t6 "], "bigint", [5, 6]), (["0x1F", "7"], "bigint", [31, 7]),
+    (["007", "-0"], "bigint", [7, 0]), ([".5", "5.", "1e5"], "double", [0.5, 5.0, 1e5]), (["Infinity", "-inf"], "double", [float("inf"), -float("inf")]),
+    (["0", "true", "FALSE"], "boolean", [False, True, False]), (["tRuE"], "string", ["tRuE"]), ([" true"], "string", [" true"]),
+    (["1d"], "string", ["1d"]), (["1_000"], "string", ["1_000"]), (["2024-1-2"], "string", ["2024-1-2"]), (["1e400"], "double", [float("inf")]),
+    (["2024-01-02 03:04", "2024-01-02 03:04Z"], "string", None), (["2024-01-02 03:04Z", "2024-01-02T03:04:05+01:00"], "timestamp", None),
+    (["true", "0.5"], "string", None), (["12:30"], "string", None), (["2024-01-02 03:04:05.123456789"], "timestamp_ntz", None),
+])
+def test_csv_inference(spark, tmp_path, cells, kind, values):
+    (tmp_path / "a.csv").write_text("a,b\n" + "".join(f"{c},x\n" for c in cells))
+    rows = csv.read_csv(spark, str(tmp_path / "a.csv"))
+    assert rows.dtypes[0][1] == kind
+    assert values is None or [r.a for r in rows.collect()] == values
+
+
 def test_csv_short_row_is_an_error(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\n1,2\n3\n")
     with pytest.raises(Exception, match="MALFORMED"):

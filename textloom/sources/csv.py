@@ -12,19 +12,33 @@ NULL_WORDS = (
     "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null",
 )
 
-# Types in the order they are tried; the pattern keeps Spark's wider casts out.
+# Types in the order they are tried, with the form of their cells.
+# The forms keep Spark's wider casts out.
 _DATE = r"\d{4}-\d{2}-\d{2}"
-_CLOCK = r"[ T]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?"
+_CLOCK = r"[ T]\d{2}(:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
+_HEX = "^0[xX][0-9a-fA-F]{1,15}$"
 _PATTERNS = (
-    ("bigint", r"^\s*-?\d{1,19}\s*$"),
-    ("boolean", r"^(?i)(true|false)$"),
-    ("date", f"^{_DATE}$"),
-    ("timestamp_ntz", f"^{_DATE}({_CLOCK})?$"),
-    ("timestamp", f"^{_DATE}{_CLOCK}(Z|[+-]\\d{{2}}(:?\\d{{2}})?)$"),
-    ("double", r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"),
+    ("bigint", rf"^\s*-?\d{{1,19}}\s*$|{_HEX}"),
+    ("boolean", "^(true|True|TRUE|1|false|False|FALSE|0)$"),
+    ("date", rf"^\s*{_DATE}\s*$"),
+    ("timestamp_ntz", rf"^\s*{_DATE}({_CLOCK})?\s*$"),
+    ("timestamp", rf"^\s*{_DATE}{_CLOCK}(Z|[+-]\d{{2}}(:?\d{{2}})?)\s*$"),
+    ("double", r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"),
 )
 
 
+def _as_type(c: Column, kind) -> Column:
+    """The cell as a value, or null when it does not fit."""
+    if kind in ("bigint", T.LongType()):
+        hexadecimal = F.conv(F.substring(c, 3, 15), 16, 10).try_cast("bigint")
+        return F.when(c.rlike(_HEX), hexadecimal).otherwise(c.try_cast("bigint"))
+    if kind in ("timestamp", "timestamp_ntz", T.TimestampType(), T.TimestampNTZType()):
+        # Spark wants minutes and seconds to be written out.
+        c = F.regexp_replace(c, rf"^(\s*{_DATE}[ T]\d{{2}})(?![:\d])", "$1:00")
+        c = F.regexp_replace(c, rf"^(\s*{_DATE}[ T]\d{{2}}:\d{{2}})(?![:\d])", "$1:00")
+    return c.try_cast(kind)
+
+
 def has_quoted_newlines(spark: SparkSession, path: str | list[str]) -> bool:
     """True unless every line has an even number of quotes.
 
@@ -72,7 +86,7 @@ def infer_types(rows: DataFrame) -> tuple[dict[str, str], int]:
         c = F.col(_quoted(name))
         checks.append(F.count(c).alias(f"n{i}"))
         for j, (kind, pattern) in enumerate(_PATTERNS):
-            fits = c.rlike(pattern) & F.trim(c).try_cast(kind).isNotNull()
+            fits = c.rlike(pattern) & _as_type(c, kind).isNotNull()
             checks.append(F.count_if(fits).alias(f"n{i}_{j}"))
     found = rows.agg(F.count(F.lit(1)).alias("rows"), *checks).first()
     types = {}
@@ -101,7 +115,7 @@ def typed(rows: DataFrame, schema) -> DataFrame:
     for name, kind in schema.items():
         c = F.col(_quoted(name))
         if kind not in ("string", T.StringType()):
-            c = F.when(c.isNotNull(), F.coalesce(F.trim(c).try_cast(kind), F.raise_error(
+            c = F.when(c.isNotNull(), F.coalesce(_as_type(c, kind), F.raise_error(
                 F.concat(F.lit(f"column {name}: not a {kind}: "), c)).cast(kind)))
         columns.append(c.alias(name))
     return rows.select(*columns)

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from functools import reduce
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +61,7 @@ def existing_files(spark: SparkSession, paths: Iterable[str], suffixes: tuple[st
     Spark's own file index holds.
     """
     found: dict[str, None] = {}
-    for path in paths:
+    for path in [paths] if isinstance(paths, str) else paths:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         try:
             names = reader.load(path).inputFiles()
@@ -177,9 +177,10 @@ def _json_samples(spark: SparkSession, by_name: dict[str, int], text_column: str
     """Samples from documents that hold a list of objects or bare values, or one object."""
     stop = on_bad == "stop_file"
 
-    @F.pandas_udf("array<string>")
-    def texts(documents: pd.Series) -> pd.Series:
-        return documents.map(lambda d: None if d is None else _document_texts(d, text_column, stop))
+    @F.arrow_udf("array<string>")
+    def texts(documents: pa.Array) -> pa.Array:
+        found = [None if d is None else _document_texts(d, text_column, stop) for d in documents.to_pylist()]
+        return pa.array(found, pa.list_(pa.string()))
 
     valid = F.when(F.is_valid_utf8("value"), F.col("value"))
     rows = _whole_files(spark, by_name).select(
@@ -239,9 +240,11 @@ def parse_json_lines(rows: DataFrame, text_column: str) -> DataFrame:
                F.when(F.col("_field").isNull(), "missing").when(F.col("_type") == "STRING", "text").otherwise("bad"))
         .when(F.col("_v").isNotNull() & F.startswith(line, F.lit('"')), "bare"))
 
-    @F.pandas_udf("text string, bad boolean")
-    def exact(lines: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_line_text(v, text_column) for v in lines], columns=["text", "bad"])
+    @F.arrow_udf("text string, bad boolean")
+    def exact(lines: pa.Array) -> pa.Array:
+        found = [_line_text(v, text_column) for v in lines.to_pylist()]
+        return pa.StructArray.from_arrays(
+            [pa.array([t for t, _ in found], pa.string()), pa.array([b for _, b in found], pa.bool_())], ["text", "bad"])
 
     rows = rows.withColumn("_exact", exact(F.when(F.col("_kind").isNull() & ~F.col("broken_bytes"), line)))
     text = (
