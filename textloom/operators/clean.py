@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_key, strip
@@ -43,9 +43,14 @@ def distinct_texts(rows: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
+def key_columns(text: str = "text") -> list[Column]:
+    """Content key and length of a text."""
+    return [content_key(F.col(text)).alias("key"), F.length(text).alias("n")]
+
+
 def text_keys(samples: DataFrame, text: str = "text", seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
     """The narrow form of the samples that dedupe, counts and splits work on."""
-    return samples.select(seq, content_key(F.col(text)).alias("key"), F.length(text).alias("n"), *keep)
+    return samples.select(seq, *key_columns(text), *keep)
 
 
 def dedupe(samples: DataFrame, text: str = "text", seq: str = "seq") -> DataFrame:

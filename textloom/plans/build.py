@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..operators import clean
-from ..operators.clean import count_removed, distinct_texts, length_range, text_keys
+from ..operators.clean import count_removed, distinct_texts, key_columns, length_range, text_keys
 from ..operators.order import preview
 from ..operators.split import assign_splits, check_ratios, label_rows, split_cuts
 from ..operators.stats import split_histogram
@@ -45,9 +45,9 @@ def build(
     """Clean samples and write them as a dataset.
 
     The texts are read twice: once for their keys and once for the output. The
-    work in between runs on a staged table of 44 bytes per sample. ``samples``
+    work in between runs on a stored table of 44 bytes per sample. ``samples``
     must give the same ``seq`` in both readings; unless ``seq_is_stored`` says so
-    (an id column of a table), they are staged first.
+    (an id column of a table), they are staged first, together with their keys.
 
     ``ordered`` sorts the output by ``seq``; by default no row moves for order.
     """
@@ -56,10 +56,13 @@ def build(
         raise ValueError("a dataset name is required")
     ratios = check_ratios(split_ratios)
     splitting = sum(ratios) > 0
+    keep = () if splitting else ("split",)
+    rows = None
     if not seq_is_stored:
-        samples = stage(samples, "samples")
+        samples = stage(samples.select("text", "source", "split", "seq", *key_columns()), "samples")
+        rows = samples.select("seq", "key", "n", *keep)
 
-    chosen = choose(samples, dedupe, min_chars, max_chars, keep=() if splitting else ("split",))
+    chosen = choose(samples, dedupe, min_chars, max_chars, keep, rows)
     counts, kept = chosen.counts, chosen.kept
     if not counts["total"]:
         raise ValueError("no samples to write; add texts first")
@@ -126,10 +129,16 @@ class Choice:
 
 def choose(
     samples: DataFrame, drop_duplicates: bool = True, min_chars: int = 0, max_chars: int = 0, keep: tuple[str, ...] = (),
+    rows: DataFrame | None = None,
 ) -> Choice:
-    """Read the texts once, store their keys, and choose the samples that stay."""
-    rows = text_keys(samples, keep=keep)
-    rows = stage(rows if drop_duplicates else rows.drop("key"), "keys")
+    """Choose the samples that stay.
+
+    ``rows`` are the keys where they are stored already; else the texts are read
+    once and their keys are staged.
+    """
+    if rows is None:
+        rows = text_keys(samples, keep=keep)
+        rows = stage(rows if drop_duplicates else rows.drop("key"), "keys")
     first = stage(distinct_texts(rows), "first") if drop_duplicates else rows
     counts = count_removed(first, drop_duplicates, min_chars, max_chars).first().asDict()
     kept = first
