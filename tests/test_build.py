@@ -145,3 +145,45 @@ def test_work_path_follows_the_session(spark):
     before = spark.conf.get("spark.checkpoint.dir", None)
     path = storage.work_path(spark, "x")
     assert before is None or path.startswith(before)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_wide_row_moves_while_the_copies_are_few(spark, corpus, tmp_path):
+    """Copies are broadcast, the split is a projection; beyond the bound both sides shuffle."""
+    samples, _ = corpus
+    samples.write.parquet(str(tmp_path / "in"))
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    chosen = bld.choose(stored, True, 20, 60)
+    few = bld.Choice(chosen.rows, chosen.first, chosen.kept, {**chosen.counts, "duplicates": 5}, 20, 60)
+    plan = plan_of(few.apply(stored))
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "Exchange hashpartitioning" not in plan
+    many = {**chosen.counts, "duplicates": 10**10, "kept": 10**10}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(bld.Choice(chosen.rows, chosen.first, chosen.kept, many, 20, 60).apply(stored))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in plan and "LeftSemi" in plan and "hashpartitioning(seq" in plan
+    copies = bld.Choice(chosen.rows, chosen.first, chosen.kept, {**chosen.counts, "duplicates": 0}, 20, 60)
+    assert "Join" not in plan_of(copies.apply(stored))
+
+
+def test_only_needed_columns_are_read(spark, tmp_path):
+    from textloom.sources.samples import from_table
+
+    spark.range(5).selectExpr("id", "'a' body", "'b' other", "id more").write.parquet(str(tmp_path / "in"))
+    rows = from_table(spark.read.parquet(str(tmp_path / "in")), "body", seq="id")
+    assert "ReadSchema: struct<id:bigint,body:string>" in plan_of(rows)
+    assert "ReadSchema: struct<body:string>" in plan_of(rows.select("text"))
+
+
+def test_one_text_and_one_source_in_a_third_of_all_rows(spark, tmp_path):
+    rows = spark.range(3000).selectExpr(
+        "id seq", "if(id % 3 = 0, 'the hot text', concat('text ', id)) text", "if(id % 3 = 0, 'hot', 'cold') source", "'' split")
+    result = bld.build(rows, str(tmp_path / "o"), "n", seq_is_stored=True)
+    assert result.samples == 2001 and result.removed == {"duplicates": 999}
+    assert result.splits == {"train": 1800, "validation": 100, "test": 101}

@@ -187,9 +187,15 @@ def build_from_pages(
 
 def preview_build(
     samples: DataFrame, n: int = 5, drop_duplicates: bool = False, min_chars: int = 0, max_chars: int = 0,
+    seq_is_stored: bool = False,
 ) -> tuple[int, DataFrame]:
-    """Number of samples and the first n after the cleaning steps that are asked for."""
+    """Number of samples and the first n after the cleaning steps that are asked for.
+
+    Dedupe reads the samples twice, so they are staged for it unless
+    ``seq_is_stored``.
+    """
     if drop_duplicates:
+        samples = samples if seq_is_stored else stage(samples, "samples")
         samples = clean.dedupe(samples)
     samples = length_range(samples, min_chars, max_chars)
     return samples.count(), preview(samples, n)

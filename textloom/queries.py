@@ -329,7 +329,7 @@ def preview(spark, sf_dir):
 select doc_id, source, length(text) as n_chars, (select count(*) from kept)::bigint as samples from kept order by doc_id limit 5""")
 def preview_build(spark, sf_dir):
     """Number of samples after cleaning, beside the first five."""
-    count, head = bld.preview_build(_documents(spark, sf_dir), 5, True, MIN_CHARS)
+    count, head = bld.preview_build(_documents(spark, sf_dir), 5, True, MIN_CHARS, seq_is_stored=True)
     return head.select(
         _doc_id(), "source", F.length("text").alias("n_chars"), F.lit(count).cast("bigint").alias("samples"))
 
