@@ -20,8 +20,14 @@ _ESCAPE = "\ufdd0"
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode whitespace at both ends; reads only the ends of the text."""
-    return F.btrim(text, F.lit(WHITESPACE))
+    """Remove Unicode whitespace at both ends.
+
+    Trimming the right end indexes every character of the text, so it is left to
+    the texts that end in whitespace.
+    """
+    spaces = F.array(*[F.lit(c) for c in WHITESPACE])
+    padded = F.exists(spaces, lambda space: F.endswith(text, space))
+    return F.ltrim(F.when(padded, F.rtrim(text, F.lit(WHITESPACE))).otherwise(text), F.lit(WHITESPACE))
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -54,7 +60,7 @@ def valid_text(text: Column) -> Column:
 def pieces(text: Column, separator: str) -> Column:
     """Split on a literal separator, strip each piece, drop the blank ones."""
     parts = F.split(text, f"\\Q{separator}\\E")
-    return F.filter(F.transform(parts, strip), lambda p: F.length(p) > 0)
+    return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
 def lines(text: Column) -> Column:

@@ -10,7 +10,7 @@ from ..functions.text import content_key, strip
 
 def clean(samples: DataFrame, text: str = "text") -> DataFrame:
     """Strip every text and drop the empty ones."""
-    return samples.withColumn(text, strip(F.col(text))).filter(F.length(text) > 0)
+    return samples.withColumn(text, strip(F.col(text))).filter(F.col(text) != "")
 
 
 def min_length(samples: DataFrame, chars: int, text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ def byte_tokens(texts: DataFrame, seq_len: int, text: str = "text", keep: tuple[
     """
     start = F.substring(F.col(text).cast("binary"), 1, seq_len)
     ids = F.transform(F.split(F.decode(start, "ISO-8859-1"), ""), F.ascii)
-    ids = F.when(F.length(text) > 0, ids).otherwise(F.array().cast("array<int>"))
+    ids = F.when(F.col(text) != "", ids).otherwise(F.array().cast("array<int>"))
     return _produced(texts.select(*keep, ids.alias("input_ids")), keep)
 
 

@@ -218,7 +218,7 @@ def parse_json_lines(rows: DataFrame, text_column: str) -> DataFrame:
     Whatever that does not settle goes to Python's parser; those lines are few.
     """
     line = F.col("_line")
-    rows = rows.withColumn("_line", strip(F.col("value"))).filter(F.length("_line") > 0)
+    rows = rows.withColumn("_line", strip(F.col("value"))).filter(F.col("_line") != "")
     rows = rows.withColumn("broken_bytes", ~F.is_valid_utf8("_line"))
     framed = F.concat(F.lit("["), line, F.lit(f',"{_END}"]'))
     # An escaped half of a surrogate pair is legal JSON but no legal text.
