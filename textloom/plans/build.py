@@ -14,7 +14,7 @@ from ..operators.clean import count_removed, distinct_texts, key_columns, length
 from ..operators.order import preview
 from ..operators.split import assign_splits, check_ratios, label_rows, split_cuts
 from ..operators.stats import split_histogram
-from ..sinks.files import check_format, metadata_path, metadata_row, output_path, write_metadata, write_samples
+from ..sinks.files import check_format, metadata_path, metadata_row, write_metadata, write_samples
 from ..sources.files import read_files
 from ..sources.pages import from_pages
 from ..sources.samples import from_table, from_texts
