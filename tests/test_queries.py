@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from textloom.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="supplied tables are not here")
@@ -24,7 +25,7 @@ def rows(columns, values):
     return sorted(columns), sorted((tuple(r[i] for i in order) for r in values), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = entry_module.queries()[name](spark, SF_DIR)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
