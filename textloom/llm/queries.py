@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
 from .exact_dedup import exact_dedup
 
 QUERIES: dict = {}
@@ -35,3 +36,12 @@ from t window w as (partition by norm)""")
 def op1_exact_dedup(spark, sf_dir):
     rows = exact_dedup(_table(spark, sf_dir, "documents"), keep="largest", from_files=True)
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op10_quality_rules(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    rows = quality.line_quality(docs.select("doc_id", "text"), quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return rows.select(
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines",
+        "content_share")
