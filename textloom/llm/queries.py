@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality
 from .exact_dedup import exact_dedup
+from .simhash import simhash_components
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -45,3 +47,12 @@ def op10_quality_rules(spark, sf_dir):
     return rows.select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines",
         "content_share")
+
+
+SHINGLE, MAX_BITS = 3, 3
+
+
+@query()
+def op9_simhash_dedup(spark, sf_dir):
+    rows = simhash_components(_table(spark, sf_dir, "documents"), SHINGLE, MAX_BITS, from_files=True)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
