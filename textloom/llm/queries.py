@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import quality
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .packing import pack
 from .simhash import simhash_components
 
 QUERIES: dict = {}
@@ -56,3 +58,28 @@ SHINGLE, MAX_BITS = 3, 3
 def op9_simhash_dedup(spark, sf_dir):
     rows = simhash_components(_table(spark, sf_dir, "documents"), SHINGLE, MAX_BITS, from_files=True)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op6_packing(spark, sf_dir):
+    return pack(_table(spark, sf_dir, "documents"), from_files=True)
+
+
+@query(r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+s as (select source, sum(size)::bigint as words, row_number() over (order by source nulls last) - 1 as nth from d group by source),
+w as (select *, [3, 1, 2][nth % 3 + 1] as weight, (select sum(words) from s)::bigint as everything from s),
+l as (select *, coalesce(sum(2 * words) over before, 0)::bigint as used, (sum(weight) over () - coalesce(sum(weight) over before, 0))::bigint as rest
+      from w window before as (order by words / weight, nth rows between unbounded preceding and 1 preceding)),
+full_ as (select *, (3 * everything - 2 * used) * weight > 4 * words * rest as capped from l),
+r as (select coalesce(sum(2 * words) filter (where capped), 0) as used, sum(weight) filter (where not capped) as rest from full_),
+t as (select source, words, case when capped then (2 * words)::double
+      else (1.5::double * everything - r.used) * weight / r.rest end as target from full_, r),
+o as (select d.*, t.words, t.target, floor(t.target)::bigint as flow, coalesce(sum(size) over (partition by d.source
+      order by md5(concat('mix:', doc_id)) rows between unbounded preceding and 1 preceding), 0)::bigint as place
+      from d join t on d.source is not distinct from t.source)
+select doc_id, size, words as source_size, target, size * ((size > 0 and 2 * place + size <= 2 * flow)::bigint
+       + (size > 0 and 2 * (words + place) + size <= 2 * flow)::bigint) as taken from o""")
+def op8_mixing(spark, sf_dir):
+    rows = mix(_table(spark, sf_dir, "documents"), from_files=True)
+    return rows.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
