@@ -37,12 +37,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near fingerprints keep the smallest doc_id; of repeated ids, the first row."""
     rows = stage(simhash_components(docs, SHINGLE, MAX_BITS, from_files=True), "pipeline-components")
-    lowest = rows.filter(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(
-        F.min_by("rf", F.struct("rf", "ri")).alias("rf"), F.min_by("ri", F.struct("rf", "ri")).alias("ri"))
-    # Components in which no row has an id: one row for each fingerprint stays, as nothing names the component.
-    nameless = rows.filter("component_id is null").groupBy("fp").agg(
-        F.min_by("rf", F.struct("rf", "ri")).alias("rf"), F.min_by("ri", F.struct("rf", "ri")).alias("ri"))
-    return pick_rows(docs, lowest.select("rf", "ri").union(nameless.select("rf", "ri")), "pipeline-lowest")
+    place = F.struct("rf", "ri")
+    lowest = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(place).alias("first"))
+    return pick_rows(docs, lowest.select("first.*"), "pipeline-lowest")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from ..storage import stage, work_path
+from . import quality, warc
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack
@@ -83,3 +84,16 @@ select doc_id, size, words as source_size, target, size * ((size > 0 and 2 * pla
 def op8_mixing(spark, sf_dir):
     rows = mix(_table(spark, sf_dir, "documents"), from_files=True)
     return rows.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
+
+
+MIN_REVISIT_BYTES = 0
+
+
+@query()
+def op2_warc(spark, sf_dir):
+    path = work_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path, min_revisit_bytes=MIN_REVISIT_BYTES, from_files=True)
+    rows = warc.read_archives(spark, path, with_payload=False).filter("record_type in ('response', 'revisit') or error is not null")
+    return rows.select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of("refers_to_id").alias("refers_to"), "error")

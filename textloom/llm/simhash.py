@@ -180,7 +180,8 @@ def simhash_components(
     docs: DataFrame, shingle: int = 3, max_distance: int = MAX_DISTANCE, text: Column | None = None,
     doc_id: Column | None = None, from_files: bool = False,
 ) -> DataFrame:
-    """Per row of ``docs``: rf, ri (its identity), doc_id, fp (bigint), component_id.
+    """Per row of ``docs``: rf, ri (its identity), doc_id, fp (bigint), component_id, root (a fingerprint that names
+    the component).
 
     Words are runs without blanks, A-Z lower-cased; a text of fewer words than a shingle is one shingle, and one
     without words (null, empty) has fingerprint zero, which links like any other. component_id is the smallest doc_id
@@ -205,8 +206,8 @@ def simhash_components(
     by_root = stage(by_root, "simhash-roots")
     lowest = by_root.groupBy("root").agg(F.min("low").alias("component_id"))
     # Only fingerprints that are linked or shared need another row's id; a fingerprint holds few rows of a salt.
-    answer = by_root.join(lowest, "root").select("fp", "component_id")
+    answer = by_root.join(lowest, "root").select("fp", "root", "component_id")
     salt = F.pmod(F.xxhash64("rf", "ri"), F.lit(64)).cast("int")
     salted = rows.withColumn("salt", salt)
     spread = salted.select("fp", "salt").distinct().join(answer, "fp")
-    return salted.join(spread, ["fp", "salt"]).select("rf", "ri", F.col("id").alias("doc_id"), "fp", "component_id")
+    return salted.join(spread, ["fp", "salt"]).select("rf", "ri", F.col("id").alias("doc_id"), "fp", "component_id", "root")
