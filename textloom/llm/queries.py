@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stage, work_path
-from . import quality, warc
+from . import langid, quality, warc
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack
@@ -97,3 +97,15 @@ def op2_warc(spark, sf_dir):
     return rows.select(
         warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         warc.page_of("refers_to_id").alias("refers_to"), "error")
+
+
+def _remainder(divisor: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor, F.lit(-1))
+
+
+@query()
+def op3_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(_remainder(4) != 2))
+    rows = langid.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return rows.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
