@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stage, work_path
-from . import langid, quality, warc
+from . import langid, quality, secrets, warc
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack
@@ -109,3 +109,9 @@ def op3_language_id(spark, sf_dir):
     model = langid.fit(docs.filter(_remainder(4) != 2))
     rows = langid.identify(docs, model).withColumnRenamed("id", "doc_id")
     return rows.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op4_secret_scan(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
