@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack
 from .simhash import simhash_components
+from .suffix_dedup import remove_repeats
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -115,3 +116,12 @@ def op3_language_id(spark, sf_dir):
 def op4_secret_scan(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.fit(docs))
+
+
+REPEAT_BYTES = 400
+
+
+@query()
+def op5_suffix_dedup(spark, sf_dir):
+    rows = remove_repeats(_table(spark, sf_dir, "documents"), REPEAT_BYTES, from_files=True)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
