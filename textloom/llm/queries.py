@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stage, work_path
-from . import langid, quality, secrets, warc
+from . import langid, pitman_yor, quality, secrets, warc
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack
@@ -125,3 +125,12 @@ REPEAT_BYTES = 400
 def op5_suffix_dedup(spark, sf_dir):
     rows = remove_repeats(_table(spark, sf_dir, "documents"), REPEAT_BYTES, from_files=True)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query()
+def op7_lm_score(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = pitman_yor.fit(docs.filter(_remainder(10) != 0))
+    return pitman_yor.score(docs, model, from_files=True).select(
+        "doc_id", (_remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"),
+        "base_score", "score")
