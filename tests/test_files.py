@@ -1,7 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from textloom.operators import clean
 from textloom.sinks import files as sinks
 from textloom.sources import datasets, files, samples
 
@@ -215,3 +217,32 @@ def test_ingest_order_and_lines(spark):
 
 def test_missing_text_column_gives_nothing(spark):
     assert samples.from_table(spark.range(3).withColumnRenamed("id", "seq"), "nope").count() == 0
+
+
+def test_ingest_keeps_numbers_apart(spark):
+    one = spark.createDataFrame([(-5, "a"), (10**17, "b")], "seq bigint, text string")
+    one = samples.from_table(one)
+    inner = samples.ingest([("x", one), ("y", one), ("none", one.limit(0))])
+    outer = samples.ingest([("i", inner), ("j", inner.drop("input_kind")), ("k", one)])
+    got = outer.orderBy("seq").collect()
+    assert [r.text for r in got] == ["a", "b"] * 5 and len({r.seq for r in got}) == 10
+    assert sorted(r.text for r in clean.dedupe(outer).collect()) == ["a", "b"]
+    many = samples.ingest([(str(i), one) for i in range(120)])
+    assert many.select("seq").distinct().count() == 240
+
+
+def test_positions_that_do_not_fit_are_an_error(spark):
+    with pytest.raises(Exception, match="exceeds"):
+        spark.range(1).select(samples.packed_seq(F.lit(1), F.lit(10**10))).collect()
+
+
+def test_first_rows_of_files_do_not_depend_on_splits(spark, tmp_path):
+    path = str(tmp_path / "d.jsonl")
+    spark.range(0, 20_000, 1, 3).selectExpr("id as n", "repeat('x', 50) as t").write.json(path)
+    rows = datasets.load_dataset(spark, path, 7000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert rows.count() == 7000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -116,3 +116,12 @@ def test_nth_position(spark, n):
 def test_first_rows_by_search(spark):
     rows = spark.range(5000).select((F.col("id") * 7).alias("seq"))
     assert order.first_rows(rows, 1234, merge_rows=10).agg(F.max("seq"), F.count("seq")).first() == (1233 * 7, 1234)
+
+
+def test_first_rows_with_ties_and_nulls(spark):
+    rows = spark.range(300).selectExpr("if(id % 50 = 49, null, id div 3) as seq", "id % 7 as v")
+    for n in (1, 2, 10, 100, 294, 295, 300, 400):
+        got = {size: sorted(map(str, order.first_rows(rows.repartition(p), n, merge_rows=size).collect())) for size, p in ((2, 1), (100_000, 5))}
+        assert got[2] == got[100_000] and len(got[2]) == min(n, 300)
+    equal = spark.range(500).selectExpr("1 as seq", "2 as v")
+    assert order.first_rows(equal, 123, merge_rows=3).count() == 123

@@ -114,7 +114,12 @@ def test_search(spark):
             ids(**args)
     many = spark.range(300).selectExpr("concat('a/', id) id", "cast(null as string) author", "id downloads", "id likes",
                                        "array('x') tags", "'' description")
-    assert catalog.search_catalog(many, limit=500).count() == 100
+    assert catalog.search_catalog(many, limit=500).count() == 300
+    assert catalog.search_catalog(many, limit=500, max_results=100).count() == 100
+    bare = catalog.search_catalog(many.select("id"), query="a/7", sort="trending").collect()
+    assert [(r.author, r.downloads, r.tags) for r in bare[:1]] == [("a", 0, [])] and len(bare) == 11
+    assert catalog.dataset_details(many.select("id")).first().siblings_count == 0
+    assert catalog.list_splits(many.select("id").limit(1)).first().splits == ["train"]
 
 
 def test_detail_splits_and_summary(spark):

@@ -55,6 +55,8 @@ def test_paths_and_urls(spark):
     assert column(spark, paths, tx.file_suffix) == [".txt", "", ".gz", ""]
     urls = ["http://a/b", "HTTPS://a", "ftp://a", "a/b", "http://[bad", None]
     assert column(spark, urls, tx.is_http_url) == [True, True, False, False, False, False]
+    odd = ["http://a.com/x|y", "http://a.com/a b", "https://a.com/{id}?q=[1]", " http://a", "http://[::1]/", "https//a"]
+    assert column(spark, odd, tx.is_http_url) == [True, True, True, True, True, False]
 
 
 def test_shorten(spark):

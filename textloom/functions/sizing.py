@@ -30,6 +30,15 @@ RANGES = {
 }
 
 
+# The words that a field may hold.
+CHOICES = {
+    "adapter": ("full", "lora", "qlora"),
+    "architecture": ("transformer", "looped_transformer", "mamba"),
+    "mode": ("train", "finetune"),
+    "device": ("auto", "cuda", "cpu"),
+}
+
+
 def _big(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(BIG)
 
@@ -89,9 +98,11 @@ def config_code() -> Column:
 
 
 def range_violations(columns: list[str]) -> Column:
-    """Names of the given configuration columns whose value is out of range."""
+    """Names of the given configuration columns whose value is out of range or no known word."""
     broken = []
     for name in columns:
+        if name in CHOICES:
+            broken.append(F.when(~F.coalesce(F.col(name).isin(*CHOICES[name]), F.lit(False)), F.lit(name)))
         if name not in RANGES:
             continue
         low, low_in, high, high_in = RANGES[name]

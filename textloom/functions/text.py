@@ -88,8 +88,10 @@ def file_suffix(path: Column) -> Column:
 
 
 def is_http_url(url: Column) -> Column:
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    return F.coalesce(scheme.isin("http", "https"), F.lit(False))
+    """Whether the scheme is http or https; any path and query will do. A lone bracket in the host makes no address."""
+    host = F.regexp_extract(url, r"^[\x00-\x20]*[^:/?#]+://([^/?#]*)", 1)
+    whole = F.contains(host, F.lit("[")) == F.contains(host, F.lit("]"))
+    return F.coalesce(url.rlike(r"(?i)^[\x00-\x20]*https?:") & whole, F.lit(False))
 
 
 def shorten(text: Column, limit: int, mark: str = "…") -> Column:

@@ -1,7 +1,7 @@
 """Search, detail and split listing on a dataset catalogue.
 
-A catalogue row is ``id, author, downloads, likes, tags, description`` and
-optionally ``trending, lastModified, createdAt, siblings``.
+A catalogue row is ``id, author, downloads, likes, tags, description, trending,
+lastModified, createdAt, siblings``; all but the id may be missing.
 """
 
 from __future__ import annotations
@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 from ..functions.catalog import author_or_owner, dataset_url, first_tags, split_names, summary_line
 from ..functions.text import shorten
 
-# Sort columns and the largest number of results.
+# Sort columns.
 SORT_COLUMNS = ("downloads", "likes", "trending", "lastModified", "createdAt")
-MAX_RESULTS = 100
+_OPTIONAL = {
+    "author": "string", "downloads": "bigint", "likes": "bigint", "tags": "array<string>", "description": "string",
+    "trending": "double", "lastModified": "timestamp", "createdAt": "timestamp",
+    "siblings": "array<struct<rfilename:string>>",
+}
+
+
+def with_optional(catalog: DataFrame) -> DataFrame:
+    """The catalogue with every optional column; those it lacks are null."""
+    missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in catalog.columns}
+    return catalog.withColumns(missing) if missing else catalog
 
 
 def filter_catalog(catalog: DataFrame, query: str = "", task: str = "", language: str = "", author: str = "") -> DataFrame:
@@ -23,6 +33,7 @@ def filter_catalog(catalog: DataFrame, query: str = "", task: str = "", language
     ``query`` is searched in id and description without regard to case; task and
     language are tags, plain or with the prefix ``task_categories:`` / ``language:``.
     """
+    catalog = with_optional(catalog)
     if query:
         word = F.lit(query.lower())
         where = F.contains(F.lower("id"), word) | F.contains(F.lower(F.coalesce("description", F.lit(""))), word)
@@ -37,16 +48,19 @@ def filter_catalog(catalog: DataFrame, query: str = "", task: str = "", language
 
 def search_catalog(
     catalog: DataFrame, query: str = "", sort: str = "downloads", direction: int = -1, limit: int = 30,
-    task: str = "", language: str = "", author: str = "",
+    task: str = "", language: str = "", author: str = "", max_results: int | None = None,
 ) -> DataFrame:
-    """The best matches, at most 100, as a top-n over the filtered rows; ties go by id."""
+    """The best matches as a top-n over the filtered rows; ties go by id.
+
+    ``max_results`` bounds the limits that callers may ask for; by default none does.
+    """
     if sort not in SORT_COLUMNS:
         raise ValueError(f"unknown sort: {sort}; use one of {', '.join(SORT_COLUMNS)}")
     if int(direction) not in (-1, 1):
         raise ValueError("direction must be -1 or 1")
     rows = filter_catalog(catalog, query, task, language, author)
     order = F.desc(sort) if int(direction) == -1 else F.asc(sort)
-    top = rows.orderBy(order, F.asc("id")).limit(max(0, min(int(limit), MAX_RESULTS)))
+    top = rows.orderBy(order, F.asc("id")).limit(max(0, int(limit) if max_results is None else min(int(limit), max_results)))
     return top.select(
         "id", author_or_owner(F.col("author"), F.col("id")).alias("author"),
         F.coalesce("downloads", F.lit(0)).cast("bigint").alias("downloads"),
@@ -75,6 +89,7 @@ def dataset_detail(catalog: DataFrame, dataset_id: str) -> DataFrame:
 
 def dataset_details(catalog: DataFrame) -> DataFrame:
     """Detail rows: defaults for missing fields and the number of files."""
+    catalog = with_optional(catalog)
     no_tags = F.array().cast("array<string>")
     return catalog.select(
         "id", F.coalesce("author", F.lit("")).alias("author"),
@@ -90,6 +105,7 @@ def dataset_details(catalog: DataFrame) -> DataFrame:
 
 def list_splits(catalog: DataFrame) -> DataFrame:
     """Split names per catalogue row, from its own file list: a projection without shuffle."""
+    catalog = with_optional(catalog)
     names = F.coalesce(F.col("siblings.rfilename"), F.array().cast("array<string>"))
     return catalog.select("id", split_names(names).alias("splits"))
 

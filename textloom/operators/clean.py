@@ -9,8 +9,14 @@ from ..functions.text import content_key, strip
 
 
 def clean(samples: DataFrame, text: str = "text") -> DataFrame:
-    """Strip every text and drop the empty ones."""
-    return samples.withColumn(text, strip(F.col(text))).filter(F.col(text) != "")
+    """Strip every text and drop the empty ones.
+
+    Unfolding a one-element array keeps this filter and later ones above the stripping; pushed below, each of them
+    would strip every text again.
+    """
+    others = [c for c in samples.columns if c != text]
+    once = samples.select(*others, F.inline(F.array(F.struct(strip(F.col(text)).alias(text)))))
+    return once.select(*samples.columns).filter(F.col(text) != "")
 
 
 def min_length(samples: DataFrame, chars: int, text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows one task can merge the per-partition tops.
+# So many narrow positions are sorted at once when a slot is small enough.
 MERGE_ROWS = 100_000
 SLOTS = 65_536
 
@@ -18,18 +18,33 @@ def preview(samples: DataFrame, n: int = 5, seq: str = "seq") -> DataFrame:
 
 
 def first_rows(rows: DataFrame, n: int, seq: str = "seq", merge_rows: int = MERGE_ROWS) -> DataFrame:
-    """The first n rows by ``seq``; 0 keeps all.
+    """The first n rows by ``seq``, exactly n of them if there are as many; 0 keeps all.
 
-    A small n is a top-n merge. For a large n the position of the n-th row is
-    searched on the ``seq`` column alone, and the rest is a filter that each
-    task applies on its own.
+    The position of the n-th row is searched on ``seq`` alone, and the rest is a filter that each task applies on its
+    own. Null positions come last. Of rows that share the last position those with the smallest hashes of their
+    values are taken, so any setting and order of files gives the same rows.
     """
     if n <= 0:
         return rows
-    if n <= merge_rows:
-        return rows.orderBy(seq).limit(n)
-    last = nth_position(rows, n, seq, merge_rows)
-    return rows if last is None else rows.filter(F.col(seq) <= F.lit(last).cast(rows.schema[seq].dataType))
+    here, left = rows.filter(F.col(seq).isNotNull()), n
+    last = nth_position(here, n, seq, merge_rows)
+    if last is None:
+        left -= here.count()
+        return here if left <= 0 else here.unionByName(_by_hash(rows.filter(F.col(seq).isNull()), left, merge_rows))
+    at = F.lit(last).cast(rows.schema[seq].dataType)
+    below, same = here.filter(F.col(seq) < at), here.filter(F.col(seq) == at)
+    left -= below.count()
+    return below.unionByName(same if same.count() <= left else _by_hash(same, left, merge_rows))
+
+
+def _by_hash(rows: DataFrame, n: int, merge_rows: int) -> DataFrame:
+    """n rows with the smallest hashes of all values; rows of one hash are as good as equal."""
+    marked = rows.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    last = nth_position(marked, n, "_hash", merge_rows)
+    if last is None:
+        return rows
+    below = marked.filter(F.col("_hash") < int(last))
+    return below.unionByName(marked.filter(F.col("_hash") == int(last)).limit(n - below.count())).drop("_hash")
 
 
 def nth_position(rows: DataFrame, n: int, seq: str = "seq", merge_rows: int = MERGE_ROWS):
@@ -46,7 +61,9 @@ def nth_position(rows: DataFrame, n: int, seq: str = "seq", merge_rows: int = ME
     while True:
         width = (high - low) // SLOTS + 1
         inside = pos.filter((F.col("p") >= Decimal(low)) & (F.col("p") <= Decimal(high)))
-        slot = F.floor((F.col("p") - F.lit(Decimal(low))) / F.lit(Decimal(width))).cast("bigint")
+        ahead, step = F.col("p") - F.lit(Decimal(low)), F.lit(Decimal(width))
+        # Whole before dividing: a quotient of long decimals is rounded.
+        slot = ((ahead - ahead % step) / step).cast("bigint")
         counts = inside.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("rows"))
         upto = F.sum("rows").over(Window.orderBy("slot"))
         hit = counts.withColumn("upto", upto).filter(F.col("upto") >= left).orderBy("slot").first()

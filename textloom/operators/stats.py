@@ -18,6 +18,22 @@ def dataset_stats(samples: DataFrame, name: str, text: str = "text") -> DataFram
     ).select(F.lit(name).alias("name"), F.lit(text).alias("text_column"), "*")
 
 
+def stats_record(samples: DataFrame, name: str, text: str = "text", top: int = 10) -> DataFrame:
+    """``dataset_stats`` with the splits and the largest sources, as one row.
+
+    Split names and the ``top`` sources are what is gathered; both come from aggregates that merge inside map tasks.
+    """
+    splits = split_histogram(samples.withColumn("split", F.coalesce("split", F.lit("")))).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "samples")))).alias("splits"))
+    ranked = top_sources(samples, top).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("samples")).alias("order"), "first_seq", "source", "samples"))).alias("s"))
+    ranked = ranked.select(F.transform("s", lambda x: F.struct(x["source"].alias("source"), x["samples"].alias("samples"))).alias("top_sources"))
+    # Three rows of one each.
+    key = F.lit(1).alias("_one")
+    one = dataset_stats(samples, name, text).select("*", key)
+    return one.join(splits.select("*", key), "_one").join(ranked.select("*", key), "_one").drop("_one")
+
+
 def split_histogram(samples: DataFrame) -> DataFrame:
     return samples.groupBy("split").agg(F.count(F.lit(1)).alias("samples"))
 

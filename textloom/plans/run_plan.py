@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import RANGES, config_code, range_violations, tokens_per_step, training_steps, vram_mb
+from ..functions.sizing import CHOICES, RANGES, config_code, range_violations, tokens_per_step, training_steps, vram_mb
 
 # Defaults of a run configuration.
 DEFAULTS = {
@@ -17,11 +17,11 @@ U32_FIELDS = ("seq_len", "hidden_size", "layers", "batch_size", "grad_accum", "v
 
 def config_column(configs: list[dict]) -> Column:
     """The caller's configurations as one literal array of structs."""
-    names = list(DEFAULTS) + sorted({k for c in configs for k in c if k in RANGES and k not in DEFAULTS})
+    names = list(DEFAULTS) + sorted({k for c in configs for k in c if (k in RANGES or k in CHOICES) and k not in DEFAULTS})
 
     def value(config: dict, name: str) -> Column:
         v = F.lit(config.get(name, DEFAULTS.get(name)))
-        if name == "adapter":
+        if name in CHOICES:
             return v.cast("string")
         return v.cast("bigint" if name in U32_FIELDS else "double")
 

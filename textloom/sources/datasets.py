@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import first_rows
+from ..storage import stage
 from . import csv
 from .files import FILE_DIGITS, data_suffix, existing_files, plain_path, position_in_file, ranks, reader_paths, with_rank
-from .samples import packed_seq
+from .samples import SEQ, packed_seq
 
 # The file types of a dataset folder.
 DATA_SUFFIXES = (".json", ".jsonl", ".csv")
@@ -58,14 +59,26 @@ def take_first(rows: DataFrame, max_samples: int) -> DataFrame:
             head, files = some, first
             break
         n *= 4
-    head = head.select("*", plain_path(path).alias("path_"), position_in_file().alias("pos_"))
+    head = _placed(head)
     placed = with_rank(head, ranks(files), "path_")
     placed = placed.withColumn("pos_", packed_seq(F.col("file_rank"), F.col("pos_"), FILE_DIGITS))
     return first_rows(placed, max_samples, "pos_").select(*rows.columns)
 
 
-def load_folder(spark: SparkSession, root: str, all_files: bool = False, max_samples: int = 0, schema=None) -> DataFrame:
-    """The first JSON/JSONL/CSV file below a folder, by path; or all files of its type."""
+def _placed(scan: DataFrame) -> DataFrame:
+    """The rows with their file and their place in it, which later readings see again.
+
+    Parquet knows the place of each row. Rows of text forms are numbered anew in every reading, so they are written
+    once.
+    """
+    path = plain_path(F.col("_metadata.file_path")).alias("path_")
+    if "row_index" in scan.select("_metadata").schema["_metadata"].dataType.names:
+        return scan.select("*", path, F.col("_metadata.row_index").cast(SEQ).alias("pos_"))
+    return stage(scan.select("*", path, position_in_file().alias("pos_")), "first")
+
+
+def load_folder(spark: SparkSession, root: str, all_files: bool = True, max_samples: int = 0, schema=None) -> DataFrame:
+    """All files below a folder of the type of its first JSON/JSONL/CSV file, by path; or that file alone."""
     files = sorted(existing_files(spark, [root], DATA_SUFFIXES))
     if not files:
         raise FileNotFoundError(f"no JSON, JSONL or CSV file below {root}")

@@ -259,13 +259,26 @@ def parse_json_lines(rows: DataFrame, text_column: str) -> DataFrame:
     return rows.select(*kept, F.inline(F.array(F.struct(text.alias("text"), bad.alias("bad")))))
 
 
-def _item_text(item, text_column: str):
-    """Text of one parsed value; raises TypeError when it is not a string."""
-    text = item.get(text_column, "") if isinstance(item, dict) else str(item)
-    if not isinstance(text, str):
-        raise TypeError("text is not a string")
-    text.encode("utf-8")
-    return text
+class BadRecord(Exception):
+    """A record without a text that can be stored."""
+
+
+def _record_text(value, field: str) -> str:
+    """The text that a parsed JSON value stands for.
+
+    Records give their field, or an empty text without it; any other value stands for itself as Python writes it.
+    What is no string, or holds half of a surrogate pair, cannot be stored.
+    """
+    match value:
+        case {**record}:
+            found = record[field] if field in record else ""
+        case str():
+            found = value
+        case _:
+            found = str(value)
+    if type(found) is not str or any("\ud800" <= c <= "\udfff" for c in found):
+        raise BadRecord
+    return found
 
 
 def _line_text(line, text_column: str):
@@ -279,8 +292,8 @@ def _line_text(line, text_column: str):
     except (RecursionError, ValueError):
         return None, True
     try:
-        return _item_text(item, text_column), False
-    except (TypeError, UnicodeEncodeError):
+        return _record_text(item, text_column), False
+    except BadRecord:
         return None, True
 
 
@@ -296,8 +309,8 @@ def _document_texts(document: str, text_column: str, stop: bool) -> list[str]:
     texts = []
     for item in items:
         try:
-            texts.append(_item_text(item, text_column))
-        except (TypeError, UnicodeEncodeError):
+            texts.append(_record_text(item, text_column))
+        except BadRecord:
             if stop:
                 break
     return texts

@@ -13,6 +13,7 @@ from ..operators.clean import clean
 from .html import DEFAULT_SELECTOR, parse_selector, text_blocks
 from .samples import packed_seq
 
+# Fixed value: shortest block by default.
 MIN_BLOCK_CHARS = 40
 # Output rows are handed back to the JVM once they reach this size.
 _FLUSH_CHARS = 8 << 20
@@ -20,12 +21,14 @@ _FLUSH_CHARS = 8 << 20
 
 def extract_blocks(
     pages: DataFrame, selector: str | None = None, url: str = "url", html: str = "html", seq: str = "page_id",
+    min_chars: int = MIN_BLOCK_CHARS, keep_failed: bool = False,
 ) -> DataFrame:
     """``seq, url, pos, text``: the text blocks of every http(s) page.
 
     Parsing is the only Python step. It sees pages one by one in the task that
-    scans them, so there is no shuffle, and hands back only blocks that are long
-    enough.
+    scans them, so there is no shuffle, and hands back only blocks of at least
+    ``min_chars``. With ``keep_failed`` a page that cannot be parsed is a row with
+    place -1 and a null text; ``failed_pages`` gives these alone.
     """
     chains = parse_selector(selector or DEFAULT_SELECTOR)
     rows = pages.filter(is_http_url(F.col(url)) & F.col(html).isNotNull()).select(
@@ -39,9 +42,13 @@ def extract_blocks(
                 try:
                     blocks = text_blocks(page.as_py(), chains)
                 except (AssertionError, ValueError, RecursionError):
+                    if keep_failed:
+                        at.append(i)
+                        pos.append(-1)
+                        text.append(None)
                     continue
                 for p, block in enumerate(blocks):
-                    if len(block) < MIN_BLOCK_CHARS:
+                    if len(block) < min_chars:
                         continue
                     at.append(i)
                     pos.append(p)
@@ -55,6 +62,11 @@ def extract_blocks(
     return rows.mapInArrow(parse, f"seq {seq_type.simpleString()}, url string, pos int, text string")
 
 
+def failed_pages(pages: DataFrame, **options) -> DataFrame:
+    """``seq, url`` of the http(s) pages that cannot be parsed."""
+    return extract_blocks(pages, keep_failed=True, **options).filter("pos = -1").select("seq", "url")
+
+
 def _blocks(batch: pa.RecordBatch, at: list, pos: list, text: list) -> pa.RecordBatch:
     at = pa.array(at, pa.int32())
     return pa.RecordBatch.from_arrays(
@@ -64,10 +76,10 @@ def _blocks(batch: pa.RecordBatch, at: list, pos: list, text: list) -> pa.Record
 
 def from_pages(
     pages: DataFrame, selector: str | None = None, split: str = "", url: str = "url", html: str = "html",
-    seq: str = "page_id",
+    seq: str = "page_id", min_chars: int = MIN_BLOCK_CHARS,
 ) -> DataFrame:
     """Samples from pages; the source of each is its URL."""
-    blocks = extract_blocks(pages, selector, url, html, seq)
+    blocks = extract_blocks(pages, selector, url, html, seq, min_chars)
     return clean(blocks.select(
         "text", F.col("url").alias("source"), F.lit(split).alias("split"),
         packed_seq(F.col("seq"), F.col("pos")).alias("seq")))

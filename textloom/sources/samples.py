@@ -7,6 +7,8 @@ texts get a decimal(38,0) made of (place of the parent, place inside it).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,15 +17,17 @@ from ..functions.text import lines
 from ..operators.clean import clean
 
 SEQ = "decimal(38,0)"
-# Digits of the parts of a packed ``seq``.
+# Digits of the inner part of a packed ``seq``.
 INSIDE_DIGITS = 10
-INPUT_DIGITS = 36
 
 
 def packed_seq(parent: Column, inside: Column, digits: int = INSIDE_DIGITS) -> Column:
-    """parent * 10^digits + inside; raises on overflow instead of wrapping."""
+    """parent * 10^digits + inside; an inner part that is negative or exceeds its digits is an error, as it would
+    collide with its neighbour's."""
     shift = F.lit("1" + "0" * digits).cast(SEQ)
-    return ((parent.cast(SEQ) * shift).cast(SEQ) + inside.cast(SEQ)).cast(SEQ)
+    packed = ((parent.cast(SEQ) * shift).cast(SEQ) + inside.cast(SEQ)).cast(SEQ)
+    bad = (inside.cast(SEQ) < 0) | (inside.cast(SEQ) >= shift)
+    return F.when(bad, F.raise_error(F.lit(f"a position exceeds its {digits} digits")).cast(SEQ)).otherwise(packed)
 
 
 def from_table(
@@ -69,18 +73,34 @@ def from_lines(
 def ingest(inputs: list[tuple[str, DataFrame]]) -> DataFrame:
     """All rows of several inputs, the first input first.
 
-    Each entry is (kind, samples); the kind is kept as ``input_kind``.
+    Each entry is (kind, samples); the kind is kept as ``input_kind``. The numbers of each input are moved behind the
+    largest one so far, so the order inside an input stays, no two inputs share a number, and the range of the result
+    is the sum of theirs: ingests of ingests and any number of inputs fit. The ends of the ranges are found in one
+    job over the ``seq`` columns. ``seq`` must be stored or otherwise repeatable.
     """
     if not inputs:
         raise ValueError("no input given")
-    out = None
+    ends = [
+        samples.agg(F.lit(rank).alias("rank"), F.min("seq").cast(SEQ).alias("low"), F.max("seq").cast(SEQ).alias("high"))
+        for rank, (_, samples) in enumerate(inputs)
+    ]
+    found = {r["rank"]: r for r in _union(ends).collect()}  # a row for each input
+    parts, base = [], 0
     for rank, (kind, samples) in enumerate(inputs):
-        part = samples.select(
-            F.lit(kind).alias("input_kind"), "text", "source", "split",
-            packed_seq(F.lit(rank), F.col("seq"), INPUT_DIGITS).alias("seq"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+        low, high = found[rank]["low"], found[rank]["high"]
+        move = F.lit(Decimal(base - int(low or 0))).cast(SEQ)
+        parts.append(samples.select(
+            F.lit(kind).alias("input_kind"), "text", "source", "split", (F.col("seq").cast(SEQ) + move).cast(SEQ).alias("seq")))
+        if low is not None:
+            base += int(high) - int(low) + 1
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """Union by name, as a balanced tree: a long chain would make a deep plan."""
+    while len(parts) > 1:
+        parts = [a.unionByName(b[0]) if b else a for a, b in ((parts[i], parts[i + 1:i + 2]) for i in range(0, len(parts), 2))]
+    return parts[0]
 
 
 def ingest_counts(samples: DataFrame) -> DataFrame:
