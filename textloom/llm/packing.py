@@ -204,9 +204,18 @@ def pack(
     )
     ranked = stage(ranked, "pack-ranks")
     whole = ranked.mapInArrow(_pieces(places, False), _PIECE)
-    # Tails that are cut need their ids once more; only lengths with such tails, and only ranks beyond the patterns.
-    first = F.create_map(*[F.lit(int(x)) for n in np.flatnonzero(places.pour_first >= 0) for x in (n, places.pour_first[n])]) if (places.pour_first >= 0).any() else None
-    if first is None:
+    # Tails that are cut need their ids once more. Ranks rise with the part, so of each length only the tails of some
+    # last parts can be among them, and only these are moved.
+    first = {int(n): int(places.pour_first[n]) for n in np.flatnonzero(places.pour_first >= 0)}
+    if not first:
         return whole
-    cut = ranked.filter(F.col("rank") >= first[(F.col("n") % sequence).cast("int")]).join(tokens.select("rf", "ri", "tail"), ["rf", "ri"])
+    rank_from = F.create_map(*[F.lit(x) for item in first.items() for x in item])
+    part_from = {
+        r["len"]: r["part"] for r in
+        by_len.filter(F.col("len_before") <= rank_from[F.col("len").cast("int")]).groupBy("len").agg(F.max("part").alias("part")).collect()
+    }  # a row for each length
+    part_of = F.create_map(*[F.lit(x) for item in part_from.items() for x in (int(item[0]), int(item[1]))])
+    part = F.pmod(F.xxhash64("rf", "ri"), F.lit(parts))
+    tails = tokens.filter(part >= part_of[tail.cast("int")]).select("rf", "ri", "tail")
+    cut = ranked.filter(F.col("rank") >= rank_from[tail.cast("int")]).join(tails, ["rf", "ri"])
     return whole.unionByName(cut.mapInArrow(_pieces(places, True), _PIECE))
