@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import quality
-from textloom.llm.common import numbered, pick_rows
+from textloom.llm.common import MAX_BROADCAST_ROWS, numbered, pick_rows
 from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.mixing import mix
 from textloom.llm.packing import pack
@@ -45,6 +45,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources come near their target weights."""
     rows = stage(mix(docs, from_files=True).filter("copies > 0").select("rf", "ri", "copies"), "pipeline-copies")
+    rows = F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows
     whole = numbered(docs, {"doc": F.struct(*[docs[f"`{c}`"] for c in docs.columns])}, True, "pipeline-docs")
     return whole.join(rows, ["rf", "ri"]).select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("doc.*")
 
