@@ -244,7 +244,8 @@ def remove_repeats(
         "t": F.coalesce((F.col("text") if text is None else text).cast("binary"), F.lit(b"")),
     }, from_files, "repeats-rows")
     pieces = stage(rows.filter(F.octet_length("t") >= width).select("rf", "ri", "t").mapInArrow(_pieces(width), _PIECE), "repeats-pieces")
-    repeated = pieces.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    # Written first, so that the join's two sides are dealt for the join alone and a large anchor can be split.
+    repeated = stage(pieces.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "repeats-anchors")
     known = stage(pieces.join(repeated, "h"), "repeats-known")
     # Any row of a kind will do for its bytes, as they are equal.
     kinds = stage(known.groupBy("h", "p").agg(
