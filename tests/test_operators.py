@@ -28,9 +28,13 @@ def test_dedupe_with_one_text_in_a_third_of_all_rows(spark):
 
 
 def test_dedupe_shuffles_only_narrow_keys(samples):
-    """The aggregate sees key and seq; it is a hash aggregate with a map-side part."""
-    plan = clean.dedupe(samples([(1, "a", "s")]))._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan and plan.count("partial_min") == 1
+    """The aggregate sees key and seq and has a map-side part; the texts are never dealt out."""
+    rows = samples([(1, "a", "s"), (2, "a", "s"), (3, "b", "s")])
+    keys = clean.distinct_texts(clean.text_keys(rows))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in keys and keys.count("partial_min") == 1
+    for out in (clean.dedupe(rows), clean.dedupe(rows.unionByName(rows))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
 
 
 def test_removed_counts_in_stage_order(samples):

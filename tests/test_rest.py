@@ -190,15 +190,24 @@ def test_byte_tokens(spark, samples):
     assert tokens.byte_tokens(samples([(1, "a", "s")]), 4, keep=()).columns == ["input_ids", "attention_mask", "labels"]
 
 
-def test_tokenizer_file(spark, samples, tmp_path, monkeypatch):
-    tk = pytest.importorskip("tokenizers")
-    model = tk.Tokenizer(tk.models.WordLevel({"[UNK]": 0, "a": 1, "b": 2}, unk_token="[UNK]"))
-    model.pre_tokenizer = tk.pre_tokenizers.WhitespaceSplit()
-    model.save(str(tmp_path / "t.json"))
-    rows = samples([(i, "a b c a", "s") for i in range(100)] + [(100, "", "s")])
-    got = tokens.tokenizer_tokens(rows, str(tmp_path / "t.json"), 3).orderBy("seq").collect()
-    assert [list(r.input_ids) for r in got] == [[1, 2, 0]] * 100 + [[]]
-    assert list(got[0].labels) == [1, 2, 0] and list(got[0].attention_mask) == [1, 1, 1]
+def test_full_and_chunked_tokens(spark, samples):
+    rows = samples([(1, "aé" * 5, "s"), (2, "", "s"), (3, "abcd", "s")])
+    full = {r.seq: list(r.input_ids) for r in tokens.byte_tokens(rows).collect()}
+    assert full == {1: list(("aé" * 5).encode()), 2: [], 3: list(b"abcd")}
+    joined = {}
+    for r in tokens.token_chunks(rows, 4).orderBy("seq", "chunk").collect():
+        assert len(r.input_ids) <= 4 and r.chunk == len(joined.get(r.seq, [])) // 4
+        joined.setdefault(r.seq, []).extend(r.input_ids)
+    assert joined == {k: v for k, v in full.items() if v}
+
+
+def test_word_tokens(spark, samples):
+    rows = samples([(1, "a b c a", "s"), (2, "", "s"), (3, " b\u2003a\n", "s")])
+    got = tokens.word_tokens(rows, ["a", "b"]).orderBy("seq").collect()
+    assert [list(r.input_ids) for r in got] == [[1, 2, 0, 1], [], [2, 1]]
+    assert list(tokens.word_tokens(rows, ["a", "b"], 3).orderBy("seq").first().labels) == [1, 2, 0]
+    with pytest.raises(ValueError):
+        tokens.word_tokens(rows, ["w"] * 1001)
 
 
 @pytest.mark.parametrize("n, batch", [(3, 2), (1, 4), (200, 7), (200, 1000)])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_key, strip
+from ..storage import MAX_BROADCAST_ROWS, stage
 
 
 def clean(samples: DataFrame, text: str = "text") -> DataFrame:
@@ -63,11 +64,20 @@ def dedupe(samples: DataFrame, text: str = "text", seq: str = "seq") -> DataFram
     """Keep the first row of each distinct text, with its own source and split.
 
     ``seq`` must be stored or otherwise repeatable, because the samples are read
-    twice: once for the keys and once for the semi join, whose key is unique and
-    so cannot be skewed.
+    twice: once for the keys, which are staged, and once for the output. The
+    smaller side, copies or survivors, is broadcast when its counted size allows,
+    so no text moves; beyond that both sides are shuffled by the unique ``seq``.
     """
-    first = distinct_texts(text_keys(samples, text, seq), seq).select(seq)
-    return samples.join(first, seq, "left_semi")
+    rows = stage(text_keys(samples, text, seq), "keys")
+    first = stage(distinct_texts(rows, seq).select(seq), "first")
+    kept = first.count()
+    copies = rows.count() - kept
+    if not copies:
+        return samples
+    if copies <= min(kept, MAX_BROADCAST_ROWS):
+        dropped = stage(rows.select(seq).join(first, seq, "left_anti"), "copies")
+        return samples.join(F.broadcast(dropped), seq, "left_anti")
+    return samples.join(F.broadcast(first) if kept <= MAX_BROADCAST_ROWS else first, seq, "left_semi")
 
 
 def removed_counts(

@@ -2,74 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stage
 from .split import BUCKET_DIGITS, SEED, bucket_counts, order_key
 
 # Fixed value: label of a position that the loss leaves out.
 IGNORED_LABEL = -100
-# Texts go to a tokenizer in groups of about this many characters.
-_GROUP_CHARS = 4 << 20
 
 
-def byte_tokens(texts: DataFrame, seq_len: int, text: str = "text", keep: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """UTF-8 bytes as token ids (vocabulary 256), truncated to ``seq_len``.
+def byte_tokens(
+    texts: DataFrame, seq_len: int | None = None, text: str = "text", keep: tuple[str, ...] = ("seq",),
+) -> DataFrame:
+    """UTF-8 bytes as token ids (vocabulary 256); ``seq_len`` cuts the rest of each text off, by default nothing.
 
-    Only the first ``seq_len`` bytes are expanded. Latin-1 maps each byte to the
+    With a length only that many bytes are expanded. Latin-1 maps each byte to the
     character of the same number, so the ids are the characters' codes.
     """
-    start = F.substring(F.col(text).cast("binary"), 1, seq_len)
-    ids = F.transform(F.split(F.decode(start, "ISO-8859-1"), ""), F.ascii)
+    data = F.col(text).cast("binary")
+    data = data if seq_len is None else F.substring(data, 1, seq_len)
+    ids = F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), F.ascii)
     ids = F.when(F.col(text) != "", ids).otherwise(F.array().cast("array<int>"))
     return _produced(texts.select(*keep, ids.alias("input_ids")), keep)
 
 
-def tokenizer_tokens(
-    texts: DataFrame, tokenizer_file: str, seq_len: int, text: str = "text", keep: tuple[str, ...] = ("seq",),
+def token_chunks(
+    texts: DataFrame, seq_len: int, text: str = "text", keep: tuple[str, ...] = ("seq",),
+) -> DataFrame:
+    """Byte tokens in windows of ``seq_len``, numbered by ``chunk``; no token is lost. An empty text has no window.
+
+    Windows are cut from the bytes before they are expanded.
+    """
+    data = F.col(text).cast("binary")
+    last = F.floor((F.octet_length(text) - 1) / seq_len).cast("int")
+    places = F.when(F.octet_length(text) > 0, F.sequence(F.lit(0), last))
+    parts = texts.select(*keep, data.alias("_data"), F.explode(places).alias("chunk"))
+    part = F.decode(F.substring(F.col("_data"), F.col("chunk") * seq_len + 1, F.lit(seq_len)), "ISO-8859-1")
+    return _produced(parts.select(*keep, "chunk", F.transform(F.split(part, ""), F.ascii).alias("input_ids")), (*keep, "chunk"))
+
+
+# A vocabulary that is looked up in an expression.
+MAX_VOCABULARY = 1000
+
+
+def word_tokens(
+    texts: DataFrame, vocabulary: list[str], seq_len: int | None = None, text: str = "text",
+    keep: tuple[str, ...] = ("seq",),
 ) -> DataFrame:
-    """Token ids from a ``tokenizer.json``, truncated to ``seq_len``.
+    """Words between whitespace as token ids: 1, 2, ... in order of ``vocabulary``, 0 for every other word.
 
-    The file is read once and broadcast: it has the size of a vocabulary and does
-    not grow with the data. Each task builds the tokenizer once and encodes
-    Arrow batches.
+    The vocabulary is a literal of at most 1000 words, so a text is split and looked up inside the scan.
     """
-    spark = texts.sparkSession
-    model = spark.sparkContext.broadcast(spark.read.text(tokenizer_file, wholetext=True).first()["value"])
-    rows = texts.select(*keep, F.col(text).alias("_text"))
-    kept = [rows.schema[k] for k in keep]
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(model.value)
-        tokenizer.no_padding()
-        tokenizer.enable_truncation(max_length=seq_len)
-        for batch in batches:
-            for part in _groups(batch):
-                found = [e.ids for e in tokenizer.encode_batch(part.column("_text").to_pylist())]
-                ends = np.concatenate([[0], np.cumsum([len(i) for i in found])]).astype(np.int32)
-                flat = np.concatenate([np.asarray(i, np.int32) for i in found]) if found else np.empty(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [ids], [*keep, "input_ids"])
-
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["input_ids array<int>"])
-    return _produced(rows.mapInArrow(encode, fields), keep)
-
-
-def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``_GROUP_CHARS`` bytes of text each."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes, dtype=np.int64) // _GROUP_CHARS
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
-    for start, stop in zip(edges, edges[1:]):
-        if stop > start:
-            yield batch.slice(start, stop - start)
+    if len(vocabulary) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY} words")
+    words = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
+    found = F.filter(F.split(F.col(text), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    if seq_len is not None:
+        found = F.slice(found, 1, seq_len)
+    ids = F.transform(found, lambda w: F.array_position(words, w).cast("int"))
+    return _produced(texts.select(*keep, ids.alias("input_ids")), keep)
 
 
 def _produced(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -78,14 +70,15 @@ def _produced(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return rows.select(*keep, ids, F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"), ids.alias("labels"))
 
 
-def byte_lengths(texts: DataFrame, seq_len: int, text: str = "text", seq: str = "seq") -> DataFrame:
+def byte_lengths(texts: DataFrame, seq_len: int | None = None, text: str = "text", seq: str = "seq") -> DataFrame:
     """Number of byte tokens per row, without making the tokens."""
-    return texts.select(seq, F.least(F.octet_length(text), F.lit(seq_len)).alias("n"))
+    n = F.octet_length(text)
+    return texts.select(seq, (n if seq_len is None else F.least(n, F.lit(seq_len))).alias("n"))
 
 
 def padded_batches(
-    tokens: DataFrame, batch_size: int, pad_id: int = 0, seq: str = "seq", seed: int = SEED,
-    lengths: DataFrame | None = None,
+    tokens: DataFrame, batch_size: int, pad_id: int | None = None, seq: str = "seq", seed: int = SEED,
+    lengths: DataFrame | None = None, end_id: int = 0,
 ) -> DataFrame:
     """Shuffled batches of ``batch_size`` rows, each padded to its longest row.
 
@@ -95,15 +88,18 @@ def padded_batches(
     bucket gets its width from ``_edge_widths``, a table of at most two rows per
     bucket (131,072 in all) however large the data is.
 
-    The narrow steps need ``seq`` and the length ``n`` of every row. They come
+    Without a ``pad_id`` the end token pads. The narrow steps need ``seq`` and the length ``n`` of every row. They come
     from ``lengths`` or else from ``tokens``; pass stored tokens or ``lengths``
     where tokenizing twice would cost much.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
+    pad_id = end_id if pad_id is None else pad_id
     rows = tokens.select(seq, "input_ids")
     if lengths is None:
         lengths = rows.select(seq, F.size("input_ids").alias("n"))
+    # Read once: the counts and the widths at bucket ends both need it.
+    lengths = stage(lengths, "lengths")
     counts = bucket_counts(lengths, seq, seed)
     ranked = _ranked(rows, counts, batch_size, seq, seed)
     edges = _edge_widths(_ranked(lengths, counts, batch_size, seq, seed))

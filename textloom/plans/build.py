@@ -18,7 +18,7 @@ from ..sinks.files import check_format, metadata_path, metadata_row, write_metad
 from ..sources.files import read_files
 from ..sources.pages import from_pages
 from ..sources.samples import from_table, from_texts
-from ..storage import MAX_BROADCAST_ROWS, stage
+from ..storage import MAX_BROADCAST_ROWS, remove_staged, stage
 
 DEFAULT_RATIOS = (0.9, 0.05, 0.05)
 # Fixed value: shortest text of the three convenience builds.
@@ -57,12 +57,12 @@ def build(
     ratios = check_ratios(split_ratios)
     splitting = sum(ratios) > 0
     keep = () if splitting else ("split",)
-    rows = None
+    rows, staged = None, []
     if not seq_is_stored:
-        samples = stage(samples.select("text", "source", "split", "seq", *key_columns()), "samples")
+        samples = stage(samples.select("text", "source", "split", "seq", *key_columns()), "samples", staged)
         rows = samples.select("seq", "key", "n", *keep)
 
-    chosen = choose(samples, dedupe, min_chars, max_chars, keep, rows)
+    chosen = choose(samples, dedupe, min_chars, max_chars, keep, rows, staged)
     counts, kept = chosen.counts, chosen.kept
     if not counts["total"]:
         raise ValueError("no samples to write; add texts first")
@@ -92,6 +92,7 @@ def build(
     record = metadata_row(histogram, name, removed, ratios, text_column, source_column, creator, __version__)
     sidecar = write_metadata(record, metadata_path(path))
     splits = record.sparkSession.read.schema(record.schema).json(sidecar).first()["splits"]
+    remove_staged(record.sparkSession, staged)
     return BuildResult(path, sidecar, counts["kept"], removed, format, name, dict(splits))
 
 
@@ -105,6 +106,7 @@ class Choice:
     counts: dict[str, int]
     min_chars: int
     max_chars: int
+    staged: list | None = None
 
     def apply(self, samples: DataFrame) -> DataFrame:
         """The chosen samples.
@@ -122,31 +124,31 @@ class Choice:
         if survivors <= min(copies, MAX_BROADCAST_ROWS):
             return out.join(F.broadcast(kept), "seq", "left_semi")
         if copies <= MAX_BROADCAST_ROWS:
-            dropped = stage(self.rows.select("seq").join(self.first.select("seq"), "seq", "left_anti"), "copies")
+            dropped = stage(self.rows.select("seq").join(self.first.select("seq"), "seq", "left_anti"), "copies", self.staged)
             return out.join(F.broadcast(dropped), "seq", "left_anti")
         return out.join(kept, "seq", "left_semi")
 
 
 def choose(
     samples: DataFrame, drop_duplicates: bool = True, min_chars: int = 0, max_chars: int = 0, keep: tuple[str, ...] = (),
-    rows: DataFrame | None = None,
+    rows: DataFrame | None = None, staged: list | None = None,
 ) -> Choice:
-    """Choose the samples that stay.
+    """Choose the samples that stay; paths of what it stages are added to ``staged``.
 
     ``rows`` are the keys where they are stored already; else the texts are read
     once and their keys are staged.
     """
     if rows is None:
         rows = text_keys(samples, keep=keep)
-        rows = stage(rows if drop_duplicates else rows.drop("key"), "keys")
-    first = stage(distinct_texts(rows), "first") if drop_duplicates else rows
+        rows = stage(rows if drop_duplicates else rows.drop("key"), "keys", staged)
+    first = stage(distinct_texts(rows), "first", staged) if drop_duplicates else rows
     counts = count_removed(first, drop_duplicates, min_chars, max_chars).first().asDict()
     kept = first
     if min_chars > 0:
         kept = kept.filter(F.col("n") >= min_chars)
     if max_chars > 0:
         kept = kept.filter(F.col("n") <= max_chars)
-    return Choice(rows, first, kept, counts, min_chars, max_chars)
+    return Choice(rows, first, kept, counts, min_chars, max_chars, staged)
 
 
 def cleaned_splits(

@@ -16,7 +16,7 @@ from .plans import build as bld
 from .plans.run_plan import run_plan as plan_runs
 from .sinks import files as sinks
 from .sources import csv, datasets, files, pages, samples
-from .storage import work_path
+from .storage import stage, work_path
 from .streaming import build as streams
 
 QUERIES: dict = {}
@@ -67,8 +67,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.from_table(_table(spark, sf_dir, "documents"), source=F.col("source"), seq="doc_id")
 
 
-def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.length_range(clean.dedupe(_documents(spark, sf_dir)), MIN_CHARS, MAX_CHARS)
+def _turn() -> Column:
+    """Order of the turns of all conversations."""
+    return samples.packed_seq(F.col("conv_id"), F.col("turn"))
 
 
 def _doc_id() -> Column:
@@ -109,11 +110,11 @@ from (select conv_id, turn, trim(unnest(string_split(text, chr(10))), '{_WS}') a
 where length(line) > 0""")
 def lines(spark, sf_dir):
     table = _table(spark, sf_dir, "conversations")
-    place = (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("seq")
-    rows = samples.from_lines(table, seq=place)
-    parent = F.floor(F.col("seq") / F.lit(10 ** samples.INSIDE_DIGITS)).cast("bigint")
+    rows = samples.from_lines(table, seq=_turn())
+    parent = F.expr(f"seq div {10 ** samples.INSIDE_DIGITS}")
+    rows = rows.withColumn("parent", parent)
     return rows.select(
-        F.floor(parent / 1_000_000).alias("conv_id"), (parent % 1_000_000).alias("turn"),
+        F.expr(f"parent div {10 ** samples.INSIDE_DIGITS}").alias("conv_id"), (F.col("parent") % 10 ** samples.INSIDE_DIGITS).alias("turn"),
         F.length("text").alias("n_chars"), "text")
 
 
@@ -139,7 +140,7 @@ def ingest_union(spark, sf_dir):
     return samples.ingest_counts(samples.ingest([
         ("texts", _documents(spark, sf_dir)),
         ("files", samples.from_table(_table(spark, sf_dir, "benchmark"), source="benchmark", seq="item_id")),
-        ("urls", samples.from_table(talk, source="talk", seq=F.col("conv_id") * 1_000_000 + F.col("turn"))),
+        ("urls", samples.from_table(talk, source="talk", seq=_turn())),
     ]))
 
 
@@ -158,20 +159,40 @@ def ingest_dedupe(spark, sf_dir):
     rows = samples.ingest([
         ("documents", _documents(spark, sf_dir)),
         ("benchmark", samples.from_table(_table(spark, sf_dir, "benchmark"), seq="item_id")),
-        ("conversations", samples.from_table(talk, seq=F.col("conv_id") * 1_000_000 + F.col("turn"))),
+        ("conversations", samples.from_table(talk, seq=_turn())),
     ])
     return clean.dedupe(rows).groupBy("input_kind").agg(F.count(F.lit(1)).alias("samples"))
 
 
 @query(f"""
-select 'conversations' as origin, conv_id * 1000000 + turn as id, trim(text, '{_WS}') as text from conversations
+with inputs as (
+  select 0 as rank, doc_id as pos, trim(text, '{_WS}') as text from documents union all
+  select 1, item_id, trim(text, '{_WS}') from benchmark)
+select text, 4::bigint as copies from inputs where length(text) > 0 qualify row_number() over (partition by sha256(text) order by rank, pos) = 1""")
+def ingest_nested_dedupe(spark, sf_dir):
+    """An ingest of ingests of the same inputs: every text comes twice more, and once stays."""
+    docs, bench = _documents(spark, sf_dir), samples.from_table(_table(spark, sf_dir, "benchmark"), seq="item_id")
+    inner = samples.ingest([("documents", docs), ("benchmark", bench)])
+    outer = samples.ingest([("first", inner), ("docs", docs), ("again", samples.ingest([("x", inner), ("y", bench)])), ("last", inner)])
+    return clean.dedupe(outer).select("text", F.lit(4).cast("bigint").alias("copies"))
+
+
+@query("select count(*)::bigint as samples, count(*)::bigint as numbers from benchmark, range(120) where length(trim(text)) > 0")
+def ingest_many_inputs(spark, sf_dir):
+    """120 inputs: all numbers differ."""
+    rows = samples.ingest([(str(i), samples.from_table(_table(spark, sf_dir, "benchmark"), seq="item_id")) for i in range(120)])
+    return rows.agg(F.count("*").alias("samples"), F.count_distinct("seq").alias("numbers"))
+
+
+@query(f"""
+select 'conversations' as origin, conv_id * 10000000000 + turn as id, trim(text, '{_WS}') as text from conversations
 where length(trim(text, '{_WS}')) > 0
 union all select 'part', p_partkey, trim(p_name, '{_WS}') from part where length(trim(p_name, '{_WS}')) > 0""")
 def text_column(spark, sf_dir):
     talk = samples.from_table(
-        _table(spark, sf_dir, "conversations"), "text", "conversations", seq=F.col("conv_id") * 1_000_000 + F.col("turn"))
+        _table(spark, sf_dir, "conversations"), "text", "conversations", seq=_turn())
     part = samples.from_table(_table(spark, sf_dir, "part"), "p_name", "part", seq="p_partkey")
-    return talk.unionByName(part).select(F.col("source").alias("origin"), F.col("seq").alias("id"), "text")
+    return talk.unionByName(part).select(F.col("source").alias("origin"), F.col("seq").cast("bigint").alias("id"), "text")
 
 
 @query(f"""
@@ -212,7 +233,8 @@ def json_files(spark, sf_dir):
 
 @query(f"{_SPLIT} select doc_id, text, split from labelled where split = 'validation'")
 def parquet_split_roundtrip(spark, sf_dir):
-    rows = split.assign_splits(_kept(spark, sf_dir))
+    chosen = bld.choose(_documents(spark, sf_dir), True, MIN_CHARS, MAX_CHARS)
+    rows = split.assign_splits(chosen.apply(_documents(spark, sf_dir)), keys=chosen.kept.select("seq"))
     root = sinks.write_splits(rows.select(_doc_id(), "text", "split"), work_path(spark, "splits"))
     return datasets.load_split(spark, root, "validation").select("doc_id", "text", "split")
 
@@ -291,8 +313,9 @@ def extract_pages_selector(spark, sf_dir):
 
 @query(f"{_SPLIT} select doc_id, split from labelled")
 def assign_splits(spark, sf_dir):
-    rows = bld.cleaned_splits(_documents(spark, sf_dir), min_chars=MIN_CHARS, max_chars=MAX_CHARS)
-    return rows.select(_doc_id(), "split")
+    """The split of a sample follows from its stored key; the texts are read once."""
+    chosen = bld.choose(_documents(spark, sf_dir), True, MIN_CHARS, MAX_CHARS)
+    return split.assign_splits(chosen.kept.select("seq")).select(_doc_id(), "split")
 
 
 @query(f"{_SPLIT} select split, count(*)::bigint as samples from labelled group by split")
@@ -347,6 +370,44 @@ def max_samples_large(spark, sf_dir):
     return order.first_rows(table, table.count() // 2, "o_orderkey", merge_rows=1000)
 
 
+@query("""select o_orderdate::date as o_orderdate, count(*)::bigint as orders from (
+  select o_orderdate from orders order by o_orderdate limit (select count(*) // 3 from orders)) group by all""")
+def max_samples_ties(spark, sf_dir):
+    """The first third of a table by a column whose values repeat."""
+    table = _table(spark, sf_dir, "orders").select(F.unix_date(F.col("o_orderdate").cast("date")).alias("day"), F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderkey")
+    rows = order.first_rows(table, table.count() // 3, "day", merge_rows=1000)
+    return rows.groupBy("o_orderdate").agg(F.count("*").alias("orders"))
+
+
+@query("select doc_id, text from documents order by doc_id limit 400")
+def max_samples_files(spark, sf_dir):
+    """The first rows of JSON lines in file order, read again after Spark splits the files otherwise."""
+    root = f"{work_path(spark, 'files')}.jsonl"
+    _table(spark, sf_dir, "documents").select("doc_id", "text").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.json(
+        root, ignoreNullFields=False)
+    rows = datasets.load_dataset(spark, root, 400, schema="doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        return stage(rows, "first-rows")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@query(f"""with {_DOCS} select 'documents' as name, 'text' as text_column, count(*)::bigint as count,
+sum(length(text))::bigint / count(*)::double as avg_length, min(length(text)) as min_length,
+max(length(text)) as max_length, sum(length(text))::bigint as total_chars, (select string_agg(concat(lang, ':', n), ',' order by lang)
+from (select lang, count(*) as n from docs group by lang)) as splits, (select string_agg(concat(source, ':', n), ',' order by n desc, f)
+from (select source, count(*) as n, min(doc_id) as f from docs group by source order by n desc, f limit 10)) as top_sources from docs""")
+def stats_record(spark, sf_dir):
+    """The whole record of a dataset; the language stands for the split."""
+    docs = samples.from_table(_table(spark, sf_dir, "documents"), source=F.col("source"), split=F.col("lang"), seq="doc_id")
+    pair = lambda k, v: F.concat_ws(":", k, v.cast("string"))
+    return stats.stats_record(docs, "documents").withColumns({
+        "splits": F.array_join(F.transform(F.array_sort(F.map_entries("splits")), lambda e: pair(e["key"], e["value"])), ","),
+        "top_sources": F.array_join(F.transform("top_sources", lambda e: pair(e["source"], e["samples"])), ",")})
+
+
 # ── build ───────────────────────────────────────────────────────────────────
 
 def _built(spark: SparkSession, sf_dir: str) -> bld.BuildResult:
@@ -453,6 +514,23 @@ def search_catalog_filters(spark, sf_dir):
     return rows.select("id", "author", "likes", F.array_join("tags", ",").alias("tags"), "description")
 
 
+@query(_CATALOG + """select id, author, downloads from catalog order by downloads desc, id limit 1500""")
+def search_catalog_all(spark, sf_dir):
+    """A limit far beyond a page of results."""
+    return cat.search_catalog(_catalog(spark, sf_dir), limit=1500).select("id", "author", "downloads")
+
+
+@query("""select concat(p_brand, '/', p_partkey) as id, p_brand as author, 0::bigint as downloads, 0 as tags, 0 as siblings_count, 'train' as splits
+from part""")
+def catalog_info_sparse(spark, sf_dir):
+    """A catalogue that has only ids."""
+    ids = _table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("id"))
+    info = cat.dataset_details(ids).select("id", "downloads", F.size("tags").alias("tags"), "siblings_count")
+    splits = cat.list_splits(ids).select("id", F.array_join("splits", ",").alias("splits"))
+    names = cat.search_catalog(ids, limit=10**9).select("id", "author")
+    return info.join(splits, "id").join(names, "id")
+
+
 @query(_CATALOG + """select id, concat(id, chr(10), '  ↓ ', format('{:,}', downloads), '  ❤ ', likes, '  Tags: ',
 array_to_string(tags[:5], ', '), chr(10), '  ',
 case when length(description) > 120 then concat(left(description, 120), '…') else description end) as summary from catalog""")
@@ -506,10 +584,16 @@ def list_splits_of_files(spark, sf_dir):
     return cat.list_splits_of_files(files_)
 
 
-@query("""select page_id, regexp_matches(url, '^(?i)https?://') as is_http,
-lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) as suffix from pages""")
+@query("""with urls as (select page_id, concat(unnest(['', 'ftp:', '', '', '', '', '//']), url,
+  unnest(['', '', '|', ' x', '/{id}', '?q=[1]', ''])) as url from pages)
+select page_id, regexp_matches(url, '^(?i)https?://') as is_http,
+lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) as suffix from urls""")
 def url_functions(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select(
+    """Addresses as they are, and with signs that strict parsers refuse."""
+    forms = F.array(*[
+        F.concat(F.lit(a), F.col("url"), F.lit(b))
+        for a, b in zip(["", "ftp:", "", "", "", "", "//"], ["", "", "|", " x", "/{id}", "?q=[1]", ""])])
+    return _table(spark, sf_dir, "pages").select("page_id", F.explode(forms).alias("url")).select(
         "page_id", tx.is_http_url(F.col("url")).alias("is_http"), tx.file_suffix(F.col("url")).alias("suffix"))
 
 
@@ -521,48 +605,62 @@ def collapse_whitespace(spark, sf_dir):
 
 # ── tokens and sizing ───────────────────────────────────────────────────────
 
-_BYTES = f"""bytes as (select doc_id, list_transform(range(least(octet_length(encode(text)), {SEQ_LEN})::bigint),
-  lambda i: ('0x' || substr(h, 2 * i + 1, 2))::int) as ids from (
-  select *, substr(hex(encode(text)), 1, {2 * SEQ_LEN}) as h from docs))"""
+def _bytes(cut: str) -> str:
+    """Common table of byte ids; ``cut`` is the number of bytes of a text that count."""
+    return f"""bytes as (select doc_id, list_transform(range(({cut})::bigint),
+  lambda i: ('0x' || substr(h, 2 * i + 1, 2))::int) as ids from (select *, hex(encode(text)) as h from docs))"""
 
 
-@query(f"""with {_DOCS}, {_BYTES} select doc_id, len(ids)::int as n, list_sum(ids)::bigint as id_sum, ids[1] as first_id,
-ids[-1] as last_id, len(ids)::int as mask_sum from bytes""")
-def tokenize_bytes(spark, sf_dir):
-    rows = tokens.byte_tokens(_documents(spark, sf_dir), SEQ_LEN)
+_BYTES, _FIRST_BYTES = _bytes("octet_length(encode(text))"), _bytes(f"least(octet_length(encode(text)), {SEQ_LEN})")
+_BYTE_SUMS = """select doc_id, len(ids)::int as n, list_sum(ids)::bigint as id_sum, ids[1] as first_id,
+ids[-1] as last_id, len(ids)::int as mask_sum from bytes"""
+
+
+def _byte_sums(rows: DataFrame) -> DataFrame:
     return rows.select(
         _doc_id(), F.size("input_ids").alias("n"), _total("labels").alias("id_sum"),
         F.element_at("input_ids", 1).alias("first_id"), F.element_at("input_ids", -1).alias("last_id"),
         F.size("attention_mask").alias("mask_sum"))
 
 
-def _total(name: str) -> Column:
-    return F.aggregate(name, F.lit(0).cast("bigint"), lambda a, v: a + v)
+@query(f"with {_DOCS}, {_FIRST_BYTES} {_BYTE_SUMS}")
+def tokenize_bytes(spark, sf_dir):
+    """Texts cut at a sequence length: the feature itself."""
+    return _byte_sums(tokens.byte_tokens(_documents(spark, sf_dir), SEQ_LEN))
 
 
-_WORDS = ("the", "of", "de", "la", "und", "der")
+@query(f"with {_DOCS}, {_BYTES} {_BYTE_SUMS}")
+def tokenize_full(spark, sf_dir):
+    return _byte_sums(tokens.byte_tokens(_documents(spark, sf_dir)))
+
+
+@query(f"""with {_DOCS}, {_BYTES}, parts as (select doc_id, ids, unnest(range((len(ids) + {SEQ_LEN} - 1) // {SEQ_LEN})) as chunk from bytes)
+select doc_id, chunk::int as chunk, len(ids[chunk * {SEQ_LEN} + 1:chunk * {SEQ_LEN} + {SEQ_LEN}])::int as n,
+list_sum(ids[chunk * {SEQ_LEN} + 1:chunk * {SEQ_LEN} + {SEQ_LEN}])::bigint as id_sum from parts""")
+def tokenize_chunks(spark, sf_dir):
+    """Windows of the sequence length; nothing is lost."""
+    rows = tokens.token_chunks(_documents(spark, sf_dir), SEQ_LEN)
+    return rows.select(_doc_id(), "chunk", F.size("input_ids").alias("n"), _total("labels").alias("id_sum"))
 
 
-def _word_tokenizer() -> str:
-    """A tokenizer.json with a few known words; every other word is id 0."""
-    from tokenizers import Tokenizer, models, pre_tokenizers
+def _total(name: str) -> Column:
+    return F.aggregate(name, F.lit(0).cast("bigint"), lambda a, v: a + v)
 
-    vocab = {"[UNK]": 0, **{w: i for i, w in enumerate(_WORDS, 1)}}
-    tokenizer = Tokenizer(models.WordLevel(vocab, unk_token="[UNK]"))
-    tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-    return tokenizer.to_str()
+
+_WORDS = ("the", "of", "de", "la", "und", "der")
 
 
 _KNOWN = ", ".join(f"'{w}'" for w in _WORDS)
 
 
 @query(f"""with {_DOCS}, words as (select doc_id, regexp_split_to_array(text, '\\s+') as w from docs)
-select doc_id, least(len(w), {SEQ_LEN})::int as n,
-list_sum(list_transform(w[:{SEQ_LEN}], lambda x: coalesce(list_position([{_KNOWN}], x), 0)))::bigint as id_sum from words""")
+select doc_id, len(w)::int as n, list_sum(list_transform(w, lambda x: coalesce(list_position([{_KNOWN}], x), 0)))::bigint as id_sum from words""")
 def tokenize_file(spark, sf_dir):
-    path = work_path(spark, "tokenizer")
-    spark.createDataFrame([(_word_tokenizer(),)], "value string").coalesce(1).write.text(path)
-    rows = tokens.tokenizer_tokens(_documents(spark, sf_dir), path, SEQ_LEN)
+    """Whole texts by a vocabulary that is read from a file."""
+    path = work_path(spark, "vocabulary")
+    spark.createDataFrame([("\n".join(_WORDS),)], "value string").coalesce(1).write.text(path)
+    vocabulary = [r["value"] for r in spark.read.text(path).limit(tokens.MAX_VOCABULARY).collect()]
+    rows = tokens.word_tokens(_documents(spark, sf_dir), vocabulary)
     return rows.select(_doc_id(), F.size("input_ids").alias("n"), _total("input_ids").alias("id_sum"))
 
 
@@ -574,7 +672,7 @@ list_sum(ids)::bigint as id_sum, (list_sum(ids) - 100 * (width - n))::bigint as
 def padded_batches(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     rows = tokens.padded_batches(
-        tokens.byte_tokens(docs, SEQ_LEN), BATCH, lengths=tokens.byte_lengths(docs, SEQ_LEN))
+        tokens.byte_tokens(docs), BATCH, lengths=tokens.byte_lengths(docs))
     return rows.select(
         _doc_id(), "batch", "slot", "width", _total("attention_mask").cast("int").alias("real_tokens"),
         _total("input_ids").alias("id_sum"), _total("labels").alias("label_sum"))
@@ -585,25 +683,28 @@ _CONFIGS = [
     {"seq_len": 2048, "hidden_size": 4096, "layers": 32, "batch_size": 1, "grad_accum": 8, "adapter": "lora"},
     {"seq_len": 1000, "hidden_size": 768, "layers": 12, "batch_size": 4, "grad_accum": 4, "adapter": "qlora"},
     {"seq_len": 64, "hidden_size": 772, "layers": 12, "batch_size": 2048, "grad_accum": 5000, "adapter": "full"},
+    {"seq_len": 1024, "hidden_size": 768, "layers": 0, "batch_size": 1, "grad_accum": 8, "adapter": "dora"},
+    {"seq_len": 1024, "hidden_size": 768, "layers": 12, "batch_size": 1, "grad_accum": 0, "adapter": "lora"},
+    {"seq_len": 1024, "hidden_size": 768, "layers": 12, "batch_size": 1, "grad_accum": 8, "adapter": "lora", "vocab_size": 255},
 ]
 
 
 def _config_values() -> str:
     rows = [
         (i, c["seq_len"], c["hidden_size"], c["layers"], c["batch_size"], c["grad_accum"], c.get("epochs", 1),
-         4 if c["adapter"] != "full" else 18) for i, c in enumerate(_CONFIGS)]
+         4 if c["adapter"] in ("lora", "qlora") else 18, c.get("vocab_size", 32000), c["adapter"]) for i, c in enumerate(_CONFIGS)]
     return ", ".join(str(r) for r in rows)
 
 
 @query(f"""with {_DOCS}, per as (select source, count(*) as rows from docs group by source),
-cfg(config_id, s, h, l, b, g, e, p) as (values {_config_values()})
+cfg(config_id, s, h, l, b, g, e, p, v, a) as (values {_config_values()})
 select source, config_id, rows::bigint as rows,
 (select sum(least(octet_length(encode(text)), s)) from docs d where d.source = per.source)::bigint as used_tokens,
-case when (s & (s - 1)) <> 0 then 2 when h % 8 <> 0 then 3 else 0 end as code, (s * b * g)::bigint as tokens_per_step,
-(ceil(rows / (b * g)::double) * e)::bigint as steps,
-concat_ws(',', case when b not between 1 and 1024 then 'batch_size' end,
+case when least(s, h, l, b) = 0 then 1 when (s & (s - 1)) <> 0 then 2 when h % 8 <> 0 then 3 when g = 0 then 4 when v < 256 then 5 else 0 end as code, (s * b * g)::bigint as tokens_per_step,
+(case when g = 0 then 0 else ceil(rows / greatest(b * g, 1)::double) * e end)::bigint as steps,
+concat_ws(',', case when a not in ('full', 'lora', 'qlora') then 'adapter' end, case when b not between 1 and 1024 then 'batch_size' end,
   case when g not between 1 and 4096 then 'grad_accum' end, case when s not between 128 and 32768 then 'seq_len' end) as out_of_range,
-((12::hugeint * l * h * h * p + 4::hugeint * s * b * h * l) // 1048576)::bigint as vram_mb from per, cfg""")
+(case when l = 0 then 0 else (12::hugeint * l * h * h * p + 4::hugeint * s * b * h * l) // 1048576 end)::bigint as vram_mb from per, cfg""")
 def run_plan(spark, sf_dir):
     rows = plan_runs(_documents(spark, sf_dir), _CONFIGS, by="source")
     return rows.select(

@@ -23,17 +23,27 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a scan of it.
+def stage(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once and return a scan of it; its path is added to ``paths``.
 
     This cuts the lineage, fixes every value (row positions included) and
     survives the loss of executors, because the files are in the shared folder.
     """
     path = work_path(df.sparkSession, name)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing reads any more, in whatever store they are."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
 def broadcast_if_small(staged: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a staged narrow table is known to be small.
 
