@@ -250,7 +250,7 @@ def remove_repeats(
     # Any row of a kind will do for its bytes, as they are equal.
     kinds = stage(known.groupBy("h", "p").agg(
         F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("rf", "ri", "lo", "windows", "anchor")]), "repeats-kinds")
-    several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    several = stage(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "repeats-several")
     need = stage(kinds.join(several, "h"), "repeats-need")
     wanted = need.groupBy("rf", "ri").agg(F.collect_list(F.struct("h", "p", "copies", "kinds", "lo", "windows", "anchor")).alias("want"))
     wanted = F.broadcast(wanted) if need.count() <= MAX_BROADCAST_ENTRIES else wanted
