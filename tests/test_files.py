@@ -246,3 +246,14 @@ def test_first_rows_of_files_do_not_depend_on_splits(spark, tmp_path):
         assert rows.count() == 7000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_each_json_file_decides_for_itself(spark, tmp_path):
+    write(tmp_path / "a.json", '{"n": 1}\n\n{"n": 2}\n')
+    write(tmp_path / "b.json", '[{"n": 3},\n {"n": 4, "m": "x"}]')
+    write(tmp_path / "c.json", '\n{\n "n": 5\n}')
+    write(tmp_path / "d.json", " \n")
+    rows = datasets.load_folder(spark, str(tmp_path))
+    assert sorted((r.n, r.m) for r in rows.collect()) == [(1, None), (2, None), (3, None), (4, "x"), (5, None)]
+    assert sorted(r.n for r in datasets.load_folder(spark, str(tmp_path), schema="n bigint").collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.n for r in datasets.load_folder(spark, str(tmp_path), all_files=False).collect()) == [1, 2]

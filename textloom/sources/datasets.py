@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.order import first_rows
 from ..storage import stage
 from . import csv
-from .files import FILE_DIGITS, data_suffix, existing_files, plain_path, position_in_file, ranks, reader_paths, with_rank
+from .files import FILE_DIGITS, JSONL_SUFFIXES, data_suffix, existing_files, plain_path, position_in_file, ranks, reader_paths, with_rank
 from .samples import SEQ, packed_seq
 
 # The file types of a dataset folder.
@@ -18,11 +18,25 @@ DATA_SUFFIXES = (".json", ".jsonl", ".csv")
 
 
 def _json(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
-    """JSON lines are split over tasks; an array or an indented object is one document per file."""
-    head = spark.read.text(paths[0]).filter(F.length(F.btrim("value")) > 0).limit(1)
-    first = head.select(F.btrim("value").alias("v"), F.try_parse_json("value").isNotNull().alias("ok")).first()
-    as_lines = first is None or (first["ok"] and first["v"].startswith("{"))
-    return spark.read.json(paths, schema=schema, multiLine=not as_lines, mode="FAILFAST")
+    """JSON lines are split over tasks; an array or an indented object is one document per file.
+
+    Files named .jsonl hold lines. Of other files each one's first line decides for that file, so a folder may hold
+    both; columns that one kind lacks are null there.
+    """
+    if all(data_suffix(p) in JSONL_SUFFIXES for p in paths):
+        return spark.read.json(paths, schema=schema, mode="FAILFAST")
+    text = spark.read.text(paths).select(
+        F.btrim("value").alias("v"), F.col("_metadata.file_path").alias("file"), position_in_file().alias("pos")).filter("v <> ''")
+    heads = text.groupBy("file").agg(F.min_by("v", "pos").alias("v"))
+    heads = heads.select("file", (F.startswith("v", F.lit("{")) & F.try_parse_json("v").isNotNull()).alias("lines"))
+    found = [tuple(r) for r in heads.collect()]  # a row for each file
+    parts = [
+        spark.read.json(reader_paths(sorted(f for f, is_lines in found if is_lines == lines)), schema=schema, multiLine=not lines, mode="FAILFAST")
+        for lines in (True, False) if any(is_lines == lines for _, is_lines in found)
+    ]
+    if not parts:
+        return spark.read.json(paths, schema=schema, mode="FAILFAST")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def load_dataset(spark: SparkSession, path: str, max_samples: int = 0, schema=None) -> DataFrame:
