@@ -107,6 +107,15 @@ def test_first_rows(spark):
     assert order.first_rows(rows, 2000).count() == 1000
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 333, 500, 10**9])
+def test_top_rows_without_a_heap(spark, n):
+    rows = spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 101).alias("a"), "id")
+    asked = [F.desc("a"), F.asc("id")]
+    want = sorted(((r.a, r.id) for r in rows.collect()), key=lambda r: (-r[0], r[1]))[:n]
+    for heap_rows in (0, 10**4):
+        assert [tuple(r) for r in order.top_rows(rows, asked, n, heap_rows).collect()] == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 777, 1999, 2000])
 def test_nth_position(spark, n):
     rng = random.Random(3)

@@ -116,6 +116,8 @@ def test_search(spark):
                                        "array('x') tags", "'' description")
     assert catalog.search_catalog(many, limit=500).count() == 300
     assert catalog.search_catalog(many, limit=500, max_results=100).count() == 100
+    for limit in (None, 10**9):
+        assert [r.downloads for r in catalog.search_catalog(many, limit=limit).collect()] == list(range(299, -1, -1))
     bare = catalog.search_catalog(many.select("id"), query="a/7", sort="trending").collect()
     assert [(r.author, r.downloads, r.tags) for r in bare[:1]] == [("a", 0, [])] and len(bare) == 11
     assert catalog.dataset_details(many.select("id")).first().siblings_count == 0

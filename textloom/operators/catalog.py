@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import author_or_owner, dataset_url, first_tags, split_names, summary_line
 from ..functions.text import shorten
+from .order import top_rows
 
 # Sort columns.
 SORT_COLUMNS = ("downloads", "likes", "trending", "lastModified", "createdAt")
@@ -47,12 +48,13 @@ def filter_catalog(catalog: DataFrame, query: str = "", task: str = "", language
 
 
 def search_catalog(
-    catalog: DataFrame, query: str = "", sort: str = "downloads", direction: int = -1, limit: int = 30,
+    catalog: DataFrame, query: str = "", sort: str = "downloads", direction: int = -1, limit: int | None = 30,
     task: str = "", language: str = "", author: str = "", max_results: int | None = None,
 ) -> DataFrame:
     """The best matches as a top-n over the filtered rows; ties go by id.
 
-    ``max_results`` bounds the limits that callers may ask for; by default none does.
+    Without a limit (None) all matches come, sorted. ``max_results`` bounds the limits that callers may ask for; by
+    default none does.
     """
     if sort not in SORT_COLUMNS:
         raise ValueError(f"unknown sort: {sort}; use one of {', '.join(SORT_COLUMNS)}")
@@ -60,7 +62,9 @@ def search_catalog(
         raise ValueError("direction must be -1 or 1")
     rows = filter_catalog(catalog, query, task, language, author)
     order = F.desc(sort) if int(direction) == -1 else F.asc(sort)
-    top = rows.orderBy(order, F.asc("id")).limit(max(0, int(limit) if max_results is None else min(int(limit), max_results)))
+    limits = [max(0, int(n)) for n in (limit, max_results) if n is not None]
+    order = [order, F.asc("id")]
+    top = top_rows(rows, order, min(limits)) if limits else rows.orderBy(*order)
     return top.select(
         "id", author_or_owner(F.col("author"), F.col("id")).alias("author"),
         F.coalesce("downloads", F.lit(0)).cast("bigint").alias("downloads"),

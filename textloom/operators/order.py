@@ -4,17 +4,34 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stage
+
 # So many narrow positions are sorted at once when a slot is small enough.
 MERGE_ROWS = 100_000
 SLOTS = 65_536
+# Up to so many first rows are found by a heap in each task, which is as large as the number asked for.
+HEAP_ROWS = 10_000
 
 
 def preview(samples: DataFrame, n: int = 5, seq: str = "seq") -> DataFrame:
     """The first n samples, in order."""
-    return samples.orderBy(seq).limit(n)
+    return top_rows(samples, [F.col(seq)], n)
+
+
+def top_rows(rows: DataFrame, order: list[Column], n: int, heap_rows: int = HEAP_ROWS) -> DataFrame:
+    """The first n rows in an order, sorted by it; rows that are equal in it are taken in any order.
+
+    A large n is no reason for a large heap: the rows are then sorted over all tasks and written once, and the n-th
+    is found by its place in the sorted parts.
+    """
+    if n <= heap_rows:
+        return rows.orderBy(*order).limit(n)
+    at = "_place_in_order"
+    placed = stage(rows.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "sorted")
+    return first_rows(placed, n, at).orderBy(at).drop(at)
 
 
 def first_rows(rows: DataFrame, n: int, seq: str = "seq", merge_rows: int = MERGE_ROWS) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import top_rows
+
 
 def dataset_stats(samples: DataFrame, name: str, text: str = "text") -> DataFrame:
     """One row with count, average, shortest, longest and total length."""
@@ -45,5 +47,4 @@ def source_histogram(samples: DataFrame, source: str = "source", seq: str = "seq
 
 def top_sources(samples: DataFrame, n: int = 10, source: str = "source", seq: str = "seq") -> DataFrame:
     """The largest sources; among equals the one seen first."""
-    ranked = source_histogram(samples, source, seq).orderBy(F.desc("samples"), F.asc("first_seq"))
-    return ranked.limit(n)
+    return top_rows(source_histogram(samples, source, seq), [F.desc("samples"), F.asc("first_seq")], n)

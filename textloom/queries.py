@@ -506,7 +506,7 @@ def search_catalog(spark, sf_dir):
 
 
 @query(_CATALOG + """select id, author, likes, array_to_string(tags[:5], ',') as tags, left(description, 200) as description
-from catalog where author = 'Brand#2' and list_contains(tags, 'SMALL') order by likes, id limit 100""")
+from catalog where author = 'Brand#2' and list_contains(tags, 'SMALL') order by likes, id limit 500""")
 def search_catalog_filters(spark, sf_dir):
     rows = cat.search_catalog(
         _catalog(spark, sf_dir), sort="likes", direction=1, limit=500, task="SMALL", author="Brand#2")
