@@ -39,6 +39,16 @@ def test_large_text_files_are_split_over_tasks(spark, tmp_path, monkeypatch):
     bits = [b"word ", "é😀".encode(), b"\n", b"\n\n", b"\r\n\r\n", b"\n\r\n", b"\r\n\n", b"\n\xff\n", b"\n \n", b"\xc3", b"\r\r"]
     names = [write(tmp_path / f"{i}.txt", b"x" * 6000 + b"".join(rng.choices(bits, k=4000))) for i in range(3)]
     names.insert(1, write(tmp_path / "small.txt", "one\n\ntwo"))
+    plain = [b"word ", "é😀".encode(), b"\n", b"\n\n", b"\n\n\n", b" \n", b"a" * 300]
+    names += [write(tmp_path / f"plain{i}.txt", b"".join(rng.choices(plain, k=2000))) for i in range(4)]
+    names += [
+        write(tmp_path / "blank.md", b"\n" * 6000 + b"one\n\ntwo" + b" " * 200),
+        write(tmp_path / "gap.md", b"one" + b"\n" * 7000 + b"two"),
+        write(tmp_path / "mark.md", b"\xef\xbb\xbf" + b"z" * 6000 + b"\n\nend\n"),
+        write(tmp_path / "mark2.md", b"\xef\xbb\xbf\n\n" + b"z " * 6000 + b"\nend"),
+        write(tmp_path / "marked.md", b"\xef\xbb\xbfone\n\ntwo" + b" " * 6000),
+        write(tmp_path / "line.md", b"q" * 20_000),
+    ]
     whole = [tuple(r) for r in files.read_files(spark, names).orderBy("seq").select("text", "source").collect()]
     monkeypatch.setattr(files, "LARGE_FILE_BYTES", 5000)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -46,6 +56,7 @@ def test_large_text_files_are_split_over_tasks(spark, tmp_path, monkeypatch):
     try:
         rows = files.read_files(spark, names)
         assert [tuple(r) for r in rows.orderBy("seq").select("text", "source").collect()] == whole
+        assert "ArrowPython" not in rows._jdf.queryExecution().toString()
         assert rows.select("seq").distinct().count() == len(whole) > 1000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)

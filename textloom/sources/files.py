@@ -13,10 +13,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import paragraphs, strip, unix_newlines, valid_text
+from ..functions.text import LONG_TEXT_CHARS, paragraphs, strip, unix_newlines, valid_text
 from ..operators.clean import clean
 from ..storage import MAX_BROADCAST_ROWS, broadcast_if_small, stage
-from .paragraphs import join_lines
+from .paragraphs import file_facts, join_lines
 from .samples import SEQ, packed_seq
 
 # The suffixes that are read, in any case.
@@ -24,7 +24,7 @@ TEXT_SUFFIXES = (".txt", ".md", ".markdown")
 JSON_SUFFIXES = (".json",)
 JSONL_SUFFIXES = (".jsonl",)
 
-# Text files above this size are read by line.
+# Text files above this size are not held whole.
 LARGE_FILE_BYTES = 64 << 20
 
 ROW_DIGITS = 11
@@ -156,21 +156,37 @@ def read_files(
 def _text_samples(spark: SparkSession, by_name: dict[str, int], split: str) -> DataFrame:
     """One sample per file, or one per paragraph when it is longer than 5000 characters.
 
-    A large file is never held whole; it counts as longer than 5000 characters
-    whatever it holds (64 MB of blanks around a short text would differ). The
-    filters on the size prune the two file lists.
+    A large file is held whole only if its lines have no more than 5000 characters beside blanks; any other is
+    longer than that, so both ways give the same samples. The filters on the size prune the file lists.
     """
     large = F.col("_metadata.file_size") > LARGE_FILE_BYTES
-    body = strip(unix_newlines(valid_text(F.col("value"))))
-    rows = _whole_files(spark, by_name, ~large).select("path", "file_rank", body.alias("body"))
-    rows = rows.select("path", "file_rank", F.posexplode(paragraphs(F.col("body"))).alias("pos", "text"))
-
-    lines = spark.read.text(reader_paths(by_name)).filter(large).select(
-        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        valid_text(F.col("value")).alias("line"))
-    parts = join_lines(lines).select(
-        "path", "text", packed_seq(F.col("block"), F.col("part"), ROW_DIGITS).alias("pos"))
-    return _samples(rows, "pos", split).unionByName(_samples(with_rank(parts, by_name), "pos", split))
+    path = plain_path(F.col("_metadata.file_path")).alias("path")
+    scan = spark.read.text(reader_paths(by_name), lineSep="\n").filter(large)
+    facts = file_facts(scan.select(path, "value", F.col("_metadata.file_size").alias("file_size"))).collect()  # a row for each large file
+    listed = {re.sub("^file:/+", "file:/", name): name for name in by_name}
+
+    def some(condition):
+        return {name: by_name[name] for name in (listed[f.path] for f in facts if condition(f))}
+
+    short = some(lambda f: f.chars <= LONG_TEXT_CHARS)
+    by_line = some(lambda f: f.chars > LONG_TEXT_CHARS and (f.odd or f.marked))
+    by_blank = some(lambda f: f.chars > LONG_TEXT_CHARS and not (f.odd or f.marked))
+    whole = _whole_files(spark, by_name, ~large)
+    if short:
+        whole = whole.unionByName(_whole_files(spark, short))
+    whole = whole.select("path", "file_rank", strip(unix_newlines(valid_text(F.col("value")))).alias("body"))
+    parts = [whole.select("path", "file_rank", F.posexplode(paragraphs(F.col("body"))).alias("pos", "text"))]
+    if by_blank:
+        rows = spark.read.text(reader_paths(by_blank), lineSep="\n\n").select(
+            path, F.col("value").alias("text"), position_in_file().alias("pos"))
+        parts.append(with_rank(rows, by_blank))
+    if by_line:
+        rows = spark.read.text(reader_paths(by_line)).select(
+            path, F.col("_metadata.file_block_start").alias("block"), _row_in_task().alias("row"), "value")
+        marked = some(lambda f: f.marked)
+        rows = with_rank(rows, {name: int(name in marked) for name in by_line}).withColumnRenamed("file_rank", "marked")
+        parts.append(with_rank(join_lines(rows, F.col("marked") == 1).withColumnRenamed("paragraph", "pos"), by_line))
+    return reduce(DataFrame.unionByName, [_samples(rows, "pos", split) for rows in parts])
 
 
 def _json_samples(spark: SparkSession, by_name: dict[str, int], text_column: str, split: str, on_bad: str) -> DataFrame:

@@ -1,94 +1,50 @@
 """Paragraphs of text files that are too large to hold whole.
 
-Such a file is scanned by line and split over tasks like any text file. Lines of
-one block are joined up to the next empty line inside the task; only the first
-and the last part of a block can go on in a neighbour block, and only these are
-brought together.
+One pass over the lines of such files tells how to read each. Nearly all are read with the blank line as record
+separator, split over tasks like any text file. Files with other line ends, broken bytes or a byte order mark are read
+by line; the lines of a block are grouped at its empty lines, and then the groups that go on in a later block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PART = "path string, block bigint, part bigint, is_first boolean, is_last boolean, text string"
-_FLUSH_CHARS = 8 << 20
-
-
-def join_lines(lines: DataFrame) -> DataFrame:
-    """``path, block, part, text`` of all paragraphs, from a scan with ``path, block, line``.
-
-    The scan is read twice, for the inner parts of the blocks and for the parts
-    at their ends.
-    """
-    inner = lines.mapInArrow(_parts_of(ends=False), _PART).select("path", "block", "part", "text")
-    ends = lines.mapInArrow(_parts_of(ends=True), _PART)
-    # A part that ends its block but does not begin it starts a new paragraph.
-    # Two rows per block are numbered here.
-    starts = F.count_if(F.col("is_last") & ~F.col("is_first"))
-    ends = ends.withColumn("paragraph", starts.over(Window.partitionBy("path").orderBy("block", "part")))
-    joined = ends.groupBy("path", "paragraph").agg(
-        F.array_sort(F.collect_list(F.struct("block", "part", "text"))).alias("parts"))
-    joined = joined.select(
-        "path", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["part"].alias("part"),
-        F.array_join("parts.text", "\n").alias("text"))
-    return inner.unionByName(joined)
-
-
-def _parts_of(ends: bool):
-    """Task function: the parts at the ends of each block, or all the others."""
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Parts(ends)
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("path", "block", "line"))
-            for path, block, line in zip(*columns):
-                if (path, block) != out.block:
-                    out.close()
-                    out.block = (path, block)
-                if line:
-                    out.lines.append(line)
-                else:
-                    out.add(is_last=False)
-            if out.size >= _FLUSH_CHARS:
-                yield out.batch()
-        out.close()
-        yield out.batch()
+from ..functions.text import strip, valid_text
+from ..storage import stage
 
-    return parts
+BYTE_ORDER_MARK = "\ufeff"
 
 
-class _Parts:
-    """Parts of the current block, and the rows to hand back."""
+def file_facts(lines: DataFrame) -> DataFrame:
+    """Per file of a scan by ``\\n`` with ``path, value, file_size``: ``chars``, ``marked``, ``odd``.
 
-    def __init__(self, ends: bool):
-        self.ends = ends
-        self.block = None
-        self.lines: list[str] = []
-        self.part = self.size = 0
-        self.rows: list[tuple] = []
+    ``chars`` are the characters of all lines stripped, at most as many as the stripped file has. The reader leaves
+    out a byte order mark, so such a file is longer than its lines.
+    """
+    value = F.col("value")
+    size = F.sum(F.octet_length(value) + 1)
+    return lines.groupBy("path").agg(
+        F.sum(F.length(strip(valid_text(value)))).alias("chars"), (size < F.max("file_size")).alias("marked"),
+        F.max(F.contains(value, F.lit("\r")) | ~F.is_valid_utf8(value)).alias("odd"))
 
-    def add(self, is_last: bool):
-        at_end = self.part == 0 or is_last
-        # A part at an end counts even when empty: it says that nothing goes on.
-        if at_end == self.ends and (self.lines or at_end):
-            text = "\n".join(self.lines)
-            self.rows.append((*self.block, self.part, self.part == 0, is_last, text))
-            self.size += len(text)
-        self.part += 1
-        self.lines = []
 
-    def close(self):
-        if self.block is not None:
-            self.add(is_last=True)
-        self.part = 0
+def join_lines(lines: DataFrame, marked: Column) -> DataFrame:
+    """``path, paragraph, text`` of a scan with ``path, block, row, value``; ``marked`` tells files with a byte order mark.
 
-    def batch(self) -> pa.RecordBatch:
-        names = ("path", "block", "part", "is_first", "is_last", "text")
-        types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string())
-        columns = list(zip(*self.rows)) or [()] * len(names)
-        self.rows, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], list(names))
+    Lines are dealt by block, so a file without any empty line is shared out as well until its one text is built.
+    """
+    block = Window.partitionBy("path", "block").orderBy("row")
+    first = (F.col("block") == 0) & (F.row_number().over(block) == 1)
+    line = F.concat(F.when(first & marked, BYTE_ORDER_MARK).otherwise(""), valid_text(F.col("value")))
+    lines = lines.select("path", "block", "row", line.alias("line"))
+    lines = lines.withColumn("part", F.count_if(F.col("line") == "").over(block))
+    full = F.when(F.col("line") != "", F.struct("row", "line"))
+    parts = stage(lines.groupBy("path", "block", "part").agg(
+        F.array_join(F.array_sort(F.collect_list(full))["line"], "\n").alias("text")), "paragraphs")
+    # One row for each block: the empty lines before it.
+    before = F.sum("empty").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = parts.groupBy("path", "block").agg(F.max("part").alias("empty")).withColumn("before", F.coalesce(before, F.lit(0)))
+    numbered = parts.filter(F.col("text") != "").join(blocks, ["path", "block"]).withColumn("paragraph", F.col("before") + F.col("part"))
+    pieces = F.array_sort(F.collect_list(F.struct("block", "text")))
+    return numbered.groupBy("path", "paragraph").agg(F.array_join(pieces["text"], "\n").alias("text"))
