@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stage, work_path
-from . import langid, pitman_yor, quality, secrets, warc
+from . import langid, periodic_runs, pitman_yor, quality, secrets, warc
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack
+from .secrets import let
 from .simhash import simhash_components
 from .suffix_dedup import remove_repeats
 
@@ -134,3 +135,39 @@ def op7_lm_score(spark, sf_dir):
     return pitman_yor.score(docs, model, from_files=True).select(
         "doc_id", (_remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"),
         "base_score", "score")
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _repeated_tail(text, code):
+    """The words of a text, those from the one numbered a on repeating with period p; ``code`` chooses a and p."""
+    def choose(x):
+        a = x["g"] % F.size(x["w"])
+        return let(F.struct(x["w"].alias("w"), x["g"].alias("g"), a.alias("a")), lay)
+    def lay(x):
+        rest = F.size(x["w"]) - x["a"]
+        p = F.lit(1) + F.floor(rest / (3 + x["g"] % 8))
+        return let(F.struct(x["w"].alias("w"), x["a"].alias("a"), p.alias("p")), words)
+    def words(x):
+        place = lambda i: F.when(i < x["a"], i).otherwise(x["a"] + (i - x["a"]) % x["p"])
+        numbers = F.sequence(F.lit(0).cast("bigint"), F.size(x["w"]).cast("bigint") - 1)
+        return F.array_join(F.transform(numbers, lambda i: F.get(x["w"], place(i).cast("int"))), " ")
+    found = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    some = lambda w: F.when(F.size(w) > 0, let(F.struct(w.alias("w"), code.alias("g")), choose)).otherwise("")
+    return let(found, some)
+
+
+@query()
+def op13_periodic_runs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    text = F.when(h % 10 == 0, _repeated_tail(F.coalesce("text", F.lit("")), F.floor(h / 10))).otherwise(F.col("text"))
+    rows = periodic_runs.find_runs(docs, text, keep=["doc_id"])
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    rows = rows.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return rows.select(
+        "doc.doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
