@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stage, work_path
-from . import langid, periodic_runs, pitman_yor, quality, secrets, warc
+from . import chat_format, langid, periodic_runs, pitman_yor, quality, secrets, warc
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack
@@ -171,3 +171,35 @@ def op13_periodic_runs(spark, sf_dir):
         "doc.doc_id", "n_runs", "best.start", "best.length", "best.period",
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+# Length of a formatted conversation: texts with a backslash for each broken control string, roles with three
+# characters for each of three, 13 for the head and 11 for the end of a message, 10 between turns of one message.
+@query(r"""
+with a as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+o as (select *, row_number() over w as nth, lag(role) over w as before from a
+      window w as (partition by conv_id order by turn nulls first, role, text)),
+t as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by nth) as turns,
+        coalesce(string_agg(text, '' order by nth) filter (where role = 'assistant'), '') as loss,
+        sum(length(text) + len(regexp_extract_all(text, '<\\*\|')) + case when role is distinct from before
+          then 24 + length(role) + 2 * (length(role) - length(translate(role, '%<' || chr(10), ''))) else 10 end)::bigint as formatted_chars
+      from o group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars
+from t""")
+def op12_chat_format(spark, sf_dir):
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-1).cast("bigint"), F.col("id").cast(rows.schema["turn"].dataType),
+        F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
+    chats = chat_format.format_chats(rows.union(more))
+    chats = chats.select(
+        "conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"),
+        chat_format.read_turns(F.col("formatted")).alias("turns"),
+        F.array_join(chat_format.read_loss(F.col("formatted"), F.col("loss_mask")), "").alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
