@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import stage, work_path
-from . import chat_format, langid, periodic_runs, pitman_yor, quality, secrets, warc
+from . import chat_format, langid, periodic_runs, pitman_yor, prefix_trie, quality, secrets, warc
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack
@@ -203,3 +203,39 @@ def op12_chat_format(spark, sf_dir):
     return chats.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+# Checksum of the decimal conv_id bit by bit, as the engine has no such function.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(
+  range(1, length(conv_id::varchar) + 1), lambda i: [ord(substr(conv_id::varchar, i, 1))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, s: case when s >= 0 then xor(c, s) else xor(c >> 1, 3988292384 * (c & 1)) end))"""
+
+
+@query(rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+i as (select conv_id, turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words,
+        substr(sha256(length(role) || ':' || role || text), 1, 32) || format('{{:08x}}', words) as id from t),
+c as (select conv_id, list({{'id': id, 'words': words}} order by turn nulls first, id) as own, {_CRC} % 4 as h from i group by conv_id),
+r as (select c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) as seq
+      from c left join c b on b.conv_id = c.conv_id - c.conv_id % 20),
+p as (select conv_id, seq, unnest(range(0, len(seq) + 1)) as depth from r),
+n as (select list_transform(seq[1:depth], lambda x: x.id) as key, depth, min(conv_id) as conv_id, count(*) as n_convs,
+        any_value(case when depth > 0 then seq[depth].words else 0 end) as words,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where len(seq) = depth), '')) as ends_sha256
+      from p group by key, depth),
+k as (select key[1:depth - 1] as key, count(*) as n_children from n where depth > 0 group by 1),
+m as (select n.*, coalesce(k.n_children, 0) as n_children from n left join k on n.key = k.key),
+u as (select key[1:up] as key, sum((n_children = 0)::bigint) as n_leaves, sum((n_convs - 1) * words) as saved_tokens
+      from (select *, unnest(range(0, depth + 1)) as up from m) group by 1)
+select m.conv_id, m.depth, q.conv_id as parent_conv_id, m.n_convs, m.n_children, u.n_leaves::bigint as n_leaves,
+       u.saved_tokens::bigint as saved_tokens, m.ends_sha256
+from m join u on m.key = u.key left join m q on m.depth > 0 and q.key = m.key[1:m.depth - 1]""")
+def op11_prefix_trie(spark, sf_dir):
+    """Conversations are rebuilt first: their first h turns become those of the first conversation of their twenty."""
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    own = prefix_trie.turn_ids(_table(spark, sf_dir, "conversations"), within=base)
+    head = F.max(F.when(F.col("conv_id") == F.col("within"), F.slice("ids", 1, 3))).over(Window.partitionBy("within"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    rows = own.withColumn("head", F.coalesce(head, F.array().cast("array<string>"))).withColumn("h", h)
+    rows = rows.select("conv_id", F.concat(F.slice("head", F.lit(1), F.col("h")), F.slice("ids", F.col("h") + 1, F.size("ids"))).alias("ids"))
+    return prefix_trie.prefix_trie(rows).drop("turn")
