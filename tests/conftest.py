@@ -35,3 +35,16 @@ def samples(spark):
             [(s, t, src, "") for s, t, src in rows], "seq bigint, text string, source string, split string")
 
     return make
+
+
+@pytest.fixture
+def plan_nodes(spark):
+    """Make (operator, input columns) of the nodes of a physical plan."""
+    import re
+
+    def nodes(df):
+        text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        found = re.findall(r"^\(\d+\) ([^\n]+)\n((?:[A-Z][^\n]*\n)*)", text, re.M)
+        return [(name, " ".join(re.findall(r"Input \[\d+\]: \[([^\n]*)\]", body))) for name, body in found]
+
+    return nodes

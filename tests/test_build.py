@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom import storage
+from textloom.operators import clean
 from textloom.plans import build as bld
 
 
@@ -24,6 +25,24 @@ def corpus(spark):
     return docs(spark, rows), rows
 
 
+@pytest.fixture
+def no_broadcasts(spark, monkeypatch):
+    """As if nothing were small enough to broadcast."""
+    for name in ("MAX_BROADCAST_ROWS", "MAX_BROADCAST_BITS"):
+        monkeypatch.setattr(storage, name, 0)
+    monkeypatch.setattr(storage, "BUCKETED_TASKS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_position_sets_hold_rows_that_the_filters_drop(spark, no_broadcasts):
+    rows = [(i, "x" * (5 if 100 <= i < 400 else 30) + str(i % 450), "s", "") for i in range(1000)]
+    staged = storage.stage_rows(docs(spark, rows).coalesce(1), "samples")
+    kept, _ = expected(rows, True, 20, 60)
+    assert sorted(r.seq for r in bld.choose(staged, True, 20, 60).apply(staged).collect()) == [r[0] for r in kept]
+
+
 def expected(rows, dedupe, low, high):
     """Plain Python: first wins, then the length filters."""
     seen, kept, removed = set(), [], {"duplicates": 0} if dedupe else {}
@@ -46,8 +65,9 @@ def expected(rows, dedupe, low, high):
 @pytest.mark.parametrize("fmt, dedupe, low, high", [
     ("jsonl", True, 20, 60), ("json", True, 0, 0), ("parquet", False, 20, 60), ("jsonl", False, 0, 0)])
 def test_build(spark, corpus, tmp_path, monkeypatch, bound, fmt, dedupe, low, high):
-    """All three ways to drop copies (both broadcasts, shuffle) give the same rows."""
-    monkeypatch.setattr(bld, "MAX_BROADCAST_ROWS", bound)
+    """All three ways to drop copies (both broadcasts, position sets) give the same rows."""
+    monkeypatch.setattr(storage, "MAX_BROADCAST_ROWS", bound)
+    monkeypatch.setattr(storage, "BUCKETED_TASKS", 1)
     samples, rows = corpus
     result = bld.build(samples, str(tmp_path / "out.x"), "n", fmt, dedupe=dedupe, min_chars=low, max_chars=high,
                        seq_is_stored=True)
@@ -71,6 +91,48 @@ def test_few_survivors_use_the_smaller_side(spark, tmp_path, monkeypatch):
     assert result.samples == 2 and result.removed == {"duplicates": 49} and hints == [["seq"]]
 
 
+@pytest.mark.parametrize("stored", [True, False])
+def test_no_text_moves_without_broadcasts(spark, corpus, no_broadcasts, plan_nodes, stored):
+    samples, rows = corpus
+    samples = samples.repartition(6)
+    if not stored:
+        samples = storage.stage_rows(samples, "samples")
+    for out in (bld.choose(samples, True, 20, 60).apply(samples), clean.dedupe(samples)):
+        nodes = plan_nodes(out)
+        assert any(name.startswith("ShuffledHashJoin") or name.startswith("SortMergeJoin") for name, _ in nodes)
+        assert not [n for n, columns in nodes if "Exchange" in n and "text" in columns]
+    kept, _ = expected(rows, True, 20, 60)
+    out = bld.choose(samples, True, 20, 60).apply(samples)
+    assert sorted(r.seq for r in out.select("seq").collect()) == [r[0] for r in kept]
+    firsts, _ = expected(rows, True, 0, 0)
+    assert sorted(r.seq for r in clean.dedupe(samples).collect()) == [r[0] for r in firsts]
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 40])
+def test_rows_of_a_task_stay_in_its_bucket(spark, monkeypatch, tasks):
+    monkeypatch.setattr(storage, "BUCKETED_TASKS", 2)
+    df = spark.range(0, 2000, 1, tasks).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("text"))
+    staged = storage.stage_rows(df, "rows")
+    assert staged.select("_shard").distinct().count() == tasks and len(staged.inputFiles()) == tasks
+    assert sorted(r.seq for r in staged.collect()) == list(range(2000))
+    for kept in ([], [0], [1999], list(range(0, 2000, 7)), list(range(2000))):
+        wanted = spark.createDataFrame([(k,) for k in kept + kept[:1]], "seq bigint")  # one position twice
+        out = storage.keep_rows(staged, wanted)
+        assert out.columns == ["seq", "text"]
+        assert sorted(r.seq for r in out.collect()) == kept
+    tables = [t.name for t in spark.catalog.listTables() if t.name.startswith("textloom_")]
+    assert not tables
+
+
+def test_a_task_beyond_the_counted_ones_keeps_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(storage, "BUCKETED_TASKS", 1)
+    numbers = storage._shard_numbers
+    monkeypatch.setattr(storage, "_shard_numbers", lambda s, n: numbers(s, n).filter("_task < 3"))
+    staged = storage.stage_rows(spark.range(0, 100, 1, 5).withColumnRenamed("id", "seq"), "rows")
+    out = storage.keep_rows(staged, spark.range(50).withColumnRenamed("id", "seq"))
+    assert staged.count() == 100 and sorted(r.seq for r in out.collect()) == list(range(50))
+
+
 def test_staging_gives_the_same_result(spark, corpus, tmp_path):
     samples, _ = corpus
     a = bld.build(samples, str(tmp_path / "a"), "n", min_chars=20)
@@ -152,7 +214,7 @@ def plan_of(df):
 
 
 def test_no_wide_row_moves_while_the_copies_are_few(spark, corpus, tmp_path):
-    """Copies are broadcast, the split is a projection; beyond the bound both sides shuffle."""
+    """Copies are broadcast, the split is a projection; beyond the bound each row looks up its bit."""
     samples, _ = corpus
     samples.write.parquet(str(tmp_path / "in"))
     stored = spark.read.parquet(str(tmp_path / "in"))
@@ -161,13 +223,8 @@ def test_no_wide_row_moves_while_the_copies_are_few(spark, corpus, tmp_path):
     plan = plan_of(few.apply(stored))
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "Exchange hashpartitioning" not in plan
     many = {**chosen.counts, "duplicates": 10**10, "kept": 10**10}
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = plan_of(bld.Choice(chosen.rows, chosen.first, chosen.kept, many, 20, 60).apply(stored))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "BroadcastHashJoin" not in plan and "LeftSemi" in plan and "hashpartitioning(seq" in plan
+    plan = plan_of(bld.Choice(chosen.rows, chosen.first, chosen.kept, many, 20, 60).apply(stored))
+    assert "_shard" in plan and "LeftSemi" in plan
     copies = bld.Choice(chosen.rows, chosen.first, chosen.kept, {**chosen.counts, "duplicates": 0}, 20, 60)
     assert "Join" not in plan_of(copies.apply(stored))
 

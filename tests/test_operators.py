@@ -138,3 +138,32 @@ def test_first_rows_with_ties_and_nulls(spark):
         assert got[2] == got[100_000] and len(got[2]) == min(n, 300)
     equal = spark.range(500).selectExpr("1 as seq", "2 as v")
     assert order.first_rows(equal, 123, merge_rows=3).count() == 123
+
+
+@pytest.mark.parametrize("digits", [0, 1, 4, 6, 9])
+def test_nested_bucket_starts(spark, digits):
+    keys = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("key"))
+    got = {r["bucket"]: r["start"] for r in split.bucket_starts(keys, digits).collect()}
+    hexes = sorted(r["key"] for r in keys.collect())
+    want = {}
+    for i, k in enumerate(hexes):
+        want.setdefault(k[:digits], i)
+    assert got == want
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 7, 10**6])
+def test_cuts_of_any_depth(spark, bucket_rows):
+    import hashlib
+
+    rows = spark.range(700).withColumnRenamed("id", "seq")
+    cuts = split.split_cuts(rows, (0.31, 0.4, 0.29), bucket_rows=bucket_rows)
+    order_ = sorted((hashlib.sha256(f"42:{i}".encode()).hexdigest(), i) for i in range(700))
+    assert (cuts["train_key"], cuts["train_seq"]) == order_[217 - 1]
+    assert (cuts["val_key"], cuts["val_seq"]) == order_[217 + 280 - 1]
+
+
+def test_cuts_among_repeated_positions(spark):
+    rows = spark.range(40).select(F.lit(5).alias("seq"))
+    cuts = split.split_cuts(rows, (0.5, 0.5, 0), bucket_rows=1)
+    assert cuts["train_seq"] == cuts["val_seq"] == 5
+    assert set(split.split_cuts(rows.limit(0)).values()) == {None}

@@ -231,6 +231,27 @@ def test_padded_batches(spark, n, batch):
         tokens.padded_batches(rows, 0)
 
 
+@pytest.mark.parametrize("bucket_rows", [1, 5, 1000])
+def test_padded_batches_of_any_bucket_depth(spark, bucket_rows):
+    import hashlib
+
+    rows = spark.range(90).select(F.col("id").alias("seq"), F.array_repeat(F.lit(1), (F.col("id") % 7).cast("int")).alias("input_ids"))
+    df = tokens.padded_batches(rows, 4, pad_id=9, bucket_rows=bucket_rows)
+    got = {r.seq: (r.batch, r.slot, r.width, len(r.labels)) for r in df.collect()}
+    order_ = sorted(range(90), key=lambda i: hashlib.sha256(f"42:{i}".encode()).hexdigest())
+    for k, i in enumerate(order_):
+        width = max(j % 7 for j in order_[k // 4 * 4:k // 4 * 4 + 4])
+        assert got[i] == (k // 4, k % 4, width, width)
+
+
+def test_token_rows_move_once_and_are_not_sorted(spark, plan_nodes):
+    rows = spark.range(50).select(F.col("id").alias("seq"), F.array(F.lit(1), F.col("id").cast("int")).alias("input_ids"))
+    wide = [name for name, columns in plan_nodes(tokens.padded_batches(rows, 4)) if "input_ids" in columns]
+    assert [n for n in wide if n.startswith("Exchange")] == ["Exchange"]
+    assert not [n for n in wide if n.startswith(("Sort", "Window"))]
+
+
+
 # ── streams ──
 
 def test_stream_equals_batch_over_micro_batches(spark, tmp_path):

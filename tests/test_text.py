@@ -67,3 +67,11 @@ def test_hash(spark):
     import hashlib
 
     assert column(spark, ["é"], tx.content_hash) == [hashlib.sha256("é".encode()).hexdigest()]
+
+
+def test_nested_arguments_are_evaluated_once(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    inner = tx.collapse_whitespace(F.col("t"))
+    for outer in (tx.strip(inner), tx.paragraphs(inner), tx.strip(tx.strip(inner))):
+        plan = df.select(outer.alias('x'))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("(?U)") == 1

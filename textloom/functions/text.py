@@ -19,6 +19,11 @@ _REPLACEMENT = "\ufffd"
 _ESCAPE = "\ufdd0"
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode whitespace at both ends.
 
@@ -26,8 +31,12 @@ def strip(text: Column) -> Column:
     the texts that end in whitespace.
     """
     spaces = F.array(*[F.lit(c) for c in WHITESPACE])
-    padded = F.exists(spaces, lambda space: F.endswith(text, space))
-    return F.ltrim(F.when(padded, F.rtrim(text, F.lit(WHITESPACE))).otherwise(text), F.lit(WHITESPACE))
+
+    def ends(t: Column) -> Column:
+        padded = F.exists(spaces, lambda space: F.endswith(t, space))
+        return F.ltrim(F.when(padded, F.rtrim(t, F.lit(WHITESPACE))).otherwise(t), F.lit(WHITESPACE))
+
+    return once(text, ends)
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -69,8 +78,7 @@ def lines(text: Column) -> Column:
 
 def paragraphs(text: Column, separator: str = "\n\n", longer_than: int = LONG_TEXT_CHARS) -> Column:
     """Paragraphs of a long text, or the one stripped text when it is short."""
-    body = strip(text)
-    return F.when(F.length(body) > longer_than, pieces(body, separator)).otherwise(F.array(body))
+    return once(strip(text), lambda body: F.when(F.length(body) > longer_than, pieces(body, separator)).otherwise(F.array(body)))
 
 
 def content_hash(text: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_key, strip
-from ..storage import MAX_BROADCAST_ROWS, stage
+from .. import storage
+from ..storage import keep_rows, stage, stage_rows
 
 
 def clean(samples: DataFrame, text: str = "text") -> DataFrame:
@@ -64,9 +65,10 @@ def dedupe(samples: DataFrame, text: str = "text", seq: str = "seq") -> DataFram
     """Keep the first row of each distinct text, with its own source and split.
 
     ``seq`` must be stored or otherwise repeatable, because the samples are read
-    twice: once for the keys, which are staged, and once for the output. The
-    smaller side, copies or survivors, is broadcast when its counted size allows,
-    so no text moves; beyond that both sides are shuffled by the unique ``seq``.
+    twice: once for the keys, which are staged, and once for the output. No text
+    moves: the smaller side, copies or survivors, is broadcast when its counted
+    size allows; beyond that the samples are written once by the tasks that read
+    them, and each task looks its rows up in its own set of positions.
     """
     rows = stage(text_keys(samples, text, seq), "keys")
     first = stage(distinct_texts(rows, seq).select(seq), "first")
@@ -74,10 +76,12 @@ def dedupe(samples: DataFrame, text: str = "text", seq: str = "seq") -> DataFram
     copies = rows.count() - kept
     if not copies:
         return samples
-    if copies <= min(kept, MAX_BROADCAST_ROWS):
+    if copies <= min(kept, storage.MAX_BROADCAST_ROWS):
         dropped = stage(rows.select(seq).join(first, seq, "left_anti"), "copies")
         return samples.join(F.broadcast(dropped), seq, "left_anti")
-    return samples.join(F.broadcast(first) if kept <= MAX_BROADCAST_ROWS else first, seq, "left_semi")
+    if kept <= storage.MAX_BROADCAST_ROWS:
+        return samples.join(F.broadcast(first), seq, "left_semi")
+    return keep_rows(stage_rows(samples, "samples"), first, seq)
 
 
 def removed_counts(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stage
-from .split import BUCKET_DIGITS, SEED, bucket_counts, order_key
+from .split import BUCKET_ROWS, SEED, bucket_digits, bucket_starts, order_key
 
 # Fixed value: label of a position that the loss leaves out.
 IGNORED_LABEL = -100
@@ -78,19 +78,20 @@ def byte_lengths(texts: DataFrame, seq_len: int | None = None, text: str = "text
 
 def padded_batches(
     tokens: DataFrame, batch_size: int, pad_id: int | None = None, seq: str = "seq", seed: int = SEED,
-    lengths: DataFrame | None = None, end_id: int = 0,
+    lengths: DataFrame | None = None, end_id: int = 0, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Shuffled batches of ``batch_size`` rows, each padded to its longest row.
 
     Rows are ordered by their pseudo-random key; row r belongs to batch
-    r // batch_size. The rows move once, to the bucket of their key, which fixes
-    their rank and brings each batch together. A batch that crosses the end of a
-    bucket gets its width from ``_edge_widths``, a table of at most two rows per
-    bucket (131,072 in all) however large the data is.
+    r // batch_size. Rank and width come from a narrow pass over ``seq`` and the
+    length ``n`` of every row: buckets of the key, as deep as the number of rows
+    asks for, hold some ``bucket_rows`` rows each. The token rows then move once, by
+    ``seq``, and find batch, slot and width there by hash; they are neither sorted
+    nor held in a window.
 
-    Without a ``pad_id`` the end token pads. The narrow steps need ``seq`` and the length ``n`` of every row. They come
+    Without a ``pad_id`` the end token pads. The lengths come
     from ``lengths`` or else from ``tokens``; pass stored tokens or ``lengths``
-    where tokenizing twice would cost much.
+    where tokenizing twice would cost much. ``seq`` is unique.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
@@ -98,44 +99,28 @@ def padded_batches(
     rows = tokens.select(seq, "input_ids")
     if lengths is None:
         lengths = rows.select(seq, F.size("input_ids").alias("n"))
-    # Read once: the counts and the widths at bucket ends both need it.
-    lengths = stage(lengths, "lengths")
-    counts = bucket_counts(lengths, seq, seed)
-    ranked = _ranked(rows, counts, batch_size, seq, seed)
-    edges = _edge_widths(_ranked(lengths, counts, batch_size, seq, seed))
-    inside = F.max(F.size("input_ids")).over(Window.partitionBy("bucket", "batch"))
-    wide = ranked.withColumn("inside", inside).join(F.broadcast(edges), "batch", "left")
-    missing = F.greatest("inside", F.coalesce("edge_width", "inside")) - F.size("input_ids")
+    lengths = stage(lengths.select(seq, "n", order_key(seq, seed).alias("key")), "lengths")
+    digits = bucket_digits(lengths.count(), bucket_rows)
+    wide = rows.join(_places(lengths, digits, batch_size, seq).hint("shuffle_hash"), seq)
+    missing = F.col("width") - F.size("input_ids")
 
     def padded(values, fill: int):
         return F.concat(values, F.array_repeat(F.lit(fill), missing))
 
     ids = F.col("input_ids")
     return wide.select(
-        seq, "batch", F.col("slot"), (F.size(ids) + missing).alias("width"),
+        seq, "batch", "slot", "width",
         padded(ids, pad_id).alias("input_ids"),
         padded(F.array_repeat(F.lit(1), F.size(ids)), 0).alias("attention_mask"),
         padded(ids, IGNORED_LABEL).alias("labels"),
     )
 
 
-def _ranked(rows: DataFrame, counts: DataFrame, batch_size: int, seq: str, seed: int) -> DataFrame:
-    """Add bucket, batch and slot, and the first and last batch of the bucket."""
-    offsets = counts.select(
-        "bucket", (F.col("upto") - F.col("rows")).alias("start"), (F.col("upto") - 1).alias("stop"))
-    keyed = rows.withColumn("key", order_key(seq, seed)).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+def _places(lengths: DataFrame, digits: int, batch_size: int, seq: str) -> DataFrame:
+    """Batch, slot and width of every row; no window holds more than a bucket or a batch."""
     inside = F.row_number().over(Window.partitionBy("bucket").orderBy("key", seq)) - 1
+    ranked = lengths.withColumn("bucket", F.substring("key", 1, digits)).withColumn("inside", inside)
     rank = F.col("start") + F.col("inside")
-    return (
-        keyed.join(F.broadcast(offsets), "bucket").withColumn("inside", inside)
-        .withColumn("batch", F.floor(rank / batch_size).cast("bigint"))
-        .withColumn("slot", (rank % batch_size).cast("int"))
-        .withColumn("first_batch", F.floor(F.col("start") / batch_size).cast("bigint"))
-        .withColumn("last_batch", F.floor(F.col("stop") / batch_size).cast("bigint"))
-        .drop("key", "inside", "start", "stop")
-    )
-
-
-def _edge_widths(ranked: DataFrame) -> DataFrame:
-    edge = (F.col("batch") == F.col("first_batch")) | (F.col("batch") == F.col("last_batch"))
-    return ranked.filter(edge).groupBy("batch").agg(F.max("n").alias("edge_width"))
+    return ranked.join(bucket_starts(lengths, digits), "bucket").select(
+        seq, F.floor(rank / batch_size).cast("bigint").alias("batch"), (rank % batch_size).cast("int").alias("slot"), "n",
+    ).withColumn("width", F.max("n").over(Window.partitionBy("batch"))).drop("n")

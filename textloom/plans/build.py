@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .. import __version__
+from .. import __version__, storage
 from ..operators import clean
 from ..operators.clean import count_removed, distinct_texts, key_columns, length_range, text_keys
 from ..operators.order import preview
@@ -18,7 +18,7 @@ from ..sinks.files import check_format, metadata_path, metadata_row, write_metad
 from ..sources.files import read_files
 from ..sources.pages import from_pages
 from ..sources.samples import from_table, from_texts
-from ..storage import MAX_BROADCAST_ROWS, remove_staged, stage
+from ..storage import is_staged_by_task, keep_rows, remove_staged, stage, stage_rows
 
 DEFAULT_RATIOS = (0.9, 0.05, 0.05)
 # Fixed value: shortest text of the three convenience builds.
@@ -59,7 +59,7 @@ def build(
     keep = () if splitting else ("split",)
     rows, staged = None, []
     if not seq_is_stored:
-        samples = stage(samples.select("text", "source", "split", "seq", *key_columns()), "samples", staged)
+        samples = stage_rows(samples.select("text", "source", "split", "seq", *key_columns()), "samples", staged)
         rows = samples.select("seq", "key", "n", *keep)
 
     chosen = choose(samples, dedupe, min_chars, max_chars, keep, rows, staged)
@@ -70,7 +70,7 @@ def build(
 
     out = chosen.apply(samples)
     if splitting:
-        cuts = split_cuts(kept.select("seq"), ratios).first()
+        cuts = split_cuts(kept.select("seq"), ratios)
         out = label_rows(out, cuts)
         histogram = split_histogram(label_rows(kept.select("seq"), cuts))
     elif dedupe:
@@ -111,22 +111,22 @@ class Choice:
     def apply(self, samples: DataFrame) -> DataFrame:
         """The chosen samples.
 
-        The lengths are a filter. Copies are dropped by the smaller side: both
-        counts are known, so as long as the copies or the survivors fit the
-        broadcast bound no wide row moves; else both sides are shuffled by the
-        unique ``seq``.
+        The lengths are a filter. Copies are dropped by the smaller side, copies
+        or survivors, which is broadcast when its counted size allows; beyond
+        that the samples stay with the tasks that wrote them (``keep_rows``).
+        No text moves either way.
         """
         out = length_range(samples, self.min_chars, self.max_chars)
         copies, survivors = self.counts.get("duplicates", 0), self.counts["kept"]
         if not copies:
             return out
         kept = self.kept.select("seq")
-        if survivors <= min(copies, MAX_BROADCAST_ROWS):
+        if survivors <= min(copies, storage.MAX_BROADCAST_ROWS):
             return out.join(F.broadcast(kept), "seq", "left_semi")
-        if copies <= MAX_BROADCAST_ROWS:
+        if copies <= storage.MAX_BROADCAST_ROWS:
             dropped = stage(self.rows.select("seq").join(self.first.select("seq"), "seq", "left_anti"), "copies", self.staged)
             return out.join(F.broadcast(dropped), "seq", "left_anti")
-        return out.join(kept, "seq", "left_semi")
+        return keep_rows(samples if is_staged_by_task(samples) else stage_rows(out, "samples", self.staged), kept)
 
 
 def choose(
