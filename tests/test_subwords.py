@@ -1,0 +1,75 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.operators import subwords, tokens
+
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@pytest.fixture(scope="module")
+def ranks(spark):
+    rows = subwords.read_ranks(spark, RANKS).collect()
+    return {bytes(r["token"]): r["id"] for r in rows}
+
+
+@pytest.fixture(scope="module")
+def reader(ranks):
+    tiktoken = pytest.importorskip("tiktoken")
+    return tiktoken.Encoding("t", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+
+def test_merges_equal_another_implementation(ranks, reader):
+    rnd = random.Random(1)
+    letters = "etaoinshrdlu ETAéü\U0001f600\n\t,.0129"
+    pieces = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 40))) for _ in range(1500)]
+    pieces += [" the", "international", "a" * 5000, "ab" * 3000, "é" * 200]
+    for p in pieces:
+        assert subwords.merge(p.encode(), ranks) == reader.encode_ordinary(p), p
+
+
+def test_a_byte_outside_the_vocabulary_is_an_error():
+    assert subwords.merge(b"ab", {b"a": 0, b"b": 1}) == [0, 1]
+    with pytest.raises(ValueError):
+        subwords.merge(b"ax", {b"a": 0})
+
+
+@pytest.mark.parametrize("bound", [0, 2, 5, 10**6])
+def test_texts_equal_piecewise_merges(spark, samples, ranks, monkeypatch, bound):
+    """Whatever is broadcast: all pieces, the frequent ones, or none."""
+    import re
+
+    monkeypatch.setattr(subwords, "MAX_BROADCAST_PIECES", max(bound, 1))
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(["the", "the", "the", "of", "tokens", "été", "x\n\ny", ""]) for _ in range(rnd.randint(0, 30))) for _ in range(60)]
+    rows = samples([(i, t, "s") for i, t in enumerate(texts)] + [(99, None, "s"), (98, "", "s")])
+    df = tokens.subword_tokens(rows, subwords.read_ranks(spark, RANKS))
+    got = {r.seq: list(r.input_ids) for r in df.collect()}
+    want = {i: sum((subwords.merge(p.encode(), ranks) for p in re.findall(subwords.PIECES, t)), []) for i, t in enumerate(texts)}
+    assert got == want | {98: [], 99: []}
+    cut = {r.seq: list(r.labels) for r in tokens.subword_tokens(rows, subwords.read_ranks(spark, RANKS), 5).collect()}
+    assert cut == {i: v[:5] for i, v in got.items()}
+
+
+@pytest.mark.parametrize("bound", [1, 10**6])
+def test_large_word_vocabulary(spark, samples, monkeypatch, bound):
+    monkeypatch.setattr(subwords, "MAX_BROADCAST_PIECES", bound)
+    vocabulary = [f"w{i}" for i in range(1500)] + ["w3"]
+    rows = samples([(1, "w3 w1499 zz w3", "s"), (2, "", "s"), (3, " w0 w700\n", "s")])
+    got = {r.seq: list(r.input_ids) for r in tokens.word_tokens(rows, vocabulary).collect()}
+    assert got == {1: [4, 1500, 0, 4], 2: [], 3: [1, 701]}
+    small = {r.seq: list(r.input_ids) for r in tokens.word_tokens(rows, vocabulary[:800]).collect()}
+    assert small == {1: [4, 0, 0, 4], 2: [], 3: [1, 701]}
+
+
+def test_a_vocabulary_keeps_the_order_of_its_file(spark, tmp_path):
+    words = [f"w{i}" for i in random.Random(4).sample(range(5000), 5000)]
+    (tmp_path / "v.txt").write_text("\n".join(words) + "\n")
+    assert tokens.read_vocabulary(spark, str(tmp_path / "v.txt")) == words
+
+
+def test_no_texts(spark, samples):
+    none = samples([(1, "a", "s")]).filter("seq < 0")
+    assert tokens.subword_tokens(none, subwords.read_ranks(spark, RANKS)).count() == 0
+    assert tokens.subword_tokens(samples([(1, "a b", "s")]).select("seq", F.col("text").alias("t")), subwords.read_ranks(spark, RANKS), text="t").count() == 1

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import position_in_file
 from ..storage import stage
 from .split import BUCKET_ROWS, SEED, bucket_digits, bucket_starts, order_key
+from .subwords import MAX_VOCABULARY, PIECES, subword_ids, word_ids
 
 # Fixed value: label of a position that the loss leaves out.
 IGNORED_LABEL = -100
@@ -42,8 +45,8 @@ def token_chunks(
     return _produced(parts.select(*keep, "chunk", F.transform(F.split(part, ""), F.ascii).alias("input_ids")), (*keep, "chunk"))
 
 
-# A vocabulary that is looked up in an expression.
-MAX_VOCABULARY = 1000
+# A vocabulary up to this size is looked up in an expression.
+LITERAL_WORDS = 1000
 
 
 def word_tokens(
@@ -52,18 +55,37 @@ def word_tokens(
 ) -> DataFrame:
     """Words between whitespace as token ids: 1, 2, ... in order of ``vocabulary``, 0 for every other word.
 
-    The vocabulary is a literal of at most 1000 words, so a text is split and looked up inside the scan.
+    A small vocabulary is a literal, so a text is split and looked up inside the scan. A larger one is joined with the
+    distinct words of the texts, whose ids go back to the texts; ``keep`` then has to tell the texts apart.
     """
-    if len(vocabulary) > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY} words")
-    words = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
     found = F.filter(F.split(F.col(text), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
     if seq_len is not None:
         found = F.slice(found, 1, seq_len)
+    if len(vocabulary) > LITERAL_WORDS:
+        first = {word: i + 1 for i, word in reversed(list(enumerate(vocabulary)))}
+        table = pa.table({"word": pa.array(first, pa.string()), "id": pa.array(first.values(), pa.int32())})
+        return _produced(word_ids(texts, texts.sparkSession.createDataFrame(table), len(first), found, keep=keep), keep)
+    words = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
     ids = F.transform(found, lambda w: F.array_position(words, w).cast("int"))
     return _produced(texts.select(*keep, ids.alias("input_ids")), keep)
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> list[str]:
+    """The words of a file, one a line, in the order of the lines; blank lines are words that no text holds."""
+    rows = stage(spark.read.text(path).select("value", position_in_file().alias("pos")), "vocabulary")
+    if rows.count() > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY} words")
+    return [r["value"] for r in rows.orderBy("pos").collect()]
+
+
+def subword_tokens(
+    texts: DataFrame, vocabulary: DataFrame, seq_len: int | None = None, text: str = "text",
+    keep: tuple[str, ...] = ("seq",), pieces: str = PIECES,
+) -> DataFrame:
+    """Byte-pair tokens of every text by a vocabulary (``token``, ``id``) of any size; see ``subwords.subword_ids``."""
+    return _produced(subword_ids(texts, vocabulary, seq_len, text, keep, pieces), keep)
+
+
 def _produced(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Only the produced columns go on: ids, mask and labels."""
     ids = F.col("input_ids")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import catalog as cat
 from .operators import clean, order, split, stats, tokens
+from .operators.subwords import read_ranks
 from .plans import build as bld
 from .plans.run_plan import run_plan as plan_runs
 from .sinks import files as sinks
@@ -647,20 +648,47 @@ def _total(name: str) -> Column:
     return F.aggregate(name, F.lit(0).cast("bigint"), lambda a, v: a + v)
 
 
-_WORDS = ("the", "of", "de", "la", "und", "der")
-
-
-_KNOWN = ", ".join(f"'{w}'" for w in _WORDS)
-
-
-@query(f"""with {_DOCS}, words as (select doc_id, regexp_split_to_array(text, '\\s+') as w from docs)
-select doc_id, len(w)::int as n, list_sum(list_transform(w, lambda x: coalesce(list_position([{_KNOWN}], x), 0)))::bigint as id_sum from words""")
+@query(f"""with {_DOCS}, known as (
+  select word, row_number() over (order by word) as id from (select distinct unnest(regexp_split_to_array(trim(text, '{_WS}'), '\\s+')) as word from benchmark)
+  where word <> ''),
+words as (select doc_id, unnest(regexp_split_to_array(text, '\\s+')) as word from docs)
+select doc_id, count(*)::int as n, coalesce(sum(id), 0)::bigint as id_sum from words left join known using (word) group by doc_id""")
 def tokenize_file(spark, sf_dir):
-    """Whole texts by a vocabulary that is read from a file."""
+    """Whole texts by a vocabulary that is read from a file: all words of the benchmark."""
     path = work_path(spark, "vocabulary")
-    spark.createDataFrame([("\n".join(_WORDS),)], "value string").coalesce(1).write.text(path)
-    vocabulary = [r["value"] for r in spark.read.text(path).limit(tokens.MAX_VOCABULARY).collect()]
-    rows = tokens.word_tokens(_documents(spark, sf_dir), vocabulary)
+    words = F.explode(F.split(tx.strip(F.col("text")), r"(?U)[\s\x1c-\x1f]+")).alias("word")
+    table = _table(spark, sf_dir, "benchmark").select(words).filter("word <> ''").distinct()
+    table.coalesce(1).sortWithinPartitions("word").write.text(path)
+    rows = tokens.word_tokens(_documents(spark, sf_dir), tokens.read_vocabulary(spark, path))
+    return rows.select(_doc_id(), F.size("input_ids").alias("n"), _total("input_ids").alias("id_sum"))
+
+
+# Ranks of a public tokenizer of 50,256 tokens; the path is a parameter of the operator.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query(rf"""with recursive {_DOCS.replace(chr(92), chr(92) * 2)},
+ranks as (select hex(from_base64(split_part(line, ' ', 1))) as token, split_part(line, ' ', 2)::int as id
+  from read_csv('{RANKS}', delim='	', header=false, columns={{'line': 'varchar'}}, quote='', escape='')),
+places as (select doc_id, unnest(regexp_extract_all(text, ' ?[^ 	-
+]+|[ 	-
+]+')) as piece from docs),
+pieces as (select piece, count(*) as n from places group by piece),
+merging as (
+  select piece, 0 as step, case when r.id is not null then [p.h] else list_transform(range(len(p.h) // 2), lambda i: substr(p.h, 2 * i + 1, 2)) end as parts
+  from (select piece, hex(encode(piece)) as h from pieces) p left join ranks r on r.token = p.h
+  union all
+  select piece, step + 1, list_concat(parts[:k - 1], [parts[k] || parts[k + 1]], parts[k + 2:]) from (
+    select piece, step, parts, arg_min(k, id::bigint * 1000000 + k) as k from (
+      select piece, step, parts, unnest(range(1, len(parts))) as k from merging) m
+    join ranks r on r.token = parts[k] || parts[k + 1] group by piece, step, parts)),
+done as (select piece, arg_max(parts, step) as parts from merging group by piece),
+ids as (select piece, sum(r.id)::bigint as id_sum, count(*) as n, list(r.id order by i) as ids
+  from (select piece, unnest(parts) as token, generate_subscripts(parts, 1) as i from done) d join ranks r using (token) group by piece)
+select doc_id, sum(i.n)::int as n, sum(i.id_sum)::bigint as id_sum from places join ids i using (piece) group by doc_id""")
+def tokenize_subwords(spark, sf_dir):
+    """Whole texts as byte-pair tokens of a vocabulary of 50,256."""
+    rows = tokens.subword_tokens(_documents(spark, sf_dir), read_ranks(spark, RANKS))
     return rows.select(_doc_id(), F.size("input_ids").alias("n"), _total("input_ids").alias("id_sum"))
 
 
