@@ -261,12 +261,19 @@ def csv_to_parquet(spark, sf_dir):
 
 @query("select doc_id, text, lang, n_chars from documents")
 def csv_quoted_newlines(spark, sf_dir):
-    """CSV whose cells run over line ends."""
+    """One CSV file whose cells run over line ends, framed by many tasks."""
     source = work_path(spark, "csv")
     table = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
-    table.write.csv(source, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False,
-                    ignoreTrailingWhiteSpace=False)
-    return csv.read_csv(spark, source)
+    table.coalesce(1).write.csv(source, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False,
+                                ignoreTrailingWhiteSpace=False)
+    return csv.read_csv(spark, source, large_bytes=0)
+
+
+@query(f"with {_DOCS} select text from docs")
+def json_array_large(spark, sf_dir):
+    """One JSON array, cut into its elements by many tasks."""
+    out = sinks.write_samples(_documents(spark, sf_dir).select("text", "source").coalesce(1), work_path(spark, "rows"), "json")
+    return files.read_files(spark, [out], large_json_bytes=0).select("text")
 
 
 # ── pages ───────────────────────────────────────────────────────────────────

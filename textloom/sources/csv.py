@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import stage
+from .files import reader_paths
+from .framing import cut_records, quote_index, quote_step, scan_blocks
+
 # Cells that mean null in a column of any type.
 NULL_WORDS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -54,17 +60,63 @@ def cell(c: Column) -> Column:
     return F.when(~c.isin(*NULL_WORDS), c)
 
 
-def read_strings(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
+# Files above this size whose cells run over line ends are framed by many tasks.
+LARGE_FILE_BYTES = 64 << 20
+
+
+def read_strings(
+    spark: SparkSession, path: str | list[str], multi_line: bool | None = None, large_bytes: int = LARGE_FILE_BYTES,
+) -> DataFrame:
     """All columns as strings, null words as null. A row with missing cells is an error.
 
-    ``multi_line=None`` looks for cells that run over line ends first. A file with
-    such cells cannot be split and is read by one task; all others are split.
+    ``multi_line=None`` finds the files with cells that run over line ends first; all others are split at any line. Of
+    those files the ones above ``large_bytes`` are framed by block (``framing``), so they too are shared out; the
+    smaller ones are read by one task each, as are those whose quotes parsers might take in different ways. Rows of
+    framed files are written once.
     """
-    if multi_line is None:
-        multi_line = has_quoted_newlines(spark, path)
-    options = dict(header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8")
-    names = spark.read.csv(path, **options).columns
-    return null_words(spark.read.csv(path, schema=string_schema(names), mode="FAILFAST", enforceSchema=False, **options))
+    options = dict(header=True, quote='"', escape='"', encoding="UTF-8")
+
+    def parsed(paths, names, lines):
+        return spark.read.csv(paths, schema=string_schema(names), mode="FAILFAST", enforceSchema=False, multiLine=lines, **options)
+
+    if multi_line is not None:
+        return null_words(parsed(path, spark.read.csv(path, multiLine=multi_line, **options).columns, multi_line))
+    scan = scan_blocks(spark, path, "\n")
+    index = stage(quote_index(scan), "quotes")
+    files = index.groupBy("path").agg((F.sum("open_lines") > 0).alias("quoted"), F.max("size").alias("size")).collect()  # a row for each file
+    names = spark.read.csv(path, multiLine=any(f.quoted for f in files), **options).columns
+    if not any(f.quoted for f in files):
+        return null_words(parsed(path, names, False))
+    whole = {f.path for f in files if f.quoted and f.size <= large_bytes}
+    large = {f.path for f in files if f.quoted and f.size > large_bytes}
+    parts = []
+    if plain := [f.path for f in files if not f.quoted]:
+        parts.append(parsed(reader_paths(sorted(plain)), names, False))
+    if large:
+        some = F.col("path").isin(sorted(large))
+        records = cut_records(
+            scan_blocks(spark, reader_paths(sorted(large)), "\n"), index.filter(some).select("path", "block", "inside", "s0"), quote_step, "\n", 1, "csv")
+        wrong = {r["path"] for r in records.filter("bad").select("path").distinct().collect()}  # a row for each file
+        whole |= wrong
+        if large - wrong:
+            parts.append(_parsed_records(records.filter(~F.col("path").isin(sorted(wrong))) if wrong else records, names, options))
+    if whole:
+        parts.append(parsed(reader_paths(sorted(whole)), names, True))
+    return null_words(reduce(DataFrame.unionByName, parts))
+
+
+def _parsed_records(records: DataFrame, names: list[str], options: dict) -> DataFrame:
+    """The cells of framed records; the first record of each file is its header."""
+    record = F.when(F.endswith("record", F.lit("\r")), F.left("record", F.length("record") - 1)).otherwise(F.col("record"))
+    records = records.withColumn("record", record).filter(F.trim("record") != "")
+    heads = stage(records.groupBy("path").agg(F.min_by(F.struct("block", "row", "record"), F.struct("block", "row")).alias("h")).select("path", "h.*"), "headers")
+    options = {"quote": options["quote"], "escape": options["escape"], "mode": "FAILFAST", "multiLine": "true"}
+    schema = ", ".join(f"{_quoted(n)} string" for n in names)
+    cells = lambda df: df.select(F.from_csv("record", schema, options).alias("c")).select("c.*")
+    if not cells(heads).filter(~reduce(Column.__and__, [F.col(_quoted(n)).eqNullSafe(F.lit(n)) for n in names])).isEmpty():
+        raise ValueError(f"a file has other columns than {names}")
+    rows = records.join(F.broadcast(heads.select("path", "block", "row")), ["path", "block", "row"], "left_anti")
+    return cells(rows)
 
 
 def string_schema(names: list[str]) -> T.StructType:
@@ -99,9 +151,10 @@ def infer_types(rows: DataFrame) -> tuple[dict[str, str], int]:
 
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, multi_line: bool | None = None,
+    large_bytes: int = LARGE_FILE_BYTES,
 ) -> DataFrame:
     """Typed CSV scan. Without a schema one pass over the data finds the types."""
-    rows = read_strings(spark, path, multi_line)
+    rows = read_strings(spark, path, multi_line, large_bytes)
     return typed(rows, schema if schema is not None else infer_types(rows)[0])
 
 

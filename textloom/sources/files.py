@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import LONG_TEXT_CHARS, paragraphs, strip, unix_newlines, valid_text
 from ..operators.clean import clean
 from ..storage import MAX_BROADCAST_ROWS, broadcast_if_small, stage
+from .framing import bracket_index, bracket_step, cut_records, scan_blocks
 from .paragraphs import file_facts, join_lines
 from .samples import SEQ, packed_seq
 
@@ -128,11 +129,13 @@ def _samples(rows: DataFrame, pos: str, split: str) -> DataFrame:
 
 def read_files(
     spark: SparkSession, paths: Iterable[str], text_column: str = "text", split: str = "", on_bad: str = "skip",
+    large_json_bytes: int = LARGE_FILE_BYTES,
 ) -> DataFrame:
     """Samples from all supported files of a list, each read by its suffix, in list order.
 
     A record whose text is not a string is bad: ``on_bad="skip"`` drops that
-    record, ``"stop_file"`` drops it and the rest of its file.
+    record, ``"stop_file"`` drops it and the rest of its file. JSON documents above
+    ``large_json_bytes`` that are arrays are cut into elements by many tasks.
     """
     if on_bad not in ("skip", "stop_file"):
         raise ValueError("on_bad must be 'skip' or 'stop_file'")
@@ -145,7 +148,7 @@ def read_files(
     if some(TEXT_SUFFIXES):
         parts.append(_text_samples(spark, some(TEXT_SUFFIXES), split))
     if some(JSON_SUFFIXES):
-        parts.append(_json_samples(spark, some(JSON_SUFFIXES), text_column, split, on_bad))
+        parts.append(_json_samples(spark, some(JSON_SUFFIXES), text_column, split, on_bad, large_json_bytes))
     if some(JSONL_SUFFIXES):
         parts.append(_jsonl_samples(spark, some(JSONL_SUFFIXES), text_column, split, on_bad))
     if not parts:
@@ -189,7 +192,9 @@ def _text_samples(spark: SparkSession, by_name: dict[str, int], split: str) -> D
     return reduce(DataFrame.unionByName, [_samples(rows, "pos", split) for rows in parts])
 
 
-def _json_samples(spark: SparkSession, by_name: dict[str, int], text_column: str, split: str, on_bad: str) -> DataFrame:
+def _json_samples(
+    spark: SparkSession, by_name: dict[str, int], text_column: str, split: str, on_bad: str, large_bytes: int,
+) -> DataFrame:
     """Samples from documents that hold a list of objects or bare values, or one object."""
     stop = on_bad == "stop_file"
 
@@ -198,10 +203,60 @@ def _json_samples(spark: SparkSession, by_name: dict[str, int], text_column: str
         found = [None if d is None else _document_texts(d, text_column, stop) for d in documents.to_pylist()]
         return pa.array(found, pa.list_(pa.string()))
 
-    valid = F.when(F.is_valid_utf8("value"), F.col("value"))
-    rows = _whole_files(spark, by_name).select(
-        "path", "file_rank", F.posexplode(texts(valid)).alias("pos", "text"))
-    return _samples(rows, "pos", split)
+    def whole(names, condition=None):
+        valid = F.when(F.is_valid_utf8("value"), F.col("value"))
+        rows = _whole_files(spark, names, condition).select("path", "file_rank", F.posexplode(texts(valid)).alias("pos", "text"))
+        return _samples(rows, "pos", split)
+
+    large = F.col("size") > large_bytes
+    parts = [whole(by_name, F.col("_metadata.file_size") <= large_bytes)]
+    index = stage(bracket_index(scan_blocks(spark, reader_paths(by_name), ",").filter(large)), "brackets")
+    if index.count():
+        arrays, others = _array_elements(spark, by_name, index, large)
+        if others:
+            parts.append(whole(others))
+        if arrays is not None:
+            rows = stage(parse_json_lines(arrays, text_column), "elements")
+            wrong = stage(rows.filter("wrong or no_json or broken_bytes").select("path").distinct(), "wrong")
+            rows = rows.join(broadcast_if_small(wrong), "path", "left_anti")
+            parts.append(_samples(_good_records(rows, on_bad), "pos", split))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# White space of JSON.
+_BLANK = " \t\n\r"
+
+
+def _array_elements(spark: SparkSession, by_name: dict[str, int], index: DataFrame, large: Column):
+    """Elements of the large documents that are arrays (``path, file_rank, value, pos, wrong``), and the other documents.
+
+    ``wrong`` marks what no document may hold between two commas; no element of such a document counts.
+    """
+    listed = {re.sub("^file:/+", "file:/", name): name for name in by_name}
+    scan = scan_blocks(spark, reader_paths(by_name), ",").filter(large)
+    records = cut_records(scan, index.select("path", "block", "inside", "s0", "s1"), bracket_step, ",", 2, "arrays")
+    place = F.struct("block", "row")
+    facts = stage(records.groupBy("path").agg(
+        F.max(place).alias("last"), F.max((F.col("block") == 0) & (F.col("row") == 0) & F.col("record").rlike(r"^[ \t\n\r]*\[")).alias("array"),
+    ).join(scan.groupBy("path").agg(F.max("size").alias("size")).join(index.groupBy("path").agg(F.sum("bytes").alias("bytes")), "path"), "path"), "documents")
+    kinds = facts.select("path", "array").collect()  # a row for each large document
+    others = {listed[r.path]: by_name[listed[r.path]] for r in kinds if not r.array}
+    if len(others) == len(kinds):
+        return None, others
+    first = (F.col("block") == 0) & (F.col("row") == 0)
+    rows = records.join(F.broadcast(facts.filter("array")), "path").withColumn("at_end", place == F.col("last"))
+    value = F.when(first, F.regexp_replace("record", r"^[ \t\n\r]*\[", "")).otherwise(F.col("record"))
+    closed = F.col("record").rlike(r"\][ \t\n\r]*\z")
+    value = F.when(F.col("at_end"), F.regexp_replace(value, r"\][ \t\n\r]*\z", "")).otherwise(value)
+    rows = rows.withColumn("value", F.btrim(value, F.lit(_BLANK)))
+    # A reader that leaves out a byte order mark sees fewer bytes than the file has.
+    wrong = (F.col("at_end") & ~closed) | (F.col("value") != strip(F.col("value"))) | (F.col("bytes") < F.col("size")) | F.col("bad")
+    empty = F.col("value") == ""
+    rows = rows.filter(~(empty & first & F.col("at_end") & ~wrong)).withColumn("wrong", wrong | empty)
+    # What is wrong must not be lost as a blank line.
+    rows = rows.withColumn("value", F.when(F.col("wrong"), "]").otherwise(F.col("value")))
+    rows = rows.withColumn("pos", packed_seq(F.col("block"), F.col("row"), ROW_DIGITS))
+    return with_rank(rows.select("path", "value", "pos", "wrong"), by_name), others
 
 
 def _jsonl_samples(spark: SparkSession, by_name: dict[str, int], text_column: str, split: str, on_bad: str) -> DataFrame:
@@ -215,18 +270,24 @@ def _jsonl_samples(spark: SparkSession, by_name: dict[str, int], text_column: st
     rows = parse_json_lines(with_rank(scan, by_name), text_column)
     if on_bad == "stop_file":
         rows = stage(rows, "jsonl")
+    return _samples(_good_records(rows, on_bad), "pos", split)
+
+
+def _good_records(rows: DataFrame, on_bad: str) -> DataFrame:
+    """Records with a text; with ``stop_file`` only those before the first bad one of their file (staged rows)."""
+    if on_bad == "stop_file":
         bad_at = F.when(F.col("broken_bytes"), F.lit(-1).cast(SEQ)).otherwise(F.col("pos"))
         first_bad = stage(rows.filter("bad").groupBy("file_rank").agg(F.min(bad_at).alias("bad_at")), "bad")
         rows = rows.join(broadcast_if_small(first_bad), "file_rank", "left").filter(
             F.col("bad_at").isNull() | (F.col("pos") < F.col("bad_at")))
-    return _samples(rows.filter("not bad and text is not null"), "pos", split)
+    return rows.filter("not bad and text is not null")
 
 
 _END = "#textloom-end#"
 
 
 def parse_json_lines(rows: DataFrame, text_column: str) -> DataFrame:
-    """Add ``text``, ``bad`` and ``broken_bytes`` to rows of JSON lines in ``value``.
+    """Add ``text``, ``bad``, ``no_json`` and ``broken_bytes`` to rows of JSON lines in ``value``.
 
     The common shapes (an object, a bare string) are read as a variant. Spark's
     parser stops at the end of the first value and would accept trailing junk, so
@@ -272,7 +333,8 @@ def parse_json_lines(rows: DataFrame, text_column: str) -> DataFrame:
     # Unfolding a one-element array keeps later filters above the parsing; pushed
     # below, they would parse every line again.
     kept = [c for c in rows.columns if not c.startswith("_") and c != "value"]
-    return rows.select(*kept, F.inline(F.array(F.struct(text.alias("text"), bad.alias("bad")))))
+    no_json = F.col("_kind").isNull() & ~F.col("broken_bytes") & F.col("_exact.text").isNull() & ~F.coalesce(F.col("_exact.bad"), F.lit(False))
+    return rows.select(*kept, F.inline(F.array(F.struct(text.alias("text"), bad.alias("bad"), no_json.alias("no_json")))))
 
 
 class BadRecord(Exception):
