@@ -268,3 +268,40 @@ def test_each_json_file_decides_for_itself(spark, tmp_path):
     assert sorted((r.n, r.m) for r in rows.collect()) == [(1, None), (2, None), (3, None), (4, "x"), (5, None)]
     assert sorted(r.n for r in datasets.load_folder(spark, str(tmp_path), schema="n bigint").collect()) == [1, 2, 3, 4, 5]
     assert sorted(r.n for r in datasets.load_folder(spark, str(tmp_path), all_files=False).collect()) == [1, 2]
+
+
+def test_ingest_of_tables_equals_ingest_of_frames(spark, tmp_path):
+    paths = []
+    for k, name in enumerate(["b c", "a", "a%20x", "none"]):
+        path = str(tmp_path / f"{name}.parquet")
+        n = 0 if name == "none" else 5 + k
+        spark.range(n).select((F.col("id") * 3 - 4).alias("seq"), F.concat(F.lit(f"{name} "), "id").alias("text"), F.lit(1).alias("file")).repartition(2).write.parquet(path)
+        paths.append(path)
+    inputs = [("k1", paths[1]), ("k0", paths[0]), ("k1", paths[1]), ("e", paths[3]), ("k2", paths[2])]
+    frames = samples.ingest([(k, samples.from_table(spark.read.parquet(p))) for k, p in inputs])
+    tables = samples.ingest_tables(spark, inputs)
+    want = [(r.input_kind, r.text) for r in frames.orderBy("seq").collect()]
+    got = tables.orderBy("seq").collect()
+    assert [(r.input_kind, r.text) for r in got] == want and len(want) == 6 + 5 + 6 + 7
+    assert len({r.seq for r in got}) == len(got)
+
+
+def test_first_lines_come_from_first_blocks(spark, tmp_path, plan_nodes):
+    from textloom.sources import datasets
+
+    (tmp_path / "a.json").write_text("\n \n" + '{"x": 1}\n{"x": 2}\n')
+    (tmp_path / "b.json").write_text('[{"x": 3},\n{"x": 4}]')
+    assert sorted(r.x for r in datasets.load_folder(spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
+    (tmp_path / "c.json").write_text(" \n" * 300 + '{"x": 5}\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        first = datasets._line_files(spark, [str(tmp_path)], F.col("_metadata.file_block_start") == 0)
+        assert sorted(f.rpartition("/")[2] for f, _ in first) == ["a.json", "b.json"]
+        assert sorted(r.x for r in datasets.load_folder(spark, str(tmp_path), schema="x int").collect()) == [1, 2, 3, 4, 5]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")

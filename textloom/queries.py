@@ -181,7 +181,7 @@ def ingest_nested_dedupe(spark, sf_dir):
 @query("select count(*)::bigint as samples, count(*)::bigint as numbers from benchmark, range(120) where length(trim(text)) > 0")
 def ingest_many_inputs(spark, sf_dir):
     """120 inputs: all numbers differ."""
-    rows = samples.ingest([(str(i), samples.from_table(_table(spark, sf_dir, "benchmark"), seq="item_id")) for i in range(120)])
+    rows = samples.ingest_tables(spark, [(str(i), f"{sf_dir}/benchmark.parquet") for i in range(120)], seq="item_id")
     return rows.agg(F.count("*").alias("samples"), F.count_distinct("seq").alias("numbers"))
 
 

@@ -21,15 +21,13 @@ def _json(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
     """JSON lines are split over tasks; an array or an indented object is one document per file.
 
     Files named .jsonl hold lines. Of other files each one's first line decides for that file, so a folder may hold
-    both; columns that one kind lacks are null there.
+    both; columns that one kind lacks are null there. Only first blocks are looked at.
     """
     if all(data_suffix(p) in JSONL_SUFFIXES for p in paths):
         return spark.read.json(paths, schema=schema, mode="FAILFAST")
-    text = spark.read.text(paths).select(
-        F.btrim("value").alias("v"), F.col("_metadata.file_path").alias("file"), position_in_file().alias("pos")).filter("v <> ''")
-    heads = text.groupBy("file").agg(F.min_by("v", "pos").alias("v"))
-    heads = heads.select("file", (F.startswith("v", F.lit("{")) & F.try_parse_json("v").isNotNull()).alias("lines"))
-    found = [tuple(r) for r in heads.collect()]  # a row for each file
+    found = _line_files(spark, paths, F.col("_metadata.file_block_start") == 0)
+    if rest := [f for f in spark.read.text(paths).inputFiles() if plain_name(f) not in {plain_name(g) for g, _ in found}]:
+        found += _line_files(spark, reader_paths(rest), F.lit(True))  # files whose first block is blank
     parts = [
         spark.read.json(reader_paths(sorted(f for f, is_lines in found if is_lines == lines)), schema=schema, multiLine=not lines, mode="FAILFAST")
         for lines in (True, False) if any(is_lines == lines for _, is_lines in found)
@@ -39,6 +37,19 @@ def _json(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
+def _line_files(spark: SparkSession, paths: list[str], blocks) -> list[tuple[str, bool]]:
+    """Per file with text in some ``blocks``: whether its first line is an object, which makes it a file of lines."""
+    text = spark.read.text(paths).filter(blocks).select(
+        F.btrim("value").alias("v"), F.col("_metadata.file_path").alias("file"), position_in_file().alias("pos")).filter("v <> ''")
+    heads = text.groupBy("file").agg(F.min_by("v", "pos").alias("v"))
+    heads = heads.select("file", (F.startswith("v", F.lit("{")) & F.try_parse_json("v").isNotNull()).alias("lines"))
+    return [tuple(r) for r in heads.collect()]  # a row for each file
+
+
+def plain_name(name: str) -> str:
+    return re.sub("^file:/+", "file:/", name)
+
+
 def load_dataset(spark: SparkSession, path: str, max_samples: int = 0, schema=None) -> DataFrame:
     """A JSON, JSONL, CSV or Parquet dataset with the types found in it.
 

@@ -7,14 +7,18 @@ texts get a decimal(38,0) made of (place of the parent, place inside it).
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import lines
 from ..operators.clean import clean
+from ..storage import MAX_BROADCAST_ROWS
 
 SEQ = "decimal(38,0)"
 # Digits of the inner part of a packed ``seq``.
@@ -76,24 +80,92 @@ def ingest(inputs: list[tuple[str, DataFrame]]) -> DataFrame:
     Each entry is (kind, samples); the kind is kept as ``input_kind``. The numbers of each input are moved behind the
     largest one so far, so the order inside an input stays, no two inputs share a number, and the range of the result
     is the sum of theirs: ingests of ingests and any number of inputs fit. The ends of the ranges are found in one
-    job over the ``seq`` columns. ``seq`` must be stored or otherwise repeatable.
+    job over the ``seq`` columns. ``seq`` must be stored or otherwise repeatable. An input that is given several times
+    is read once; many stored tables go by ``ingest_tables``.
     """
     if not inputs:
         raise ValueError("no input given")
+    distinct: list[DataFrame] = []
+    by_hash: dict[int, list[int]] = {}
+    chosen = []
+    for _, samples in inputs:
+        same = by_hash.setdefault(samples.semanticHash(), [])
+        found = next((k for k in same if distinct[k].sameSemantics(samples) and distinct[k].columns == samples.columns), None)
+        if found is None:
+            found = len(distinct)
+            same.append(found)
+            distinct.append(samples)
+        chosen.append(found)
     ends = [
-        samples.agg(F.lit(rank).alias("rank"), F.min("seq").cast(SEQ).alias("low"), F.max("seq").cast(SEQ).alias("high"))
-        for rank, (_, samples) in enumerate(inputs)
+        samples.agg(F.lit(k).alias("k"), F.min("seq").cast(SEQ).alias("low"), F.max("seq").cast(SEQ).alias("high"))
+        for k, samples in enumerate(distinct)
     ]
-    found = {r["rank"]: r for r in _union(ends).collect()}  # a row for each input
-    parts, base = [], 0
-    for rank, (kind, samples) in enumerate(inputs):
-        low, high = found[rank]["low"], found[rank]["high"]
-        move = F.lit(Decimal(base - int(low or 0))).cast(SEQ)
-        parts.append(samples.select(
-            F.lit(kind).alias("input_kind"), "text", "source", "split", (F.col("seq").cast(SEQ) + move).cast(SEQ).alias("seq")))
+    found = {r["k"]: r for r in _union(ends).collect()}  # a row for each input
+    moves = _moves([(found[k]["low"], found[k]["high"]) for k in chosen])
+    parts = []
+    for k, samples in enumerate(distinct):
+        places = F.array(*[
+            F.struct(F.lit(kind).alias("kind"), F.lit(move).cast(SEQ).alias("move"))
+            for (kind, _), of, move in zip(inputs, chosen, moves) if of == k])
+        rows = samples.select("text", "source", "split", F.col("seq").cast(SEQ).alias("seq"), F.explode(places).alias("at"))
+        parts.append(rows.select(
+            F.col("at.kind").alias("input_kind"), "text", "source", "split", (F.col("seq") + F.col("at.move")).cast(SEQ).alias("seq")))
+    return _union(parts)
+
+
+def _moves(ranges) -> list[Decimal]:
+    """What is added to the numbers of each input; an input without rows has no range."""
+    moves, base = [], 0
+    for low, high in ranges:
+        moves.append(Decimal(base - int(low or 0)))
         if low is not None:
             base += int(high) - int(low) + 1
-    return _union(parts)
+    return moves
+
+
+def ingest_tables(
+    spark: SparkSession, inputs: list[tuple[str, str]], text_column: str = "text", source: str = "manual", seq: str = "seq",
+) -> DataFrame:
+    """``ingest`` of stored Parquet tables, (kind, path) each, by one scan over all paths.
+
+    Which inputs a file belongs to comes from a table of the files, so the plan does not grow with the inputs. A path
+    may come several times; its files are read once. The tables need the columns ``text_column`` and ``seq``.
+    """
+    if not inputs:
+        raise ValueError("no input given")
+    roots = {path: _qualified(spark, path) for _, path in inputs}
+    scan = spark.read.parquet(*dict.fromkeys(roots.values()))
+    of_root: dict[str, list[str]] = {}
+    for name in scan.inputFiles():
+        plain = re.sub("^file:/+", "file:/", unquote(name))
+        parts = plain.split("/")
+        for n in range(len(parts), 0, -1):
+            of_root.setdefault("/".join(parts[:n]), []).append(re.sub("^file:/+", "file:/", name))
+    entries = [(file, rank) for rank, (_, path) in enumerate(inputs) for file in of_root.get(roots[path], [])]
+    file = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("file")
+    table = spark.createDataFrame(pa.table({"file": [f for f, _ in entries], "rank": pa.array([r for _, r in entries], pa.int32())}))
+
+    def with_inputs(rows, more):
+        return rows.join(F.broadcast(more) if len(entries) <= MAX_BROADCAST_ROWS // 10 else more, "file")
+
+    position = F.col(seq).cast(SEQ).alias("seq")
+    ends = with_inputs(scan.select(file, position).groupBy("file").agg(F.min("seq").alias("low"), F.max("seq").alias("high")), table)
+    found = {r["rank"]: r for r in ends.groupBy("rank").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()}  # a row for each input
+    moves = _moves([(found[r]["low"], found[r]["high"]) if r in found else (None, None) for r in range(len(inputs))])
+    places = spark.createDataFrame(pa.table({
+        "rank": pa.array(range(len(inputs)), pa.int32()), "input_kind": [k for k, _ in inputs],
+        "move": pa.array([str(m) for m in moves])})).withColumn("move", F.col("move").cast(SEQ))
+    rows = clean(scan.select(
+        file, F.coalesce(text_column, F.lit("")).alias("text"), F.lit(source).alias("source"), F.lit("").alias("split"), position))
+    rows = with_inputs(rows, table.join(F.broadcast(places), "rank"))
+    return rows.select("input_kind", "text", "source", "split", (F.col("seq") + F.col("move")).cast(SEQ).alias("seq"))
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The full form of a path, as the names of its files begin."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub("^file:/+", "file:/", full)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
