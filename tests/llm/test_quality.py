@@ -66,3 +66,17 @@ def test_held_out_labels(spark):
         "count_if(doc.quality = 1 and not kept)").first()
     print(n, wrong_bad, good, lost)
     assert wrong_bad <= 0.1 * n and lost <= 0.01 * good
+
+
+def parity(n, letters="ab"):
+    """The parity sequence: it and its mirror collide under any polynomial modulo a power of two."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_lines_and_words_that_polynomials_confuse(spark):
+    texts = [parity(n) + sep + parity(n, "ba") for n in (1024, 2048, 4096) for sep in ("\n", " ")]
+    windows = " ".join(parity(1024) for _ in range(8)) + " x " + " ".join(parity(1024, "ba") for _ in range(8))
+    texts += [windows, parity(2048) + "\n" + parity(2048), windows + " " + windows]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = ql.line_quality(docs, ql.train(*[__import__("numpy").zeros((0, 9))] * 3)).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert sorted(measured(out.collect())) == [(i, *brute(t)) for i, t in enumerate(texts)]

@@ -76,3 +76,28 @@ def test_query_equals_brute_force(spark):
     want = {d.doc_id: w for d, w in zip(docs, brute([d.text for d in docs], 400))}
     got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op5_suffix_dedup"](spark, sf).collect()}
     assert got == want
+
+
+def test_anchors_that_polynomials_confuse(spark):
+    rng = random.Random(9)
+    parity = lambda n, letters: "".join(letters[bin(i).count("1") % 2] for i in range(n))
+    junk = lambda n: "".join(rng.choice("cdefgh") for _ in range(n))
+    shared = junk(4200)
+    texts = [junk(300) + parity(4096, "ab") + junk(2500), junk(200) + parity(4096, "ba") + junk(2500), parity(4096, "ab") + junk(500),
+             parity(4096, "ba") + junk(700), junk(90) + shared, shared + junk(80)]
+    for width in (2048, 4096):
+        assert sorted(run(spark, texts, width)) == sorted(brute(texts, width))
+
+
+def test_pieces_of_unlike_anchors_with_one_hash(spark):
+    """Even when the hash does not tell anchors apart, only equal bytes are removed."""
+    a, b = b"x" * 40 + b"ANCHOR-1" + b"y" * 40, b"x" * 40 + b"anchor_2" + b"y" * 40
+    rows = [{"h": 1, "p": k, "block": 0, "copies": 1, "kinds": 2, "anchor": 40, "body": body} for k, body in enumerate((a, b))]
+    import pyarrow as pa
+
+    found = list(sd._groups(16)([pa.RecordBatch.from_pylist(rows)]))
+    spans = [(r["p"], r["s"], r["e"]) for batch in found for r in batch.to_pylist()]
+    windows = lambda t: {t[i:i + 16] for i in range(len(t) - 15)}
+    for p, s, e in spans:
+        other = b if p == 0 else a
+        assert all(rows[p]["body"][i:i + 16] in windows(other) for i in range(s, e))

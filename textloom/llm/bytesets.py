@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -13,16 +11,11 @@ SLICE_BYTES = 1 << 20
 BASE, WINDOW_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int, base: int) -> np.ndarray:
-    out = np.ones(1 << bits, np.uint64)
-    out[1:] = base
-    return np.multiply.accumulate(out)
-
-
 def powers(n: int, base: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    return _powers(max(4, (n - 1).bit_length()), base % 2**64)[:n]
+    out = np.ones(n, np.uint64)
+    out[1:] = base % 2**64
+    return np.multiply.accumulate(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,13 +28,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; equal pieces have equal hashes."""
+    """A 64-bit hash of each data[start:end]; equal pieces have equal hashes, and some other pieces as well."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), BASE), out=total[1:])
     inverse = pow(BASE, -1, 2**64)
     return mix((total[ends] - total[starts]) * powers(len(data) + 1, inverse)[starts])
 
 
+def identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of the pieces data[start:end], which are in order and apart: equal just for equal pieces."""
+    step = np.zeros(len(data) + 1, np.int8)
+    np.add.at(step, starts, 1)
+    np.add.at(step, ends, -1)
+    solid = data[np.cumsum(step[:-1], dtype=np.int8) > 0]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(solid)])
+    return pieces.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def repeated(ids: np.ndarray, rows: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Those of the ``places`` whose ``width`` ids also stand at another place of the same row."""
+    code = np.zeros(len(places), np.uint64)
+    for k, p in enumerate(powers(width, WINDOW_BASE)):
+        code += (ids[places + k].astype(np.uint64) + np.uint64(1)) * p
+    places = places[doubled(mix(code) ^ mix(rows[places] + 1))]
+    # Equal codes may belong to different ids: number the windows step by step.
+    number = rows[places]
+    for k in range(width):
+        number = np.unique(number * (int(ids.max(initial=0)) + 1) + ids[places + k], return_inverse=True)[1]
+    return places[doubled(number)]
+
+
 def slices(column: pa.Array):
     """(first row, byte array, row offsets) of parts of a string or binary column without nulls."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

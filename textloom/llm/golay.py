@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -19,8 +18,17 @@ def _rest(word: int) -> int:
     return word
 
 
-@lru_cache(maxsize=1)
+_made: list = []
+
+
 def tables():
+    """The tables, made once by each process."""
+    if not _made:
+        _made.append(_tables())
+    return _made[0]
+
+
+def _tables():
     """By 11-bit syndrome: the error patterns to the nearest codeword and, where that is three bits away, to the five
     codewords at distance four. ``count`` says how many there are (1 or 6)."""
     bit_rest = [_rest(1 << i) for i in range(N)]

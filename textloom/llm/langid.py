@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import bytesets as bs
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-# The training sample: documents for each language at most, windows of each, languages at most.
-TRAIN_DOCS, TRAIN_WINDOWS, MAX_LANGS = 500, 4, 200
+# The training sample: documents for each language at most, windows of each. More languages than the last are an error.
+TRAIN_DOCS, TRAIN_WINDOWS, MAX_LANGS = 500, 4, 10_000
 STEPS, BATCH, RATE = 400, 64, 0.01
 UNKNOWN = "und"
 
@@ -117,7 +117,7 @@ class Network:
 
 
 def fit(docs: DataFrame, lang: Column | None = None, text: Column | None = None, max_docs: int = TRAIN_DOCS) -> Network | None:
-    """Train on at most ``max_docs`` documents of each of the ``MAX_LANGS`` most frequent languages.
+    """Train on at most ``max_docs`` documents of each language.
 
     Null languages, null ids and texts without a letter are left out; the sample is the documents whose ids have the
     smallest hashes. None if nothing is left.
@@ -127,9 +127,11 @@ def fit(docs: DataFrame, lang: Column | None = None, text: Column | None = None,
     rows = docs.filter("doc_id is not null").select(
         (F.col("lang") if lang is None else lang).alias("lang"), order.alias("k"), body.alias("t"),
         (F.col("text") if text is None else text).alias("s")).filter("lang is not null and s is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()
     if not found:
         return None
+    if len(found) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: is this the right column?")
     # Of each language a share of the hash range that holds a little more than max_docs.
     share = {r["lang"]: min(1.0, (1.5 * max_docs + 50) / r["count"]) for r in found}
     limit = F.create_map(*[F.lit(x) for lg, s in share.items() for x in (lg, int((s - 0.5) * 2**64) if s < 1 else 2**63 - 1)])

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,6 @@ END_ID = 0
 PART_ROWS = 200_000
 
 
-@lru_cache(maxsize=2)
 def _encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     """Text to ids. The ranks file, if given, holds the same vocabulary for a faster library; texts that it might cut
     otherwise (beyond Latin-1, or with the special token's string) go to the tokenizer of the JSON file."""

@@ -43,37 +43,33 @@ def measure(data: np.ndarray, offsets: np.ndarray):
     """Metrics of each row, and of each line its row, word characters and features."""
     rows = len(offsets) - 1
     w_start, w_end, w_row = bs.words(data, offsets)
-    w_hash = bs.hashes(data, w_start, w_end)
+    w_id = bs.identities(data, w_start, w_end)
     n_words = np.bincount(w_row, minlength=rows)
     char = np.concatenate([[0], np.cumsum(((data & 0xC0) != 0x80) & ~bs.is_space(data))])
     symbol = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
     # Words in windows that the row holds twice.
     repeat = np.zeros(rows, np.int64)
-    if len(w_hash) >= WINDOW:
-        n = len(w_hash) - WINDOW + 1
-        code = np.zeros(n, np.uint64)
-        for k, p in enumerate(bs.powers(WINDOW, bs.WINDOW_BASE)):
-            code += w_hash[k:k + n] * p
-        inside = np.flatnonzero(w_row[:n] == w_row[WINDOW - 1:])
-        found = inside[bs.doubled(bs.mix(code[inside]) ^ bs.mix(w_row[inside] + 1))]
-        step = np.zeros(len(w_hash) + 1, np.int64)
+    if len(w_id) >= WINDOW:
+        n = len(w_id) - WINDOW + 1
+        found = bs.repeated(w_id, w_row, np.flatnonzero(w_row[:n] == w_row[WINDOW - 1:]), WINDOW)
+        step = np.zeros(len(w_id) + 1, np.int64)
         np.add.at(step, found, 1)
         np.add.at(step, found + WINDOW, -1)
         repeat = np.bincount(w_row[np.cumsum(step[:-1]) > 0], minlength=rows)
     l_start, l_end, l_row = bs.lines(data, offsets)
     first, last = np.searchsorted(w_start, l_start), np.searchsorted(w_start, l_end)
     worded = np.flatnonzero(last > first)
-    l_hash = bs.hashes(data, l_start[worded], l_end[worded]) ^ bs.mix(l_row[worded] + 1)
-    dup = np.bincount(l_row[worded][bs.later(l_hash)], minlength=rows)
+    l_id = bs.identities(data, l_start[worded], l_end[worded]) * rows + l_row[worded]
+    dup = np.bincount(l_row[worded][bs.later(l_id)], minlength=rows)
     metrics = (n_words, char[offsets[1:]] - char[offsets[:-1]], symbol[offsets[1:]] - symbol[offsets[:-1]], dup, repeat)
     # Features of the lines that hold a word.
     a, b, first, last, l_row = l_start[worded], l_end[worded], first[worded], last[worded], l_row[worded]
     chars = char[b] - char[a]
     share = lambda t: (lambda c: (c[b] - c[a]) / np.maximum(chars, 1))(np.concatenate([[0], np.cumsum(t[data])]))
     count = last - first
-    same = np.zeros(len(w_hash) + 1, np.int64)
-    same[1:-1] = np.cumsum((w_hash[1:] == w_hash[:-1]) & (w_row[1:] == w_row[:-1])) if len(w_hash) > 1 else 0
-    if len(w_hash):
+    same = np.zeros(len(w_id) + 1, np.int64)
+    same[1:-1] = np.cumsum((w_id[1:] == w_id[:-1]) & (w_row[1:] == w_row[:-1])) if len(w_id) > 1 else 0
+    if len(w_id):
         same[-1] = same[-2]
     echo = (same[last] - same[np.minimum(first + 1, last)]) / np.maximum(count - 1, 1)
     f = np.stack([

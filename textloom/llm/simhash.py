@@ -26,7 +26,6 @@ from .common import ascii_lower, numbered, shuffle_parts
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 SEED = 42
-# A key's fingerprints are compared in blocks of this many; the rest of the key is held besides.
 MAX_DISTANCE = 3
 
 

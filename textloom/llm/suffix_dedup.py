@@ -150,6 +150,14 @@ def _groups(width: int):
     gram = width // 2
 
     def settle(rows):
+        """Anchors of one hash may differ: only pieces with the same bytes there have it in common."""
+        same = {}
+        for r in rows:
+            same.setdefault(r["body"][r["anchor"]:r["anchor"] + gram], []).append(r)
+        for group in same.values():
+            yield from settle_anchor(group)
+
+    def settle_anchor(rows):
         bodies = [r["body"] for r in rows]
         ranges = repeated_windows(bodies, [r["anchor"] for r in rows], gram, width) if len(rows) > 1 else [[] for _ in rows]
         for r, found in zip(rows, ranges):
