@@ -260,10 +260,9 @@ def test_stream_equals_batch_over_micro_batches(spark, tmp_path):
     schema = "seq bigint, text string, source string"
     arriving = datasets.stream_dataset(spark, str(tmp_path / "in"), "json", schema, maxFilesPerTrigger=1)
     rows = samples.from_table(arriving, source=F.col("source"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     query = streams.stream_build(rows, str(tmp_path / "out"), str(tmp_path / "cp"), min_chars=10, max_chars=40)
     query.awaitTermination()
-    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == streams.ROCKSDB
     assert len([p for p in query.recentProgress if p.numInputRows]) == 3
     out = spark.read.parquet(str(tmp_path / "out"))
     batch = {f"text {j:02d} " + "x" * j for j in range(40)}

@@ -1,0 +1,92 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.sources import datasets
+from textloom.streaming import build as streams
+from textloom.streaming import runs
+
+
+def keys_table(spark, values):
+    return spark.createDataFrame([(str(v),) for v in values], "text string").select(F.unhex(F.sha2("text", 256)).alias("key"))
+
+
+def names(path):
+    return sorted(n for n in os.listdir(path) if n.startswith("run-"))
+
+
+def test_runs_are_merged_by_size_and_stay_whole(spark, tmp_path):
+    keys = str(tmp_path)
+    for k in range(9):
+        runs._write_run(keys_table(spark, range(10 * k, 10 * k + 10)), f"{keys}/run-{k}-{k}", 10)
+        runs.merge_runs(spark, keys, k + 1, fan_in=3)
+    found = runs._runs(spark, keys, 100)
+    assert [r[:2] for r in found] == [(0, 8)] and names(keys) == ["run-0-8"]
+    assert runs._read(spark, [found[0][2]]).count() == 90
+    values = [bytes(r["key"]) for r in runs._read(spark, [found[0][2]]).collect()]
+    assert values == sorted(values)
+
+
+def test_later_and_broken_runs_do_not_count(spark, tmp_path):
+    keys = str(tmp_path)
+    for first, last in ((0, 0), (1, 1), (0, 1), (2, 2), (3, 3)):
+        runs._write_run(keys_table(spark, [first]), f"{keys}/run-{first}-{last}", 1)
+    os.remove(tmp_path / "run-2-2" / "_SUCCESS")
+    assert [r[:2] for r in runs._runs(spark, keys, 3)] == [(0, 1)]
+    assert [r[:2] for r in runs._runs(spark, keys, 4)] == [(0, 1), (3, 3)]
+    assert runs._runs(spark, str(tmp_path / "none"), 4) == []
+
+
+def test_a_batch_that_runs_again_gives_the_same(spark, tmp_path, samples):
+    keys, staged = str(tmp_path / "keys"), []
+    first, own = runs.new_texts(samples([(2, "a", "s"), (1, "a", "s"), (3, "b", "s")]), keys, 0, staged)
+    assert sorted((r.seq, r.text) for r in first.collect()) == [(1, "a"), (3, "b")]
+    runs._write_run(own, f"{keys}/run-0-0", 2)
+    batch = samples([(4, "b", "s"), (5, "c", "s"), (5, "c", "t")])
+    for _ in range(2):
+        out, own = runs.new_texts(batch, keys, 1, staged)
+        assert [r.text for r in out.collect()] == ["c"] and own.count() == 1
+        runs._write_run(own, f"{keys}/run-1-1", 1)
+    out, own = runs.new_texts(samples([(6, "c", "s")]).filter("seq < 0"), keys, 2, staged)
+    assert out.count() == own.count() == 0
+
+
+def test_batches_and_restarts_equal_batch_dedupe(spark, tmp_path):
+    folder, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    rows = [(i, f"some text {i % 23:02d}", "s", "") for i in range(60)]
+    schema = "seq bigint, text string, source string, split string"
+    for part in range(4):
+        spark.createDataFrame(rows[part::4], schema).coalesce(1).write.mode("append").parquet(folder)
+        arriving = datasets.stream_dataset(spark, folder, "parquet", schema, maxFilesPerTrigger=1)
+        runs.stream_build_runs(arriving, out, cp, cp + "-keys", fan_in=2).awaitTermination()
+    got = [r.text for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted({r[1] for r in rows})
+    assert len(names(cp + "-keys")) <= 4
+
+
+def test_types_of_a_stream_stay_over_restarts(spark, tmp_path):
+    folder, cp, out = tmp_path / "in", str(tmp_path / "cp"), str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.csv").write_text("n,t\n1,NA\n2,x\n")
+
+    def run():
+        rows = datasets.stream_load(spark, str(folder), "csv", cp)
+        streams.start(rows, out, cp).awaitTermination()
+        return sorted((r.n, r.t) for r in spark.read.parquet(out).select("n", "t").collect())
+
+    assert run() == [(1, None), (2, "x")]
+    (folder / "b.csv").write_text("n,t\n3,4\n")
+    assert (3, "4") in run()
+    (folder / "c.csv").write_text("n,t\nfour,5\n")
+    with pytest.raises(Exception):
+        run()
+
+
+def test_types_of_json_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"n": 1, "t": "x"}\n{"n": 2.5}\n')
+    rows = datasets.stream_load(spark, str(tmp_path / "in"), "json", str(tmp_path / "cp"))
+    assert rows.isStreaming and dict(rows.dtypes) == {"n": "double", "t": "string"}
+    with pytest.raises(ValueError):
+        datasets.stream_load(spark, str(tmp_path / "in"), "xml", str(tmp_path / "cp"))

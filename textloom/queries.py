@@ -19,6 +19,7 @@ from .sinks import files as sinks
 from .sources import csv, datasets, files, pages, samples
 from .storage import stage, work_path
 from .streaming import build as streams
+from .streaming import runs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -771,3 +772,39 @@ def stream_csv(spark, sf_dir):
     _table(spark, sf_dir, "part").write.csv(source, header=True)
     streams.stream_csv_to_parquet(spark, source, target, work_path(spark, "progress")).awaitTermination()
     return spark.read.parquet(target).select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+@query(f"""with {_DOCS}, kept as (select distinct text from docs where length(text) between {MIN_CHARS} and {MAX_CHARS})
+select text, case when {_FRACTION} < 0.9::double then 'train' when {_FRACTION} < 0.9::double + 0.05::double then 'validation'
+else 'test' end as split from kept""")
+def stream_build_runs(spark, sf_dir):
+    """Six micro-batches and a restart after half of them; keys in runs instead of state."""
+    table = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    folder, out, progress = work_path(spark, "arriving"), work_path(spark, "stream"), work_path(spark, "progress")
+    for half in (0, 1):
+        table.filter(F.col("doc_id") % 2 == half).repartition(3).write.mode("append").parquet(folder)
+        arriving = datasets.stream_dataset(spark, folder, "parquet", table.schema, maxFilesPerTrigger=1)
+        rows = samples.from_table(arriving, source=F.col("source"), seq="doc_id")
+        runs.stream_build_runs(
+            rows, out, progress, f"{progress}-keys", min_chars=MIN_CHARS, max_chars=MAX_CHARS, fan_in=3).awaitTermination()
+    return spark.read.schema("text string, source string, split string").parquet(out).select("text", "split")
+
+
+@query("select p_partkey, p_name, p_brand, p_type, p_size::bigint as p_size, p_retailprice from part")
+def stream_load_csv(spark, sf_dir):
+    """CSV files as a typed stream; the types come from the first rows."""
+    source, progress, target = work_path(spark, "csv"), work_path(spark, "progress"), work_path(spark, "parquet")
+    _table(spark, sf_dir, "part").repartition(3).write.csv(source, header=True)
+    rows = datasets.stream_load(spark, source, "csv", progress, maxFilesPerTrigger=1)
+    streams.start(rows, target, progress).awaitTermination()
+    return spark.read.parquet(target).select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+@query("select doc_id, text, lang, source, n_chars from documents")
+def stream_load_json(spark, sf_dir):
+    """JSON lines as a typed stream."""
+    source, progress, target = work_path(spark, "json"), work_path(spark, "progress"), work_path(spark, "parquet")
+    _table(spark, sf_dir, "documents").repartition(3).write.json(source)
+    rows = datasets.stream_load(spark, source, "json", progress, maxFilesPerTrigger=1)
+    streams.start(rows, target, progress).awaitTermination()
+    return spark.read.parquet(target).select("doc_id", "text", "lang", "source", "n_chars")

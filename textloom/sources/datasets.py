@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import first_rows
-from ..storage import stage
+from ..storage import stage, work_path
 from . import csv
 from .files import FILE_DIGITS, JSONL_SUFFIXES, data_suffix, existing_files, plain_path, position_in_file, ranks, reader_paths, with_rank
 from .samples import SEQ, packed_seq
@@ -124,3 +125,49 @@ def stream_dataset(spark: SparkSession, path: str, fmt: str, schema, **options)
         raise ValueError(f"unknown stream format: {fmt}")
     reader = spark.readStream.format(fmt).options(**options)
     return (reader if fmt == "text" else reader.schema(schema)).load(path)
+
+
+# Lines of a stream's first files that decide its types.
+LOOK_ROWS = 100_000
+
+
+def stream_load(
+    spark: SparkSession, path: str, fmt: str, checkpoint: str, schema: str | None = None, look_rows: int = LOOK_ROWS, **options,
+) -> DataFrame:
+    """A typed stream of the CSV or JSON-lines files of a folder: header row, null words and types as in a batch load.
+
+    The types are found in the first ``look_rows`` rows that are there at the first start and kept beside the
+    checkpoint, so every later start has the same ones. A later value that does not fit stops the query; give a
+    ``schema`` where the first rows do not tell. The same goes for CSV cells that run over line ends.
+    """
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"unknown stream format: {fmt}")
+    kept = f"{checkpoint.rstrip('/')}-schema"
+    multi_line = False
+    try:
+        found = spark.read.schema("schema string, multi_line boolean").json(kept).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = None
+    if found is None:
+        if fmt == "csv":
+            multi_line = csv.has_quoted_newlines(spark, path)
+            if schema is None:
+                first = csv.read_strings(spark, path, multi_line).limit(look_rows)
+                schema = ", ".join(f"{csv._quoted(n)} {kind}" for n, kind in csv.infer_types(first)[0].items())
+        elif schema is None:
+            first = work_path(spark, "first-rows")
+            spark.read.text(path).limit(look_rows).write.text(first)
+            schema = ", ".join(f"{csv._quoted(f.name)} {f.dataType.simpleString()}" for f in spark.read.json(first).schema)
+        if not schema:
+            raise ValueError(f"no rows to find types in: {path}")
+        row = spark.createDataFrame([(schema, multi_line)], "schema string, multi_line boolean")
+        row.coalesce(1).write.mode("overwrite").json(kept)
+    else:
+        schema, multi_line = found["schema"], found["multi_line"]
+    if fmt == "json":
+        return spark.readStream.options(**options).schema(schema).json(path, mode="FAILFAST")
+    cells = spark.readStream.options(**options).schema(csv.string_schema(csv.schema_names(schema))).csv(
+        path, header=True, multiLine=multi_line, quote='"', escape='"', mode="FAILFAST", enforceSchema=False)
+    return csv.typed(csv.null_words(cells), schema)

@@ -53,18 +53,15 @@ def start(rows: DataFrame, output: str, checkpoint: str, available_now: bool = T
           partition_by: tuple[str, ...] = (), **options) -> StreamingQuery:
     """Append the stream to a folder; each file is committed exactly once.
 
-    The state store is RocksDB for this query, so that the dedupe state may be
-    larger than the executors' heap.
+    The state store of the session becomes RocksDB, so that the dedupe state may be
+    larger than the executors' heap, unless the session has chosen one.
     """
     conf = rows.sparkSession.conf
-    before = conf.get(_STORE, None)
-    conf.set(_STORE, ROCKSDB)
-    try:
-        writer = rows.writeStream.format(fmt).outputMode("append").options(**options)
-        writer = writer.option("checkpointLocation", checkpoint).partitionBy(*partition_by)
-        return (writer.trigger(availableNow=True) if available_now else writer).start(output)
-    finally:
-        conf.unset(_STORE) if before is None else conf.set(_STORE, before)
+    if conf.get(_STORE, None) is None:
+        conf.set(_STORE, ROCKSDB)
+    writer = rows.writeStream.format(fmt).outputMode("append").options(**options)
+    writer = writer.option("checkpointLocation", checkpoint).partitionBy(*partition_by)
+    return (writer.trigger(availableNow=True) if available_now else writer).start(output)
 
 
 def stream_build(
