@@ -57,3 +57,30 @@ def test_selectors(selector, want):
 def test_unsupported_selectors(selector):
     with pytest.raises(ValueError):
         html.parse_selector(selector)
+
+
+def test_unclosed_elements_share_one_text():
+    import tracemalloc
+
+    n = 10_000
+    page = "".join(f"<p>paragraph {i} " for i in range(n))
+    tracemalloc.start()
+    text, ranges = html.block_ranges(page, html.parse_selector("p"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ranges) == n and peak < 60e6  # the blocks have 800 million characters in all
+    for i in (0, 1, 5000, n - 1):
+        first, size = ranges[i]
+        assert text[first:first + size] == " ".join(f"paragraph {k}" for k in range(i, n))
+
+
+def test_many_nested_blocks_are_rows(spark):
+    page = "".join(f"<p>paragraph number {i} of this page " for i in range(300))
+    table = spark.createDataFrame([(7, "http://a", page), (8, "http://b", "<main>é😀 " + "x" * 40 + "</main>")], "page_id bigint, url string, html string")
+    got = {(r.seq, r.pos): r.text for r in pages.extract_blocks(table, "p, main", min_chars=20).collect()}
+    assert len(got) == 301 and got[8, 0] == "é😀 " + "x" * 40
+    for i in range(300):
+        assert got[7, i] == " ".join(f"paragraph number {k} of this page" for k in range(i, 300))
+    assert [r.text for r in pages.extract_blocks(table.filter("page_id = 9")).collect()] == []
+    empty = spark.createDataFrame([(1, "http://a", "<p></p><p>y</p>")], "page_id bigint, url string, html string")
+    assert [r.text for r in pages.extract_blocks(empty, min_chars=0).orderBy("pos").collect()] == ["", "y"]

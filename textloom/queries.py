@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import catalog as cat
+from .operators import catalog_index as index
 from .operators import clean, order, split, stats, tokens
 from .operators.subwords import read_ranks
 from .plans import build as bld
@@ -529,6 +530,21 @@ def search_catalog_all(spark, sf_dir):
     return cat.search_catalog(_catalog(spark, sf_dir), limit=1500).select("id", "author", "downloads")
 
 
+@query(_CATALOG + """select id, author, downloads, likes, array_to_string(tags[:8], ',') as tags, description,
+(select count(*) from (select distinct id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) as gram
+  from (select id, unnest([lower(id), lower(description)]) as t from catalog)))::bigint as index_rows
+from catalog where contains(lower(id), 'small br') or contains(lower(description), 'small br')
+order by downloads desc, id limit 100""")
+def search_catalog_indexed(spark, sf_dir):
+    """A substring search by the index of three-character pieces, beside the number of its rows."""
+    path = index.write_index(_catalog(spark, sf_dir), work_path(spark, "index"))
+    rows = index.search_indexed(spark, path, "Small BR", limit=100)
+    size = spark.read.parquet(f"{path}/postings").count()
+    return rows.select(
+        "id", "author", "downloads", "likes", F.array_join("tags", ",").alias("tags"), "description",
+        F.lit(size).cast("bigint").alias("index_rows"))
+
+
 @query("""select concat(p_brand, '/', p_partkey) as id, p_brand as author, 0::bigint as downloads, 0 as tags, 0 as siblings_count, 'train' as splits
 from part""")
 def catalog_info_sparse(spark, sf_dir):

@@ -144,11 +144,22 @@ def _selected(elements: list[dict], chain: list) -> set[int]:
     return reached
 
 
-def text_blocks(html: str, chains: list) -> Iterator[str]:
-    """Joined text of every selected element, in document order; nested ones all count.
+def block_ranges(html: str, chains: list) -> tuple[str, list[tuple[int, int]]]:
+    """The whole text of a page, and where each selected element lies in it (first character, number of characters).
 
-    The page is parsed at the call; the blocks are joined one at a time.
+    Elements come in document order; nested ones all count. Ranges that overlap share the text, so unclosed elements
+    cost no more memory than others.
     """
     page = _Page().finish(html)
     hits = set().union(*(_selected(page.elements, chain) for chain in chains))
-    return (" ".join(page.pieces[e["start"]:e["end"]]) for i, e in enumerate(page.elements) if i in hits)
+    at = [0]
+    for piece in page.pieces:
+        at.append(at[-1] + len(piece) + 1)
+    ranges = [(at[e["start"]], max(0, at[e["end"]] - at[e["start"]] - 1)) for i, e in enumerate(page.elements) if i in hits]
+    return " ".join(page.pieces), ranges
+
+
+def text_blocks(html: str, chains: list) -> Iterator[str]:
+    """Joined text of every selected element; see ``block_ranges``."""
+    text, ranges = block_ranges(html, chains)
+    return (text[first:first + n] for first, n in ranges)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_http_url
 from ..operators.clean import clean
-from .html import DEFAULT_SELECTOR, parse_selector, text_blocks
+from .html import DEFAULT_SELECTOR, block_ranges, parse_selector
 from .samples import packed_seq
 
 # Fixed value: shortest block by default.
@@ -26,8 +26,9 @@ def extract_blocks(
     """``seq, url, pos, text``: the text blocks of every http(s) page.
 
     Parsing is the only Python step. It sees pages one by one in the task that
-    scans them, so there is no shuffle, and hands back only blocks of at least
-    ``min_chars``. With ``keep_failed`` a page that cannot be parsed is a row with
+    scans them, so there is no shuffle, and hands back each page's text once, with
+    the ranges of its blocks of at least ``min_chars``; they are cut out in the JVM.
+    With ``keep_failed`` a page that cannot be parsed is a row with
     place -1 and a null text; ``failed_pages`` gives these alone.
     """
     chains = parse_selector(selector or DEFAULT_SELECTOR)
@@ -37,29 +38,32 @@ def extract_blocks(
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, pos, text, size = [], [], [], 0
+            at, body, blocks, size = [], [], [], 0
             for i, page in enumerate(batch.column("html")):
                 try:
-                    blocks = text_blocks(page.as_py(), chains)
+                    text, ranges = block_ranges(page.as_py(), chains)
                 except (AssertionError, ValueError, RecursionError):
                     if keep_failed:
                         at.append(i)
-                        pos.append(-1)
-                        text.append(None)
+                        body.append(None)
+                        blocks.append([(-1, 0, 0)])
                     continue
-                for p, block in enumerate(blocks):
-                    if len(block) < min_chars:
-                        continue
+                found = [(p, first + 1, n) for p, (first, n) in enumerate(ranges) if n >= min_chars]
+                if found:
                     at.append(i)
-                    pos.append(p)
-                    text.append(block)
-                    size += len(block)
-                    if size >= _FLUSH_CHARS:
-                        yield _blocks(batch, at, pos, text)
-                        at, pos, text, size = [], [], [], 0
-            yield _blocks(batch, at, pos, text)
+                    body.append(text)
+                    blocks.append(found)
+                    size += len(text)
+                if size >= _FLUSH_CHARS:
+                    yield _page_rows(batch, at, body, blocks)
+                    at, body, blocks, size = [], [], [], 0
+            yield _page_rows(batch, at, body, blocks)
 
-    return rows.mapInArrow(parse, f"seq {seq_type.simpleString()}, url string, pos int, text string")
+    found = rows.mapInArrow(
+        parse, f"seq {seq_type.simpleString()}, url string, body string, blocks array<struct<pos:int,first:int,chars:int>>")
+    # Unfolded first and cut behind it, so no more than one block of a page is held.
+    cut = found.select("seq", "url", "body", F.inline("blocks"))
+    return cut.select("seq", "url", "pos", F.substring("body", F.col("first"), F.col("chars")).alias("text"))
 
 
 def failed_pages(pages: DataFrame, **options) -> DataFrame:
@@ -67,11 +71,15 @@ def failed_pages(pages: DataFrame, **options) -> DataFrame:
     return extract_blocks(pages, keep_failed=True, **options).filter("pos = -1").select("seq", "url")
 
 
-def _blocks(batch: pa.RecordBatch, at: list, pos: list, text: list) -> pa.RecordBatch:
+_RANGES = pa.list_(pa.struct([("pos", pa.int32()), ("first", pa.int32()), ("chars", pa.int32())]))
+
+
+def _page_rows(batch: pa.RecordBatch, at: list, body: list, blocks: list) -> pa.RecordBatch:
     at = pa.array(at, pa.int32())
+    blocks = [[{"pos": p, "first": first, "chars": n} for p, first, n in found] for found in blocks]
     return pa.RecordBatch.from_arrays(
-        [batch.column("seq").take(at), batch.column("url").take(at), pa.array(pos, pa.int32()), pa.array(text, pa.string())],
-        ["seq", "url", "pos", "text"])
+        [batch.column("seq").take(at), batch.column("url").take(at), pa.array(body, pa.string()), pa.array(blocks, _RANGES)],
+        ["seq", "url", "body", "blocks"])
 
 
 def from_pages(
