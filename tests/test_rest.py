@@ -309,3 +309,43 @@ def test_stream_tokens(spark, tmp_path):
     assert sorted(list(r.input_ids) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [[97, 98], [99, 100, 32]]
     with pytest.raises(ValueError):
         datasets.stream_dataset(spark, "x", "orc", "a int")
+
+
+def test_one_entry_loads_from_any_provider(spark, tmp_path):
+    source = datasets.DatasetSource
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "b.jsonl").write_text('{"t": "x", "n": 1}\n{"t": "y", "n": 2}\n')
+    (tmp_path / "f" / "c.csv").write_text("t,n\nno,3\n")
+    spark.createDataFrame([("p", "train"), ("q", "test")], "t string, split string").write.partitionBy("split").parquet(str(tmp_path / "s"))
+    load = lambda p, path, **o: [r.text for r in datasets.fetch_dataset(spark, source(p, str(tmp_path / path), "test", "t"), **o).collect()]
+    assert load("local", "f/c.csv") == ["no"] and sorted(load("folder", "f")) == ["x", "y"] and load("splits", "s") == ["q"]
+    assert load("folder", "f", max_samples=1) == ["x"]
+    for k, (p, path) in enumerate((("folder", "f"), ("splits", "s"), ("local", "f/c.csv"))):
+        rows = datasets.fetch_dataset(spark, source(p, str(tmp_path / path), "test", "t"), streaming=True, checkpoint=str(tmp_path / f"cp{k}"))
+        assert rows.isStreaming and "text" in rows.columns
+    with pytest.raises(ValueError):
+        load("web", "f")
+    with pytest.raises(ValueError, match="no column"):
+        datasets.fetch_dataset(spark, source("folder", str(tmp_path / "f")))
+    with pytest.raises(ValueError, match="checkpoint"):
+        load("folder", "f", streaming=True)
+
+
+def test_batches_of_a_conversion(spark, tmp_path):
+    from textloom.sinks import files as sinks
+
+    (tmp_path / "x.csv").write_text("a\n" + "\n".join(map(str, range(95))) + "\n")
+    done = sinks.csv_to_parquet(spark, str(tmp_path / "x.csv"), str(tmp_path / "out"), batch_size=10)
+    assert (done["rows"], done["batches"]) == (95, 10)
+    assert sinks.csv_to_parquet(spark, str(tmp_path / "x.csv"), str(tmp_path / "out"))["batches"] == 1
+
+
+def test_pages_that_fail_are_counted_by_the_build(spark, tmp_path):
+    from textloom.plans import build as bld
+
+    text = "<p>a text of more than forty characters, number {}</p>"
+    table = spark.createDataFrame(
+        [(1, "http://a", text.format(1)), (2, "http://b", "<![foo[" + text.format(2)), (3, "http://c", text.format(3))],
+        "page_id bigint, url string, html string")
+    result = bld.build_from_pages("pages", table, str(tmp_path / "out"))
+    assert (result.samples, result.failed_pages) == (2, 1)

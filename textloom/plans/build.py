@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ class BuildResult:
     format: str
     name: str
     splits: dict[str, int]
+    failed_pages: int = 0
 
 
 def build(
@@ -183,8 +184,10 @@ def build_from_pages(
     name: str, pages: DataFrame, output: str, selector: str | None = None, min_chars: int = DEFAULT_MIN_CHARS,
     **options,
 ) -> BuildResult:
-    """Build from a table of stored pages ``page_id, url, html``."""
-    return build(from_pages(pages, selector), output, name, min_chars=min_chars, **options)
+    """Build from a table of stored pages ``page_id, url, html``; pages that cannot be parsed are counted."""
+    failed = Observation()
+    result = build(from_pages(pages, selector, failed=failed), output, name, min_chars=min_chars, **options)
+    return replace(result, failed_pages=failed.get["failed_pages"])
 
 
 def preview_build(

@@ -253,6 +253,22 @@ def directory_load(spark, sf_dir):
     return datasets.load_folder(spark, root, all_files=True, schema=schema).select("doc_id", "text", "source")
 
 
+@query("""select provider, doc_id, text from documents, (values ('local'), ('folder'), ('splits')) as p(provider)
+where provider <> 'splits' or lang = 'en'""")
+def fetch_datasets(spark, sf_dir):
+    """The same documents from a file, a folder and a split, by one entry."""
+    table = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), "lang")
+    root = work_path(spark, "sources")
+    table.drop("lang").write.json(f"{root}/a.jsonl", ignoreNullFields=False)
+    table.drop("lang").coalesce(1).write.csv(f"{root}/b/c.csv", header=True, quote='"', escape='"', quoteAll=True)
+    sinks.write_splits(table.withColumnRenamed("lang", "split"), f"{root}/s")
+    sources = {"local": f"{root}/a.jsonl", "folder": f"{root}/b", "splits": f"{root}/s"}
+    parts = [
+        datasets.fetch_dataset(spark, datasets.DatasetSource(p, path, "en", "body")).select(F.lit(p).alias("provider"), "doc_id", "text")
+        for p, path in sources.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("select p_partkey, p_name, p_brand, p_type, p_size::bigint as p_size, p_retailprice from part")
 def csv_to_parquet(spark, sf_dir):
     source, target = work_path(spark, "csv"), work_path(spark, "parquet")

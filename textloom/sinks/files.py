@@ -127,9 +127,12 @@ def check_codec(spark: SparkSession, codec: str) -> str:
 
 def csv_to_parquet(
     spark: SparkSession, source: str | list[str], target: str, compression: str = "zstd", schema=None,
-    multi_line: bool | None = None, mode: str = "overwrite",
+    multi_line: bool | None = None, mode: str = "overwrite", batch_size: int = 0,
 ) -> dict:
-    """Convert CSV to Parquet. Rows are counted while they are written."""
+    """Convert CSV to Parquet. Rows are counted while they are written.
+
+    A batch is one file; with a ``batch_size`` no file holds more rows.
+    """
     codec = check_codec(spark, compression)
     strings = csv.read_strings(spark, source, multi_line)
     if schema is None:
@@ -141,7 +144,7 @@ def csv_to_parquet(
         raise ValueError("the CSV holds no rows")
     seen = Observation()
     typed = csv.typed(strings, schema).observe(seen, F.count(F.lit(1)).alias("rows"))
-    typed.write.mode(mode).parquet(target, compression=codec)
+    typed.write.mode(mode).option("maxRecordsPerFile", max(0, int(batch_size))).parquet(target, compression=codec)
     return {
         "input": source, "output": target, "rows": seen.get["rows"],
         "batches": len(spark.read.parquet(target).inputFiles()), "compression": compression,

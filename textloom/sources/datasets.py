@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,53 @@ def plain_name(name: str) -> str:
     return re.sub("^file:/+", "file:/", name)
 
 
+@dataclass(frozen=True)
+class DatasetSource:
+    """Where a dataset lies: ``provider`` is ``local`` (one file or dataset), ``folder`` (a downloaded folder, of which
+    the first JSON, JSONL or CSV file counts) or ``splits`` (folders ``split=<name>``)."""
+
+    provider: str
+    identifier: str
+    split: str = "train"
+    text_column: str = "text"
+
+
+def fetch_dataset(
+    spark: SparkSession, source: DatasetSource, max_samples: int = 0, streaming: bool = False, checkpoint: str = "", schema=None,
+) -> DataFrame:
+    """Load a dataset from any provider; ``streaming`` gives a stream, to which ``max_samples`` does not apply.
+
+    A stream of JSON or CSV keeps its types beside ``checkpoint``. The text column is renamed to ``text``; it must be
+    there.
+    """
+    if source.provider not in ("local", "folder", "splits"):
+        raise ValueError("provider must be local, folder or splits")
+    if not streaming:
+        if source.provider == "local":
+            rows = load_dataset(spark, source.identifier, max_samples, schema)
+        elif source.provider == "folder":
+            rows = load_folder(spark, source.identifier, False, max_samples, schema)
+        else:
+            rows = load_split(spark, source.identifier, source.split, max_samples)
+    elif source.provider == "splits":
+        path = f"{source.identifier.rstrip('/')}/split={source.split}"
+        rows = stream_dataset(spark, path, "parquet", spark.read.parquet(path).schema)
+    else:
+        path = source.identifier
+        if source.provider == "folder":
+            files = sorted(existing_files(spark, [path], DATA_SUFFIXES))
+            if not files:
+                raise FileNotFoundError(f"no JSON, JSONL or CSV file below {path}")
+            path = reader_paths(files[:1])[0]
+        if not checkpoint:
+            raise ValueError("a stream needs a checkpoint")
+        fmt = "json" if path.rstrip("/").lower().endswith((".json", ".jsonl")) else "csv"
+        rows = stream_load(spark, path, fmt, checkpoint, schema)
+    if source.text_column not in rows.columns:
+        raise ValueError(f"no column {source.text_column}; there are: {', '.join(rows.columns)}")
+    return rows.withColumnRenamed(source.text_column, "text")
+
+
 def load_dataset(spark: SparkSession, path: str, max_samples: int = 0, schema=None) -> DataFrame:
     """A JSON, JSONL, CSV or Parquet dataset with the types found in it.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import is_http_url
@@ -84,10 +84,12 @@ def _page_rows(batch: pa.RecordBatch, at: list, body: list, blocks: list) -> pa.
 
 def from_pages(
     pages: DataFrame, selector: str | None = None, split: str = "", url: str = "url", html: str = "html",
-    seq: str = "page_id", min_chars: int = MIN_BLOCK_CHARS,
+    seq: str = "page_id", min_chars: int = MIN_BLOCK_CHARS, failed: Observation | None = None,
 ) -> DataFrame:
-    """Samples from pages; the source of each is its URL."""
-    blocks = extract_blocks(pages, selector, url, html, seq, min_chars)
+    """Samples from pages; the source of each is its URL. ``failed`` observes the number of ``failed_pages``."""
+    blocks = extract_blocks(pages, selector, url, html, seq, min_chars, keep_failed=failed is not None)
+    if failed is not None:
+        blocks = blocks.observe(failed, F.count_if(F.col("pos") == -1).alias("failed_pages")).filter("pos >= 0")
     return clean(blocks.select(
         "text", F.col("url").alias("source"), F.lit(split).alias("split"),
         packed_seq(F.col("seq"), F.col("pos")).alias("seq")))
