@@ -305,3 +305,21 @@ def test_first_lines_come_from_first_blocks(spark, tmp_path, plan_nodes):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_unreadable_files_are_errors_or_skipped(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "x.jsonl"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"text": "good"}\n')
+    whole = gzip.compress("".join(f'{{"text": "line {i} {i * i}"}}\n' for i in range(5000)).encode())
+    (folder / "b.json.gz").write_bytes(whole[:len(whole) // 2])
+    (tmp_path / "c.txt").write_text("also good")
+    paths = [str(folder), str(tmp_path / "c.txt")]
+    with pytest.raises(Exception):
+        files.read_files(spark, paths).collect()
+    got = {r.text for r in files.read_files(spark, paths, on_unreadable="skip").collect()}
+    assert {"good", "also good"} <= got
+    with pytest.raises(ValueError):
+        files.read_files(spark, paths, on_unreadable="maybe")

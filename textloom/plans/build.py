@@ -173,11 +173,12 @@ def build_from_texts(
 
 
 def build_from_files(
-    spark: SparkSession, name: str, paths: Iterable[str], output: str, min_chars: int = DEFAULT_MIN_CHARS, **options,
+    spark: SparkSession, name: str, paths: Iterable[str], output: str, min_chars: int = DEFAULT_MIN_CHARS,
+    on_unreadable: str = "error", **options,
 ) -> BuildResult:
-    """Build from text, Markdown, JSON and JSONL files."""
+    """Build from text, Markdown, JSON and JSONL files; ``on_unreadable`` as in ``read_files``."""
     text_column = options.get("text_column", "text")
-    return build(read_files(spark, paths, text_column), output, name, min_chars=min_chars, **options)
+    return build(read_files(spark, paths, text_column, on_unreadable=on_unreadable), output, name, min_chars=min_chars, **options)
 
 
 def build_from_pages(

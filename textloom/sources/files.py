@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
@@ -114,7 +115,7 @@ def _source(path: Column) -> Column:
     return F.regexp_replace(F.coalesce(F.try_url_decode(escaped), path), "^file:/+", "/")
 
 
-def _whole_files(spark: SparkSession, by_name: dict[str, int], condition: Column | None = None) -> DataFrame:
+def _whole_files(spark: _Reading, by_name: dict[str, int], condition: Column | None = None) -> DataFrame:
     scan = spark.read.text(reader_paths(by_name), wholetext=True)
     if condition is not None:
         scan = scan.filter(condition)
@@ -129,34 +130,50 @@ def _samples(rows: DataFrame, pos: str, split: str) -> DataFrame:
 
 def read_files(
     spark: SparkSession, paths: Iterable[str], text_column: str = "text", split: str = "", on_bad: str = "skip",
-    large_json_bytes: int = LARGE_FILE_BYTES,
+    large_json_bytes: int = LARGE_FILE_BYTES, on_unreadable: str = "error",
 ) -> DataFrame:
     """Samples from all supported files of a list, each read by its suffix, in list order.
 
     A record whose text is not a string is bad: ``on_bad="skip"`` drops that
     record, ``"stop_file"`` drops it and the rest of its file. JSON documents above
-    ``large_json_bytes`` that are arrays are cut into elements by many tasks.
+    ``large_json_bytes`` that are arrays are cut into elements by many tasks. A
+    file that cannot be read is an error; ``on_unreadable="skip"`` goes on without
+    what cannot be read of it, so a passing fault of the store loses samples too.
     """
     if on_bad not in ("skip", "stop_file"):
         raise ValueError("on_bad must be 'skip' or 'stop_file'")
+    if on_unreadable not in ("error", "skip"):
+        raise ValueError("on_unreadable must be 'error' or 'skip'")
     by_name = ranks(existing_files(spark, paths, TEXT_SUFFIXES + JSON_SUFFIXES + JSONL_SUFFIXES))
 
     def some(suffixes):
         return {name: i for name, i in by_name.items() if data_suffix(name) in suffixes}
 
-    parts = []
+    parts, reading = [], _Reading(spark, on_unreadable == "skip")
     if some(TEXT_SUFFIXES):
-        parts.append(_text_samples(spark, some(TEXT_SUFFIXES), split))
+        parts.append(_text_samples(reading, some(TEXT_SUFFIXES), split))
     if some(JSON_SUFFIXES):
-        parts.append(_json_samples(spark, some(JSON_SUFFIXES), text_column, split, on_bad, large_json_bytes))
+        parts.append(_json_samples(reading, some(JSON_SUFFIXES), text_column, split, on_bad, large_json_bytes))
     if some(JSONL_SUFFIXES):
-        parts.append(_jsonl_samples(spark, some(JSONL_SUFFIXES), text_column, split, on_bad))
+        parts.append(_jsonl_samples(reading, some(JSONL_SUFFIXES), text_column, split, on_bad))
     if not parts:
         return spark.createDataFrame([], f"text string, source string, split string, seq {SEQ}")
     return reduce(DataFrame.unionByName, parts)
 
 
-def _text_samples(spark: SparkSession, by_name: dict[str, int], split: str) -> DataFrame:
+@dataclass(frozen=True)
+class _Reading:
+    """The reader of a session that skips what cannot be read, or does not."""
+
+    spark: SparkSession
+    skip: bool
+
+    @property
+    def read(self):
+        return self.spark.read.option("ignoreCorruptFiles", str(self.skip).lower())
+
+
+def _text_samples(spark: _Reading, by_name: dict[str, int], split: str) -> DataFrame:
     """One sample per file, or one per paragraph when it is longer than 5000 characters.
 
     A large file is held whole only if its lines have no more than 5000 characters beside blanks; any other is
@@ -193,7 +210,7 @@ def _text_samples(spark: SparkSession, by_name: dict[str, int], split: str) -> D
 
 
 def _json_samples(
-    spark: SparkSession, by_name: dict[str, int], text_column: str, split: str, on_bad: str, large_bytes: int,
+    spark: _Reading, by_name: dict[str, int], text_column: str, split: str, on_bad: str, large_bytes: int,
 ) -> DataFrame:
     """Samples from documents that hold a list of objects or bare values, or one object."""
     stop = on_bad == "stop_file"
@@ -227,7 +244,7 @@ def _json_samples(
 _BLANK = " \t\n\r"
 
 
-def _array_elements(spark: SparkSession, by_name: dict[str, int], index: DataFrame, large: Column):
+def _array_elements(spark: _Reading, by_name: dict[str, int], index: DataFrame, large: Column):
     """Elements of the large documents that are arrays (``path, file_rank, value, pos, wrong``), and the other documents.
 
     ``wrong`` marks what no document may hold between two commas; no element of such a document counts.
@@ -259,7 +276,7 @@ def _array_elements(spark: SparkSession, by_name: dict[str, int], index: DataFra
     return with_rank(rows.select("path", "value", "pos", "wrong"), by_name), others
 
 
-def _jsonl_samples(spark: SparkSession, by_name: dict[str, int], text_column: str, split: str, on_bad: str) -> DataFrame:
+def _jsonl_samples(spark: _Reading, by_name: dict[str, int], text_column: str, split: str, on_bad: str) -> DataFrame:
     """Samples from JSON lines; large files are split over tasks.
 
     Lines that are no JSON are skipped. With ``stop_file`` a file that holds
