@@ -312,21 +312,21 @@ def test_stream_tokens(spark, tmp_path):
 
 
 def test_one_entry_loads_from_any_provider(spark, tmp_path):
-    source = datasets.DatasetSource
+    source = datasets.StoredDataset
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "b.jsonl").write_text('{"t": "x", "n": 1}\n{"t": "y", "n": 2}\n')
     (tmp_path / "f" / "c.csv").write_text("t,n\nno,3\n")
     spark.createDataFrame([("p", "train"), ("q", "test")], "t string, split string").write.partitionBy("split").parquet(str(tmp_path / "s"))
-    load = lambda p, path, **o: [r.text for r in datasets.fetch_dataset(spark, source(p, str(tmp_path / path), "test", "t"), **o).collect()]
+    load = lambda p, path, **o: [r.text for r in datasets.load_any(spark, source(p, str(tmp_path / path), "test", "t"), **o).collect()]
     assert load("local", "f/c.csv") == ["no"] and sorted(load("folder", "f")) == ["x", "y"] and load("splits", "s") == ["q"]
     assert load("folder", "f", max_samples=1) == ["x"]
     for k, (p, path) in enumerate((("folder", "f"), ("splits", "s"), ("local", "f/c.csv"))):
-        rows = datasets.fetch_dataset(spark, source(p, str(tmp_path / path), "test", "t"), streaming=True, checkpoint=str(tmp_path / f"cp{k}"))
+        rows = datasets.load_any(spark, source(p, str(tmp_path / path), "test", "t"), streaming=True, checkpoint=str(tmp_path / f"cp{k}"))
         assert rows.isStreaming and "text" in rows.columns
     with pytest.raises(ValueError):
         load("web", "f")
     with pytest.raises(ValueError, match="no column"):
-        datasets.fetch_dataset(spark, source("folder", str(tmp_path / "f")))
+        datasets.load_any(spark, source("folder", str(tmp_path / "f")))
     with pytest.raises(ValueError, match="checkpoint"):
         load("folder", "f", streaming=True)
 

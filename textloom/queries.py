@@ -264,7 +264,7 @@ def fetch_datasets(spark, sf_dir):
     sinks.write_splits(table.withColumnRenamed("lang", "split"), f"{root}/s")
     sources = {"local": f"{root}/a.jsonl", "folder": f"{root}/b", "splits": f"{root}/s"}
     parts = [
-        datasets.fetch_dataset(spark, datasets.DatasetSource(p, path, "en", "body")).select(F.lit(p).alias("provider"), "doc_id", "text")
+        datasets.load_any(spark, datasets.StoredDataset(p, path, "en", "body")).select(F.lit(p).alias("provider"), "doc_id", "text")
         for p, path in sources.items()]
     return parts[0].union(parts[1]).union(parts[2])
 

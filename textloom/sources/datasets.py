@@ -53,18 +53,18 @@ def plain_name(name: str) -> str:
 
 
 @dataclass(frozen=True)
-class DatasetSource:
+class StoredDataset:
     """Where a dataset lies: ``provider`` is ``local`` (one file or dataset), ``folder`` (a downloaded folder, of which
     the first JSON, JSONL or CSV file counts) or ``splits`` (folders ``split=<name>``)."""
 
     provider: str
-    identifier: str
+    place: str
     split: str = "train"
     text_column: str = "text"
 
 
-def fetch_dataset(
-    spark: SparkSession, source: DatasetSource, max_samples: int = 0, streaming: bool = False, checkpoint: str = "", schema=None,
+def load_any(
+    spark: SparkSession, source: StoredDataset, max_samples: int = 0, streaming: bool = False, checkpoint: str = "", schema=None,
 ) -> DataFrame:
     """Load a dataset from any provider; ``streaming`` gives a stream, to which ``max_samples`` does not apply.
 
@@ -75,16 +75,16 @@ def fetch_dataset(
         raise ValueError("provider must be local, folder or splits")
     if not streaming:
         if source.provider == "local":
-            rows = load_dataset(spark, source.identifier, max_samples, schema)
+            rows = load_dataset(spark, source.place, max_samples, schema)
         elif source.provider == "folder":
-            rows = load_folder(spark, source.identifier, False, max_samples, schema)
+            rows = load_folder(spark, source.place, False, max_samples, schema)
         else:
-            rows = load_split(spark, source.identifier, source.split, max_samples)
+            rows = load_split(spark, source.place, source.split, max_samples)
     elif source.provider == "splits":
-        path = f"{source.identifier.rstrip('/')}/split={source.split}"
+        path = f"{source.place.rstrip('/')}/split={source.split}"
         rows = stream_dataset(spark, path, "parquet", spark.read.parquet(path).schema)
     else:
-        path = source.identifier
+        path = source.place
         if source.provider == "folder":
             files = sorted(existing_files(spark, [path], DATA_SUFFIXES))
             if not files:
