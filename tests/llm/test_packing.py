@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from textloom.llm import packing
+from textloom.llm import cutting_stock, packing
 from textloom.llm.cutting_stock import plan
 from textloom.llm.queries import QUERIES
 
@@ -66,6 +66,46 @@ def test_plan_holds_every_piece(n, hot):
     assert used == histogram
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_knapsack_equals_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(5, 90))
+    lengths = np.unique(rng.integers(1, capacity + 1, rng.integers(1, 30)))
+    value = rng.uniform(-0.2, 1, len(lengths)) * (lengths / capacity if seed % 2 else 1)
+    best = [0.0] * (capacity + 1)
+    for c in range(1, capacity + 1):
+        best[c] = max([best[c - 1]] + [v + best[c - n] for n, v in zip(lengths, value) if n <= c])
+    sack = cutting_stock.Knapsack(lengths, value, capacity)
+    assert np.allclose(sack.best, best)
+    for c in range(capacity + 1):
+        counts = sack.pattern(c)
+        assert counts @ lengths <= c and np.isclose(counts @ value, best[c])
+
+
+def test_program_meets_every_demand_near_its_bound():
+    rng = np.random.default_rng(5)
+    lengths = np.unique(rng.integers(3, 257, 150))
+    for demand in (rng.integers(1, 50, len(lengths)).astype(float), np.where(lengths > 130, 9e6, 1.0), np.full(len(lengths), 1e9)):
+        first = cutting_stock.first_basis(lengths, demand, 256)
+        assert (first @ lengths <= 256).all() and abs(np.linalg.det(first / first.max(1, keepdims=True))) > 0
+        basis, use = cutting_stock.solve(lengths, demand, 256)
+        assert (basis @ lengths <= 256).all() and np.allclose(basis.T @ use, demand, rtol=1e-6)
+        # No packing has fewer bins than the pieces' room, nor than the pieces above half a bin.
+        least = max(demand @ lengths / 256, demand[lengths > 128].sum())
+        assert use.sum() <= 1.02 * least + 1
+
+
+def test_capacity_that_is_no_multiple_of_the_unit():
+    histogram = {1021: 5, 1022: 3, 300: 40, 1: 7}
+    patterns, left = plan(histogram, 1022)
+    used = dict(left)
+    for counts, times in patterns:
+        assert sum(a * c for a, c in counts.items()) <= 1022
+        for a, c in counts.items():
+            used[a] = used.get(a, 0) + c * times
+    assert {n: c for n, c in used.items() if c} == histogram
+
+
 def test_odd_documents(spark):
     texts = [None, "", " ", "a", "<|endoftext|> and", "é日本", "x" * 30_000, "word " * 40_000] + ["same length here"] * 700
     rows = [(None if i == 3 else i, t, i, "z") for i, t in enumerate(texts)] + [(5, "again", 1, "z"), (5, "again", 1, "z")]

@@ -9,56 +9,128 @@ from __future__ import annotations
 import numpy as np
 
 
-def _best_pattern(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The counts of lengths that fit into ``capacity`` and are worth most (unbounded knapsack, exact)."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        k = fits[c]
-        if k:
-            worth = value[:k] + best[c - lengths[:k]]
-            i = int(worth.argmax())
-            if worth[i] > best[c] + 1e-12:
-                best[c], pick[c] = worth[i], i
-    counts, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            counts[pick[c]] += 1
-            c -= int(lengths[pick[c]])
-    return float(best[capacity]), counts
+# Sums that a pricing step holds at a time.
+BLOCK = 1 << 22
+
+
+class Knapsack:
+    """Unbounded knapsack by doubling: the best value of at most 2 ** k pieces in every capacity, until nothing gains."""
+
+    def __init__(self, lengths: np.ndarray, value: np.ndarray, capacity: int):
+        self.lengths, self.value = lengths, value
+        one = np.zeros(capacity + 1)
+        np.maximum.at(one, lengths, value)
+        self.best = np.maximum.accumulate(one)  # no piece is worth 0
+        worth = np.full(capacity + 1, -1)
+        worth[lengths] = np.where(value > 0, np.arange(len(lengths)), -1)
+        grows = np.concatenate([[False], self.best[1:] > self.best[:-1]])
+        self.single = np.where(grows, worth, -1)[np.maximum.accumulate(np.where(grows, np.arange(capacity + 1), 0))]
+        self.splits = []  # of each doubling, the room of the first half
+        all_rooms = np.arange(capacity + 1)
+        while True:
+            padded = np.concatenate([np.full(capacity, -np.inf), self.best])
+            split = np.zeros(capacity + 1, np.int64)
+            best = np.empty(capacity + 1)
+            rows = max(1, BLOCK // (capacity + 1))
+            for lo in range(0, capacity + 1, rows):
+                room = all_rooms[lo:lo + rows]
+                sums = padded[capacity + room[:, None] - all_rooms] + self.best
+                split[lo:lo + rows] = at = sums.argmax(1)
+                best[lo:lo + rows] = sums[np.arange(len(room)), at]
+            if (best <= self.best + 1e-12).all():
+                break
+            self.best = best
+            self.splits.append(split)
+
+    def pattern(self, capacity: int) -> np.ndarray:
+        """The counts of lengths that fit into ``capacity`` and are worth most."""
+        counts, todo = np.zeros(len(self.lengths), np.int64), [(len(self.splits), capacity)]
+        while todo:
+            level, room = todo.pop()
+            if not level:
+                if self.single[room] >= 0:
+                    counts[self.single[room]] += 1
+            elif room:
+                first = int(self.splits[level - 1][room])
+                todo += [(level - 1, first), (level - 1, room - first)]
+        return counts
+
+
+def _columns(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The worth of the best pattern, and for each length the best pattern that holds it, if it is worth more than a bin."""
+    sack = Knapsack(lengths, value, capacity)
+    rest = capacity - lengths
+    found = []
+    for i in np.flatnonzero(value + sack.best[rest] > 1 + 1e-9):
+        counts = sack.pattern(int(rest[i]))
+        counts[i] += 1
+        found.append(counts)
+    return float(sack.best[capacity]), np.unique(np.array(found, np.int64).reshape(-1, len(lengths)), axis=0)
+
+
+def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """Patterns filled with the longest pieces left, each used until a length is used up.
+
+    A pattern holds none of the lengths that were used up before, so the square of patterns by lengths is triangular.
+    """
+    left = demand.astype(float)
+    basis = np.zeros((len(lengths), len(lengths)), np.int64)
+    open_ = np.ones(len(lengths), bool)
+    while open_.any():
+        counts, room = np.zeros(len(lengths), np.int64), capacity
+        for i in np.flatnonzero(open_)[::-1]:
+            counts[i] = min(room // int(lengths[i]), int(np.ceil(left[i])))
+            room -= int(counts[i] * lengths[i])
+        used = np.flatnonzero(counts)
+        times = (left[used] / counts[used]).min()
+        left -= times * counts
+        done = used[left[used] <= 1e-9 * demand[used]]
+        basis[done[0]] = counts
+        for i in done[1:]:
+            basis[i, i] = capacity // lengths[i]
+        open_[done] = False
+    return basis
 
 
 def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.005):
     """Patterns (rows of counts) and how often each is used, a vertex of the linear program.
 
     Every length's uses add up to its demand exactly. Prices of lengths come from the current basis; a knapsack finds
-    the pattern worth most at these prices, which enters until the bound that it proves is within ``gap`` (or half a
-    bin) of the bins in use.
+    the patterns worth most at these prices, which enter in turn as long as they gain. It ends when the best bound that
+    a knapsack proved is within ``gap`` (or half a bin) of the bins in use.
     """
-    m = len(lengths)
-    per_bin = capacity // lengths
-    basis, inverse, use = np.diag(per_bin).astype(np.int64), np.diag(1.0 / per_bin), demand / per_bin
+    basis = first_basis(lengths, demand, capacity)
+    bound, pivots = 0.0, 0
+    inverse = np.linalg.inv(basis.T)
+    use = np.maximum(inverse @ demand, 0)
     while True:
+        worth, columns = _columns(lengths, inverse.sum(0), capacity)
         bins = use.sum()
-        worth, column = _best_pattern(lengths, inverse.sum(0), capacity)
-        if worth <= 1 + 1e-9 or bins - bins / worth <= max(gap * bins, 0.5):
+        bound = max(bound, bins / max(worth, 1.0))
+        if not len(columns) or bins - bound <= max(gap * bins, 0.5):
             return basis, use
-        step = inverse @ column
-        out = np.flatnonzero(step > 1e-9)
-        ratio = use[out] / step[out]
-        leave = out[int(ratio.argmin())]
-        move = max(0.0, float(ratio.min()))
-        use -= move * step
-        use[leave] = move
-        np.maximum(use, 0, out=use)
-        pivot = inverse[leave] / step[leave]
-        inverse -= np.outer(step, pivot)
-        inverse[leave] = pivot
-        basis[leave] = column
+        while True:
+            gains = columns @ inverse.sum(0)
+            best = int(gains.argmax())
+            if gains[best] <= 1 + 1e-9:
+                break
+            step = inverse @ columns[best]
+            out = np.flatnonzero(step > 1e-9)
+            ratio = use[out] / step[out]
+            leave = out[int(ratio.argmin())]
+            move = float(ratio.min())
+            use -= move * step
+            use[leave] = move
+            np.maximum(use, 0, out=use)
+            basis[leave] = columns[best]
+            pivots += 1
+            if pivots % 100:
+                pivot = inverse[leave] / step[leave]
+                inverse -= np.outer(step, pivot)
+                inverse[leave] = pivot
+            else:
+                inverse = np.linalg.inv(basis.T)
+                use = np.maximum(inverse @ demand, 0)
 
 
 def plan(histogram: dict[int, int], capacity: int, unit: int = 4, min_fill: float = 0.98):
@@ -67,13 +139,13 @@ def plan(histogram: dict[int, int], capacity: int, unit: int = 4, min_fill: floa
     The program runs on lengths in whole units. Its uses are rounded down and patterns that leave more than
     ``1 - min_fill`` of their bin empty are not used; the lengths of all these pieces come back as left over.
     """
-    lengths = np.array(sorted({-(-n // unit) for n, count in histogram.items() if count}), np.int64)
+    lengths = np.array(sorted({-(-n // unit) for n, count in histogram.items() if count and -(-n // unit) <= capacity // unit}), np.int64)
     if not len(lengths):
-        return [], {}
+        return [], {n: c for n, c in histogram.items() if c}
     pools = {int(u): [] for u in lengths}  # exact lengths of a unit length with their counts, longest first
     for n in sorted(histogram, reverse=True):
         if histogram[n]:
-            pools[-(-n // unit)].append([n, histogram[n]])
+            pools.setdefault(-(-n // unit), []).append([n, histogram[n]])
     demand = np.array([sum(c for _, c in pools[int(u)]) for u in lengths], np.int64)
     basis, use = solve(lengths, demand.astype(float), capacity // unit)
     whole = np.floor(use + 1e-7).astype(np.int64)
