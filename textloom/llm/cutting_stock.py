@@ -92,6 +92,25 @@ def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> np.nd
     return basis
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination. Threaded linear algebra libraries may block in a process that runs a Java gateway; this uses none."""
+    m = len(matrix)
+    a = np.hstack([matrix.astype(float), np.eye(m)])
+    for i in range(m):
+        p = i + int(np.abs(a[i:, i]).argmax())
+        if p != i:
+            a[[i, p]] = a[[p, i]]
+        a[i] /= a[i, i]
+        others = np.flatnonzero(a[:, i])
+        others = others[others != i]
+        a[others] -= a[others, i][:, None] * a[i]
+    return a[:, m:].copy()
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(1)
+
+
 def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.005):
     """Patterns (rows of counts) and how often each is used, a vertex of the linear program.
 
@@ -101,8 +120,8 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0
     """
     basis = first_basis(lengths, demand, capacity)
     bound, pivots = 0.0, 0
-    inverse = np.linalg.inv(basis.T)
-    use = np.maximum(inverse @ demand, 0)
+    inverse = _inverse(basis.T)
+    use = np.maximum(_times(inverse, demand), 0)
     while True:
         worth, columns = _columns(lengths, inverse.sum(0), capacity)
         bins = use.sum()
@@ -110,11 +129,11 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0
         if not len(columns) or bins - bound <= max(gap * bins, 0.5):
             return basis, use
         while True:
-            gains = columns @ inverse.sum(0)
+            gains = _times(columns, inverse.sum(0))
             best = int(gains.argmax())
             if gains[best] <= 1 + 1e-9:
                 break
-            step = inverse @ columns[best]
+            step = _times(inverse, columns[best])
             out = np.flatnonzero(step > 1e-9)
             ratio = use[out] / step[out]
             leave = out[int(ratio.argmin())]
@@ -129,8 +148,8 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0
                 inverse -= np.outer(step, pivot)
                 inverse[leave] = pivot
             else:
-                inverse = np.linalg.inv(basis.T)
-                use = np.maximum(inverse @ demand, 0)
+                inverse = _inverse(basis.T)
+                use = np.maximum(_times(inverse, demand), 0)
 
 
 def plan(histogram: dict[int, int], capacity: int, unit: int = 4, min_fill: float = 0.98):
