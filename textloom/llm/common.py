@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import stage
@@ -43,5 +43,20 @@ def pick_rows(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return inner.join(listed, ["rf", "ri"], "left_semi").select("doc.*")
 
 
+def running_before(rows: DataFrame, keys: list[str], order: str, value: str, name: str, fan: int = 1 << 14) -> DataFrame:
+    """``rows`` with a bigint column ``name``: the sum of ``value`` over rows of the same ``keys`` with a smaller ``order``.
+
+    ``order`` is a number from 0 on, once for each key. Sums over blocks of ``fan`` numbers are run up first and rows
+    only within their block, so with n numbers no window holds more than ``fan`` or n / ``fan`` rows of a key. ``rows``
+    is read twice. Nulls count as zero.
+    """
+    blocks = rows.withColumn("_block", F.floor(F.col(order) / fan).cast("bigint"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
+    starts = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(earlier(*keys, "_block")), F.lit(0)).alias("_start"))
+    inside = blocks.withColumn("_inside", F.coalesce(F.sum(value).over(earlier(*keys, "_block", order)), F.lit(0)))
+    return inside.join(starts, [*keys, "_block"]).select(*rows.columns, (F.col("_start") + F.col("_inside")).cast("bigint").alias(name))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

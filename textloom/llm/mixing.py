@@ -4,7 +4,7 @@ Documents are aggregated by their pattern of sources. The driver sees one row fo
 words to the sources' quotas by min-cost flow, where each further repetition of a pattern costs more than the one
 before, and each connected part of the graph is solved alone. A seeded order then selects documents: all of a pattern
 for its full repetitions, the first ones of the order for the rest. Places in the order come from sums over hash
-buckets and a running sum inside each bucket, so a source that holds a third of all rows is ordered by all tasks.
+buckets, run up in two levels, and a running sum inside each bucket, so a source that holds a third of all rows is ordered by all tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stage
-from .common import numbered
+from .common import numbered, running_before
 from .min_cost_flow import min_cost_flow
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -128,9 +128,8 @@ def mix(
     total_rows = sum(r.n for r in known)
     bits = max(4, min(28, (total_rows // BUCKET_ROWS).bit_length()))
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint"), 32 - bits))
-    sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("pattern", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+    sums = stage(rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+    starts = running_before(sums, ["pattern"], "bucket", "words", "before").select("pattern", "bucket", "before")
     inside = Window.partitionBy("pattern", "bucket").orderBy("order", "rf", "ri").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))

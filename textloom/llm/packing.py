@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stage
 from . import cutting_stock
-from .common import numbered, shuffle_parts
+from .common import numbered, running_before, shuffle_parts
 
 SEQUENCE = 1024
 END_ID = 0
@@ -186,11 +186,9 @@ def pack(
         "id", "rf", "ri", "n", "crcs", tail.alias("len"), F.pmod(F.xxhash64("rf", "ri"), F.lit(parts)).cast("int").alias("part"))
     counts = narrow.groupBy("part", "len").agg(F.count("*").alias("c"), F.sum(F.floor(F.col("n") / sequence)).alias("q"))
     counts = stage(counts, "pack-counts")
-    earlier = lambda w: w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    by_len = counts.select(
-        "part", "len", F.coalesce(F.sum("c").over(earlier(Window.partitionBy("len"))), F.lit(0)).alias("len_before"))
+    by_len = running_before(counts, ["len"], "part", "c", "len_before").select("part", "len", "len_before")
     by_part = counts.groupBy("part").agg(F.sum("q").alias("q"))  # as many rows as parts
-    by_part = by_part.select("part", F.coalesce(F.sum("q").over(earlier(Window.partitionBy())), F.lit(0)).alias("full_before"))
+    by_part = running_before(by_part, [], "part", "q", "full_before").select("part", "full_before")
     inside = Window.partitionBy("part").orderBy("rf", "ri")
     ranked = (
         narrow.withColumn("in_part", F.coalesce(
