@@ -98,6 +98,29 @@ def test_limits_control_false_discoveries():
     assert "x" not in sc.limits({"x": {0: 1000}})
 
 
+def test_planted_random_strings_are_found(spark):
+    """At least nine of ten planted base64 strings, at every length; the documents around them gain next to no span."""
+    rng = random.Random(11)
+    plain = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    rows, planted = [(i, t) for i, t in enumerate(plain)], {}
+    for n in (24, 32, 64):
+        for _ in range(200):
+            i = len(rows)
+            secret = base64.b64encode(rng.randbytes(n * 3 // 4)).decode()
+            head = plain[i % len(plain)][:300] + " "
+            planted[i] = (n, len(head), len(head) + n)
+            rows.append((i, head + secret + " end"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: set(r.spans.split(",")) for r in sc.scan(docs, sc.fit(docs)).collect()}
+    found = {n: 0 for n in (24, 32, 64)}
+    for i, (n, start, end) in planted.items():
+        found[n] += any(s.endswith(f":{start}:{end}") for s in got[i])
+    print("found of 200:", found)
+    assert all(k >= 180 for k in found.values()), found
+    extra = sum(s.startswith("random:") for i in range(len(plain)) for s in got[i])
+    assert extra <= 0.01 * len(plain)
+
+
 def test_query_equals_brute_force_and_is_native(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
