@@ -55,7 +55,7 @@ def plain_name(name: str) -> str:
 @dataclass(frozen=True)
 class StoredDataset:
     """Where a dataset lies: ``provider`` is ``local`` (one file or dataset), ``folder`` (a downloaded folder, of which
-    the first JSON, JSONL or CSV file counts) or ``splits`` (folders ``split=<name>``)."""
+    the first JSON, JSONL or CSV file or dataset counts) or ``splits`` (folders ``split=<name>``)."""
 
     provider: str
     place: str
@@ -89,7 +89,8 @@ def load_any(
             files = sorted(existing_files(spark, [path], DATA_SUFFIXES))
             if not files:
                 raise FileNotFoundError(f"no JSON, JSONL or CSV file below {path}")
-            path = reader_paths(files[:1])[0]
+            chosen = first_dataset(files)
+            path = reader_paths(chosen[:1] if len(chosen) == 1 else [chosen[0].rpartition("/")[0]])[0]
         if not checkpoint:
             raise ValueError("a stream needs a checkpoint")
         fmt = "json" if path.rstrip("/").lower().endswith((".json", ".jsonl")) else "csv"
@@ -151,13 +152,19 @@ def _placed(scan: DataFrame) -> DataFrame:
     return stage(scan.select("*", path, position_in_file().alias("pos_")), "first")
 
 
+def first_dataset(files: list[str]) -> list[str]:
+    """The first of the sorted files; if it is a part of a dataset that Spark wrote as a folder ``x.csv``, all its parts."""
+    folder = files[0].rpartition("/")[0]
+    return [f for f in files if f.rpartition("/")[0] == folder] if folder.lower().endswith(DATA_SUFFIXES) else files[:1]
+
+
 def load_folder(spark: SparkSession, root: str, all_files: bool = True, max_samples: int = 0, schema=None) -> DataFrame:
-    """All files below a folder of the type of its first JSON/JSONL/CSV file, by path; or that file alone."""
+    """All files below a folder of the type of its first JSON/JSONL/CSV file, by path; or that file or dataset alone."""
     files = sorted(existing_files(spark, [root], DATA_SUFFIXES))
     if not files:
         raise FileNotFoundError(f"no JSON, JSONL or CSV file below {root}")
     suffix = data_suffix(files[0])
-    chosen = reader_paths([f for f in files if data_suffix(f) == suffix] if all_files else files[:1])
+    chosen = reader_paths([f for f in files if data_suffix(f) == suffix] if all_files else first_dataset(files))
     rows = csv.read_csv(spark, chosen, schema) if suffix == ".csv" else _json(spark, chosen, schema)
     return take_first(rows, max_samples)
 
