@@ -45,3 +45,12 @@ def test_few_candidates_are_pruned_in_the_scan(spark, tmp_path):
 def test_empty_catalog(spark, tmp_path):
     path = index.write_index(a_catalog(spark).filter("id is null"), str(tmp_path / "i"))
     assert index.search_indexed(spark, path, "red").collect() == []
+
+
+def test_a_catalogue_of_one_file_is_shared_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "TASK_ROWS", 50)
+    a_catalog(spark).coalesce(1).write.parquet(str(tmp_path / "c"))
+    catalog = spark.read.parquet(str(tmp_path / "c"))
+    path = index.write_index(catalog, str(tmp_path / "i"))
+    assert len(spark.read.parquet(f"{path}/rows").inputFiles()) == 6
+    assert index.search_indexed(spark, path, "red", limit=None).collect() == search_catalog(catalog, query="red", limit=None).collect()

@@ -7,11 +7,12 @@ finds the few catalogue rows that hold them all, and reads only these; the text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import once
-from ..storage import broadcast_if_small, stage
+from ..storage import broadcast_if_small, remove_staged, stage
 from .catalog import search_catalog, with_optional
 
 GRAM = 3
@@ -19,28 +20,41 @@ GRAM = 3
 LOOKED_UP = 3
 # Candidate rows up to this number are a filter that Parquet's statistics prune by.
 LISTED_ROWS = 1000
+# A task stores and cuts up so many catalogue rows, however few files they come from.
+TASK_ROWS = 50_000
 
 
-def grams(text: Column) -> Column:
-    """The distinct pieces of three characters of a text; none for a shorter one."""
-    def pieces(c: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(c) - GRAM)
-        found = F.transform(at, lambda i: F.concat(*[F.get(c, i + k) for k in range(GRAM)]))
-        return F.when(F.size(c) >= GRAM, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
-    return once(F.split(F.lower(F.coalesce(text, F.lit(""))), ""), pieces)
+def _grams(batches):
+    """``row`` and each distinct piece of three characters of its texts; a shorter text has none."""
+    for batch in batches:
+        found, sizes = [], []
+        for texts in zip(batch.column("id").to_pylist(), batch.column("description").to_pylist()):
+            pieces = {t[i:i + GRAM] for t in texts for i in range(len(t) - GRAM + 1)}
+            found.extend(pieces)
+            sizes.append(len(pieces))
+        rows = np.repeat(batch.column("row").to_numpy(), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.string())], ["row", "gram"])
 
 
 def write_index(catalog: DataFrame, path: str, files: int | None = None) -> str:
     """Store a catalogue with its index below ``path``: ``rows``, ``postings`` and ``counts``.
 
-    Postings are dealt by range of piece and row, so a piece that nearly all rows hold is shared out.
+    Postings are dealt by range of piece and row, so a piece that nearly all rows hold is shared out. The catalogue is
+    read twice, first to count it.
     """
     spark = catalog.sparkSession
-    with_optional(catalog).withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/rows")
+    tasks = -(-catalog.count() // TASK_ROWS)
+    catalog = with_optional(catalog)
+    if catalog.rdd.getNumPartitions() < tasks:
+        catalog = catalog.repartition(tasks)
+    catalog.withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
-    found = rows.select("row", F.explode(F.array_union(grams(F.col("id")), grams(F.col("description")))).alias("gram"))
+    lower = lambda c: F.make_valid_utf8(F.lower(F.coalesce(c, F.lit("")))).alias(c)
+    paths: list[str] = []
+    found = stage(rows.select("row", lower("id"), lower("description")).mapInArrow(_grams, "row bigint, gram string"), "grams", paths)
     dealt = found.repartitionByRange(files, "gram", "row") if files else found.repartitionByRange("gram", "row")
     dealt.sortWithinPartitions("gram", "row").write.mode("overwrite").parquet(f"{path}/postings")
+    remove_staged(spark, paths)
     counts = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/counts")
     return path
