@@ -73,3 +73,32 @@ def test_no_texts(spark, samples):
     none = samples([(1, "a", "s")]).filter("seq < 0")
     assert tokens.subword_tokens(none, subwords.read_ranks(spark, RANKS)).count() == 0
     assert tokens.subword_tokens(samples([(1, "a b", "s")]).select("seq", F.col("text").alias("t")), subwords.read_ranks(spark, RANKS), text="t").count() == 1
+
+
+@pytest.mark.parametrize("bound", [1, 3, 10**6])
+def test_ids_go_to_the_texts_in_place(spark, ranks, plan_nodes, monkeypatch, bound):
+    """Texts of one key are one, with their pieces in turn; if all pieces travel and the keys differ, no text moves."""
+    import re
+
+    monkeypatch.setattr(subwords, "MAX_BROADCAST_PIECES", bound)
+    monkeypatch.setattr(subwords, "PORTION_PIECES", 3)
+    vocabulary = subwords.read_ranks(spark, RANKS)
+    texts = [(1, "a b zyx"), (2, None), (None, "the the été"), (1, "c d\n"), (None, ""), (3, "of qqq of qqq of"), (4, "the"), (5, "x " * 9)]
+    rows = spark.createDataFrame(texts, "seq bigint, text string")
+    want = {}
+    for key in {k for k, _ in texts}:
+        found = sorted((i, subwords.merge(p.encode(), ranks)) for k, t in texts if k == key for i, p in enumerate(re.findall(subwords.PIECES, t or "")))
+        want[key] = sum((ids for _, ids in found), [])
+    got = tokens.subword_tokens(rows, vocabulary).collect()
+    assert len(got) == len(want) and {r.seq: list(r.input_ids) for r in got} == want
+    if bound > 3:
+        plain = tokens.subword_tokens(rows.filter("seq > 1"), vocabulary)
+        assert not [n for n, _ in plan_nodes(plain) if "Exchange" in n]
+
+
+def test_short_pieces_merge_as_long_ones(ranks, monkeypatch):
+    rnd = random.Random(7)
+    pieces = ["".join(rnd.choice("etaoinshr é\n0129") for _ in range(rnd.randint(1, 60))).encode() for _ in range(800)]
+    short = [subwords.merge(p, ranks) for p in pieces]
+    monkeypatch.setattr(subwords, "SHORT_PIECE", 0)
+    assert [subwords.merge(p, ranks) for p in pieces] == short

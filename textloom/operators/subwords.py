@@ -1,20 +1,24 @@
 """Token ids by a vocabulary of any size: pieces of texts as a table, each looked up or merged once.
 
 Texts are cut into pieces by a pattern. The distinct pieces are a table with their counts; byte-pair merges run once
-for each of them, not for each occurrence. The ids then go back to the texts by a join: with the whole table
-broadcast when its counted size allows, else with the pieces that are frequent enough for their number to be bounded,
-and by a shuffle of the occurrences of all others, none of which is hot.
+for each of them, not for each occurrence. The ids then go back to the texts: the whole table travels to the tasks when
+its counted size allows, else the pieces that are frequent enough for their number to be bounded, and a task puts the
+ids of a text together where the text lies. Only the occurrences of all other pieces, none of which is hot, are shuffled
+and joined, with the stretches of ids between them.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import stage
+from ..storage import broadcast_if_small, stage
 
 # Fixed value: a word with the space before it, or white space of ASCII.
 PIECES = r" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
@@ -22,6 +26,10 @@ PIECES = r" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
 MAX_VOCABULARY = 2_000_000
 # Pieces are words, mostly short; so many with their ids stay below some 100 MB once hashed.
 MAX_BROADCAST_PIECES = 500_000
+# A task looks up so many pieces at once.
+PORTION_PIECES = 1_000_000
+# Pieces up to so many bytes are merged by a plain search for the lowest rank.
+SHORT_PIECE = 48
 
 
 def read_ranks(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +46,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """
     if piece in ranks:
         return [ranks[piece]]
+    if len(piece) <= SHORT_PIECE:
+        return _merge_short(piece, ranks)
     parts = [piece[i:i + 1] for i in range(len(piece))]
     before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
     heap = []
@@ -61,10 +71,30 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         offer(left)
         if before[left] >= 0:
             offer(before[left])
-    unknown = [p for p in parts if p and p not in ranks]
+    return _ids_of([p for p in parts if p], ranks)
+
+
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As ``merge``, in steps that grow with the square of the length."""
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    never = float("inf")
+    joins = [ranks.get(piece[i:i + 2], never) for i in range(len(piece) - 1)]
+    while joins and (lowest := min(joins)) != never:
+        i = joins.index(lowest)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del joins[i]
+        if i < len(joins):
+            joins[i] = ranks.get(parts[i] + parts[i + 1], never)
+        if i:
+            joins[i - 1] = ranks.get(parts[i - 1] + parts[i], never)
+    return _ids_of(parts, ranks)
+
+
+def _ids_of(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
+    unknown = [p for p in parts if p not in ranks]
     if unknown:
         raise ValueError(f"not in the vocabulary: {unknown[0]!r}")
-    return [ranks[p] for p in parts if p]
+    return [ranks[p] for p in parts]
 
 
 def _merged(shared):
@@ -97,31 +127,119 @@ def piece_table(places: DataFrame) -> DataFrame:
     return places.filter(F.col("piece").isNotNull()).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-def piece_ids(places: DataFrame, table: DataFrame, keep: tuple[str, ...], seq_len: int | None = None) -> DataFrame:
-    """``input_ids`` of every text from its ``occurrences`` and a staged table (``piece``, ``n``, ``ids``).
+def _in_place(shared, keep: tuple[str, ...], rest: bool, missing: int | None):
+    """The ids of texts by a table that travels: with ``rest`` a row for each stretch of its pieces and for each other
+    piece, with their place in the text, else a row for each text, in which other pieces give the id ``missing``."""
+    def cut(texts: pa.RecordBatch):
+        words, ids, sizes = shared.value
+        n = pc.fill_null(pc.list_value_length(texts.column("pieces")), 0).to_numpy().astype(np.int64)
+        pieces = texts.column("pieces").flatten()
+        at = pc.fill_null(pc.index_in(pieces, value_set=words), -1).to_numpy().astype(np.int64)
+        own = at < 0
+        first = np.cumsum(n) - n  # of each text
+        many = np.where(own, 0 if rest or missing is None else 1, np.append(sizes, 0)[at])
+        behind = np.concatenate([[0], np.cumsum(many)])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        values = np.repeat(ends[at] - behind[:-1], many) + np.arange(behind[-1])
+        values = np.append(ids, -1 if missing is None else missing)[np.where(np.repeat(own, many), len(ids), values)]
+        begins = np.zeros(len(pieces) + 1, bool)
+        if rest:
+            begins[:-1] |= own
+            begins[1:] |= own
+        begins[-1] = False
+        begins[first[n > 0]] = True
+        starts = np.flatnonzero(begins)
+        text = np.searchsorted(first + n, starts, side="right")
+        starts = np.concatenate([starts, first[n == 0]])  # a text without pieces is one row
+        text = np.concatenate([text, np.flatnonzero(n == 0)])
+        order = np.argsort(text, kind="stable")
+        starts, text = starts[order], text[order]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(behind[starts], behind[-1]), pa.int32()), pa.array(values, pa.int32()))
+        columns = [texts.column(k).take(pa.array(text)) for k in keep]
+        if not rest:
+            return pa.RecordBatch.from_arrays([*columns, lists], [*keep, "input_ids"])
+        place = np.where(n[text] > 0, starts - first[text], 0)
+        alone = np.zeros(len(starts), bool)
+        alone[n[text] > 0] = own[starts[n[text] > 0]]
+        piece = pieces.take(pa.array(starts, mask=~alone))
+        whole = (np.bincount(text, minlength=len(n)) == 1)[text] & ~alone
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array(place, pa.int32()), piece, lists, pa.array(whole)], [*keep, "pos", "piece", "ids", "whole"])
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("pieces")), 0).to_numpy())
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + PORTION_PIECES, side="right")))
+                yield cut(batch.slice(lo, hi - lo))
+                lo = hi
+
+    return run
+
+
+def _least_count(table: DataFrame, most: int) -> int:
+    """The lowest count that at most ``most`` pieces reach, in steps of an eighth of an octave."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    total, least = 0, (1 << 63) - 1
+    for r in table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("pieces"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():  # some hundred rows
+        total += r["pieces"]
+        if total > most:
+            break
+        least = r["n"]
+    return least
+
+
+def _same(a: DataFrame, b: DataFrame, keep: tuple[str, ...]) -> Column:
+    return reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keep])
 
-    Pieces that the table lacks give no id. At most ``MAX_BROADCAST_PIECES`` pieces can each make up more than that
-    fraction of all occurrences, so these are broadcast and none of the others is hot.
+
+def piece_ids(
+    texts: DataFrame, found: Column, table: DataFrame, keep: tuple[str, ...], seq_len: int | None = None, missing: int | None = None,
+) -> DataFrame:
+    """``input_ids`` of every text with the pieces ``found``, from a staged table (``piece``, ``ids``).
+
+    Pieces that the table lacks give the id ``missing``, or none. Of a table of more than ``MAX_BROADCAST_PIECES`` pieces,
+    which has their count ``n``, the most frequent ones travel, so none of the others is hot. Texts that ``keep`` does not tell apart are one, with their pieces in turn; they are
+    put together from their occurrences.
     """
-    size = table.count()
-    ids = table.select("piece", "ids")
-    if size <= MAX_BROADCAST_PIECES:
-        rows = places.join(F.broadcast(ids), "piece", "left")
+    spark = texts.sparkSession
+    rest = table.count() > MAX_BROADCAST_PIECES
+    frequent, rare = table, None
+    if rest:
+        often = F.col("n") >= _least_count(table, MAX_BROADCAST_PIECES)
+        frequent, rare = table.filter(often), table.filter(~often).select("piece", "ids")
+    first = frequent.select("piece", "ids").toArrow().combine_chunks()
+    words, lists = (first[c].chunk(0) if first[c].num_chunks else pa.array([], t) for c, t in (("piece", pa.string()), ("ids", pa.list_(pa.int32()))))
+    shared = spark.sparkContext.broadcast((words, lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)))
+    again = stage(texts.groupBy(*keep).count().filter("count > 1").select(*keep), "repeated")
+    single, n = texts.select(*keep, found.alias("pieces")), again.count()
+    if n:
+        single = single.join(broadcast_if_small(again), _same(single, again, keep), "left_anti")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in single.select(*keep).schema)
+    cut = (lambda ids: ids) if seq_len is None else (lambda ids: F.slice(ids, 1, seq_len))
+    if rest:
+        rows = stage(single.mapInArrow(_in_place(shared, keep, True, None), f"{kept}, pos int, piece string, ids array<int>, whole boolean"), "stretches")
+        parts = rows.filter(~F.col("whole"))
+        other = parts.filter("piece is not null").drop("ids").join(rare, "piece", "left")
+        joined = parts.filter("piece is null").unionByName(other)
+        out = rows.filter("whole").select(*keep, cut(F.col("ids")).alias("input_ids")).unionByName(_gathered(joined, keep, seq_len))
     else:
-        total = table.agg(F.sum("n")).first()[0]
-        often = F.col("n") > total / MAX_BROADCAST_PIECES
-        first = places.join(F.broadcast(table.filter(often).select("piece", F.col("ids").alias("often"))), "piece", "left")
-        rare = table.filter(~often).select("piece", "ids")
-        rest = first.filter("often is null and piece is not null").drop("often").join(rare, "piece", "left")
-        rows = first.filter("often is not null or piece is null").withColumnRenamed("often", "ids").unionByName(rest)
-    return _gathered(rows, F.col("ids"), keep, F.flatten, seq_len)
-
-
-def _gathered(rows: DataFrame, value, keep: tuple[str, ...], joined, seq_len: int | None = None) -> DataFrame:
-    """The values of each text in the order of ``pos``; rows move first, so that all tasks share the sorting."""
-    found = F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pos", F.col("value").alias("v")))))
-    out = joined(F.transform(found, lambda p: p["v"]))
-    return rows.select(*keep, "pos", value.alias("value")).repartition(*keep).groupBy(*keep).agg(
+        out = single.mapInArrow(_in_place(shared, keep, False, missing), f"{kept}, input_ids array<int>").withColumn("input_ids", cut(F.col("input_ids")))
+    if n:
+        several = texts.join(broadcast_if_small(again), _same(texts, again, keep), "left_semi")
+        places = occurrences(several, found, keep).join(table.select("piece", "ids"), "piece", "left")
+        if missing is not None:
+            places = places.withColumn("ids", F.when(F.col("piece").isNotNull(), F.coalesce("ids", F.array(F.lit(missing)))))
+        out = out.unionByName(_gathered(places, keep, seq_len))
+    return out
+
+
+def _gathered(rows: DataFrame, keep: tuple[str, ...], seq_len: int | None = None) -> DataFrame:
+    """The ids of each text in the order of ``pos``; rows move first, so that all tasks share the sorting."""
+    found = F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))))
+    out = F.flatten(F.transform(found, lambda p: p["ids"]))
+    return rows.select(*keep, "pos", "ids").repartition(*keep).groupBy(*keep).agg(
         (out if seq_len is None else F.slice(out, 1, seq_len)).alias("input_ids"))
 
 
@@ -133,11 +251,11 @@ def subword_ids(
 
     ``pieces`` is the pattern of what is merged on its own; what it skips gives no token. ``keep`` tells the texts
     apart. ``seq_len`` cuts the rest of each text off, by default nothing. Null and empty texts have no ids. The texts
-    are read twice.
+    are read twice, and ``keep`` alone once more.
     """
-    places = occurrences(texts, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pieces), F.lit(0)), keep)
-    table = stage(merge_pieces(piece_table(places), vocabulary), "pieces")
-    return piece_ids(places, table, keep, seq_len)
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pieces), F.lit(0))
+    table = stage(merge_pieces(piece_table(occurrences(texts, found, keep)), vocabulary), "pieces")
+    return piece_ids(texts, found, table, keep, seq_len)
 
 
 def word_ids(
@@ -145,11 +263,9 @@ def word_ids(
 ) -> DataFrame:
     """``input_ids`` of the words in the array ``found`` by a table (``word``, ``id``) of ``size`` rows; 0 for a word
     that it lacks."""
-    places = occurrences(texts, found, keep)
-    known = words.select(F.col("word").alias("piece"), "id")
+    known = words.select(F.col("word").alias("piece"), F.array(F.col("id").cast("int")).alias("ids"))
     if size <= MAX_BROADCAST_PIECES:
-        rows = places.join(F.broadcast(known), "piece", "left")
-        return _gathered(rows, F.when(F.col("piece").isNotNull(), F.coalesce("id", F.lit(0))), keep, lambda ids: ids, seq_len)
-    table = piece_table(places).join(known, "piece", "left")
-    table = stage(table.select("piece", "n", F.array(F.coalesce("id", F.lit(0))).alias("ids")), "words")
-    return piece_ids(places, table, keep, seq_len)
+        return piece_ids(texts, found, known, keep, seq_len, missing=0)
+    table = piece_table(occurrences(texts, found, keep)).join(known, "piece", "left")
+    table = stage(table.select("piece", "n", F.coalesce("ids", F.array(F.lit(0))).alias("ids")), "words")
+    return piece_ids(texts, found, table, keep, seq_len)
