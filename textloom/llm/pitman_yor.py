@@ -1,4 +1,4 @@
-"""LM scoring by a hierarchical Pitman-Yor model.
+"""LM scoring by a hierarchical Pitman-Yor model without word contexts; ``word_contexts`` adds them.
 
 Words come from a Pitman-Yor restaurant over all words of the training texts, whose base measure is a spelling model:
 restaurants for the next byte after two bytes, whose parents are the restaurants after one byte, whose parent is the
