@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 
+import numpy as np
 import pyarrow as pa
 
 from textloom.llm import word_contexts as wc
@@ -95,3 +96,36 @@ def test_query_knows_the_order_of_words(spark, tmp_path):
     got = {r.doc_id: r for r in QUERIES["op7_lm_score"](spark, str(tmp_path)).collect()}
     assert got[100].n_tokens == got[101].n_tokens and math.isclose(got[100].base_score, got[101].base_score, rel_tol=1e-9)
     assert got[100].score > got[101].score + 1
+
+
+def test_parts_make_no_difference_and_rows_are_arrays(spark, monkeypatch):
+    """Some words and tokens a part, and contexts that are dealt by both words; before, each pair was a row of its own."""
+    texts = ["the " + " ".join(f"w{(i * j) % 97} the" for j in range(60)) for i in range(30)] + [None, "", "the the the"]
+    docs = spark.createDataFrame([(i % 31 or None, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    train = docs.filter("doc_id is null or doc_id % 5 > 0")
+    rows, staged = [], wc.stage
+
+    def counting(*args):
+        out = staged(*args)
+        rows.append(out.count())
+        return out
+
+    def scores(frequent):
+        got = wc.score(docs, wc.fit(train), frequent_pairs=frequent).collect()
+        return sorted((r.n_tokens, r.n_known, r.base_score, r.score) for r in got)
+
+    want = scores(1000)
+    monkeypatch.setattr(wc, "stage", counting)
+    model = wc.fit(train)
+    assert sum(rows) < len(model.pairs.collect())
+    monkeypatch.setattr(wc, "PART_WORDS", 20)
+    monkeypatch.setattr(wc, "PART_TOKENS", 300)
+    monkeypatch.setattr(wc, "HEAVY", 50)
+    for frequent in (0, 20):
+        got = scores(frequent)
+        assert all(a[:2] == b[:2] and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a[2:], b[2:])) for a, b in zip(got, want, strict=True))
+
+
+def test_arrays_are_read_back():
+    for x in ([], [0], [5, 5, 9, 2**40], [-1, 3, 127, 128], [2**31, -(2**31)], [-5, -4], [2**62, 0]):
+        assert wc._ints(wc._put(np.array(x, np.int64))).tolist() == x
